@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import fold, table
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import dedup_lines
+from .ppm_language import language_predictions
 from .quality import quality_scores
 
 
@@ -42,6 +43,12 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = docs.where(fold(F.col("doc_id"), 4) != 2)
+    return language_predictions(docs, learned).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n_words=4, percent=85)
 
@@ -49,6 +56,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
+    "op5_language_id": op5_language_id,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
