@@ -156,16 +156,17 @@ def _extract(bits: int):
     return run
 
 
-def fit_quality(labelled: DataFrame, bits: int = 18, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on at most ``max_rows`` labelled texts, those with the smallest hash of their ids.
+def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
+    """Fit on the texts of at most ``max_rows`` labelled ids of ``docs``, those with the smallest hash.
 
-    Rows with a null label or id are left out; a null text is empty. Repeated
-    rows count each. With one class or no row, the score is a constant.
+    Rows with a null label or id are left out; a null text is empty. Rows that
+    repeat an id count each. With one class or no row, the score is a constant.
     """
-    rows = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    chosen = rows.select(F.col(id_col).alias("__id")).distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    sample = rows.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(  # at most max_rows ids
-        (F.col(label_col) == 1).alias("good"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).alias("good"))
+    present = docs.select(F.col(id_col).alias("__id")).join(known, "__id").distinct()  # ids only: no text is shuffled
+    chosen = present.orderBy(F.xxhash64("__id"), "__id", "good").limit(max_rows)
+    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(  # at most max_rows ids
+        "good", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
     got = sample.mapInArrow(_extract(bits), "good boolean, ids binary").toArrow()
     found = sorted(zip(got.column("good").to_pylist(), got.column("ids").to_pylist()))
@@ -191,7 +192,7 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     return docs.drop("score").mapInArrow(run, schema)
 
 
-def quality_scores(docs: DataFrame, labelled: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
     """doc_id, score and predicted (1 if the score is at least ``threshold``) of every document."""
-    scored = score_quality(text_rows(docs), fit_quality(labelled, **fit))
+    scored = score_quality(text_rows(docs), fit_quality(docs, labels, **fit))
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

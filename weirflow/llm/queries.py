@@ -14,7 +14,7 @@ from .quality import quality_scores
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.where((fold(F.col("doc_id"), 5) != 0) & F.col("quality").isNotNull()).select("doc_id", "quality")
-    scored = quality_scores(docs, docs.select("doc_id", "text").join(known, "doc_id"), threshold=0.3)
+    scored = quality_scores(docs, known, threshold=0.3)
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
