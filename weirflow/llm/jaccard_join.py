@@ -5,20 +5,25 @@ their symmetric difference is at most (100-p)(x+y)/(100+p). Sets fall into size
 bands; within a band whose largest size is r, a similar pair differs in at most
 k = 2(100-p)r/(100+p) elements. The feature domain is cut into n > k partitions
 by hash, so a similar pair agrees on at least n - k of them: each partition's
-content, hashed, is one signature (subsets of one partition; larger subsets
-would make more signatures, not fewer). A set near the top of its band signs for
-the next band, too, as a similar larger set may lie there. Partitions that are
-empty in a set agree without meaning: n has a slack above k, a set with no more
+content, hashed, is one signature. A set near the top of its band signs for the
+next band, too, as a similar larger set may lie there. Partitions that are empty
+in both sets agree without meaning: n has a slack above k, a set with no more
 empty partitions than the slack leaves them out, one with more signs them.
 
-Signatures are exact: no similar pair is missed. They are shuffled as packed
-arrays, one row per task and part, and within a task all holders of a signature
-but the smallest id become an edge to it at once, so that a signature that a
-third of all documents share arrives as one entry per task. Edges give candidate
-groups; only documents of these are read again, once per distinct set, and a
-group's true links are counted on the sets themselves. Groups with more than
-``block_shingles`` elements are resolved as pairs of blocks, each of bounded
-size. No pair is emitted: tasks return a forest and each document's links.
+The slack is half of k, so that a set of a similar pair shares not one but at
+least slack + 1 - (its empty partitions) signatures with others. Sets that share
+fewer can have no partner and drop out; that removes documents that have only a
+passage in common. Signatures are exact: no similar pair is missed.
+
+They are shuffled as packed arrays, one row per task and part, and within a task
+only the smallest holder of a signature is sent on, so that a signature that a
+third of all documents share arrives as one entry per task. Holders of shared
+signatures, edges to a signature's smallest holder and components of these give
+candidate groups; only documents of these are read again, once per distinct set,
+and a group's true links are counted on the sets themselves. Groups with more
+than ``block_shingles`` elements are resolved as pairs of blocks, each of
+bounded size. No pair is emitted: tasks return a forest and each document's
+links.
 """
 
 from __future__ import annotations
@@ -43,19 +48,26 @@ def bands(percent: int, top: int) -> list[tuple[int, int, int, int]]:
     while not out or out[-1][1] < top:
         high = max(low, int(low * BAND_RATIO))
         k = 2 * (100 - percent) * high // (100 + percent)
-        slack = 2 + k // 25
+        slack = 2 + k // 2
         out.append((low, high, slack, k + slack + 1))
         low = high + 1
     return out
 
 
-def signatures(elements: np.ndarray, percent: int, table: list[tuple[int, int, int, int]]) -> np.ndarray:
-    """All PartEnum signatures of one set of distinct 64-bit hashes."""
+LEVEL_BITS = 6
+
+
+def signatures(elements: np.ndarray, percent: int, table: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, int, int, int]:
+    """All PartEnum signatures of one set of distinct 64-bit hashes, their low bits the band.
+
+    Also its band and the least number of them that a set with a partner
+    shares with others, in its band and in the next.
+    """
     size = len(elements)
     if not size:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 0, 1, 1
     b = int(np.searchsorted(np.array([t[1] for t in table]), size))
-    found = []
+    found, least = [], [1, 1]
     for level in (b, b + 1):
         if level > b and 100 * size < percent * (table[b][1] + 1):
             break  # the smallest set of the next band is already too large
@@ -69,19 +81,22 @@ def signatures(elements: np.ndarray, percent: int, table: list[tuple[int, int, i
         total[1:] -= ends[:-1]
         held = np.diff(last, prepend=0) > 0
         signed = mix(total ^ (np.uint64(level) << np.uint64(32) | np.arange(n, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-        found.append(signed[held] if n - held.sum() <= slack else signed)
-    return np.concatenate(found)
+        signed = signed >> np.uint64(LEVEL_BITS) << np.uint64(LEVEL_BITS) | np.uint64(level)
+        empty = n - int(held.sum())
+        found.append(signed[held] if empty <= slack else signed)
+        least[level - b] = max(1, slack + 1 - empty)
+    return np.concatenate(found), b, *least
 
 
-def _stars(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct signatures, smallest id of each, edges' larger ends, edges' smaller ends)."""
+def _grouped(sig: np.ndarray, doc: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by signature and id; (first of its signature, its holders are several) per entry."""
     order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
+    sig, doc, more = sig[order], doc[order], more[order]
     new = np.ones(len(sig), bool)
     new[1:] = sig[1:] != sig[:-1]
-    head = doc[new][np.cumsum(new) - 1]
-    other = doc != head
-    return sig[new], doc[new], *_distinct(doc[other], head[other])
+    at = np.flatnonzero(new)
+    several = (np.diff(np.r_[at, len(sig)]) > 1) | np.logical_or.reduceat(more, at)
+    return sig, doc, new, several[np.cumsum(new) - 1]
 
 
 def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,104 +109,112 @@ def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[keep], v[keep]
 
 
-_SIGNED = "part int, doc_id long, n long, fp long, fp2 long, sigs binary, docs binary"
+_DOC = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "fp", "fp2", "band", "least", "least_next")])
+_SIGNED = pa.schema([("part", pa.int32()), *_DOC, ("sigs", pa.binary()), ("docs", pa.binary()), ("more", pa.binary())])
+_MET = pa.schema([*_DOC, ("sig", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+_SPARK = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_SPARK[f.type]}" for f in schema)
+
+
+def _rows(schema: pa.Schema, n_rows: int, **columns) -> pa.RecordBatch:
+    """A batch of ``n_rows``, null in the columns that aren't given."""
+    return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n_rows, f.type) for f in schema], schema=schema)
 
 
 def _sign(n_words: int, percent: int, parts: int):
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("sigs", pa.binary()), ("docs", pa.binary())])
-
-    def packed(sigs: list, docs: list, u: list, v: list) -> pa.RecordBatch | None:
-        if not sigs:
-            return None
-        sig, doc, us, vs = _stars(np.concatenate(sigs), np.concatenate(docs))
-        u.append(us)
-        v.append(vs)
+    """Rows of documents; packed signatures by part; entries of signatures that the task sees again (part, and no id).
+
+    ``sigs`` with null ``docs`` are pairs of ids, exact copies within the task.
+    """
+
+    def packed(sigs: list, docs: list) -> Iterator[pa.RecordBatch]:
+        sig, doc, first, several = _grouped(np.concatenate(sigs), np.concatenate(docs), np.zeros(sum(map(len, sigs)), bool))
+        rows = []
         part = (sig >> np.uint64(40)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        sig, doc, ends = sig[order], doc[order], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))
-        rows = [(p, sig[a:b].tobytes(), doc[a:b].tobytes()) for p, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)) if b > a]
-        blank = pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), blank, blank, blank, blank, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
+        for kind in (first, ~first):
+            s, d, m, p = sig[kind], doc[kind], several[kind], part[kind].astype(np.int64)
+            order = np.argsort(p, kind="stable")
+            s, d, m, ends = s[order], d[order], m[order], np.cumsum(np.bincount(p, minlength=parts))
+            for k, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+                if b > a:
+                    rows.append((k, s[a:b].tobytes(), d[a:b].tobytes(), m[a:b].tobytes() if kind is first else None))
+        yield _rows(_SIGNED, len(rows), part=pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("sigs", "docs", "more"), 1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bands(percent, 1 << 10)
         first: dict[tuple[int, int], int] = {}
-        sigs, docs, held, u, v = [], [], 0, [], []
+        sigs, docs, held = [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            n, fp = np.zeros(len(ids), np.int64), np.zeros((2, len(ids)), np.int64)
+            of = {c: np.zeros(len(ids), np.int64) for c in _DOC.names[1:]}
+            copies = []
             for i, s in enumerate(shingle_sets(batch.column(1), n_words)):
-                n[i] = len(s)
+                of["n"][i] = len(s)
                 if not len(s):
                     continue
                 if len(s) > table[-2][1]:
                     table = bands(percent, 2 * len(s))
                 key = (int(mix(s).sum()), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()))
-                fp[:, i] = np.array(key, np.uint64).view(np.int64)
+                of["fp"][i], of["fp2"][i] = np.array(key, np.uint64).view(np.int64)
                 seen = first.setdefault(key, ids[i])
                 if seen != ids[i]:
-                    u.append(np.array([ids[i]]))
-                    v.append(np.array([seen]))
+                    copies.append((ids[i], seen))
                     continue
-                got = signatures(s, percent, table)
+                got, of["band"][i], of["least"][i], of["least_next"][i] = signatures(s, percent, table)
                 sigs.append(got)
                 docs.append(np.full(len(got), ids[i], np.int64))
                 held += len(got)
                 if held >= FLUSH:
-                    yield packed(sigs, docs, u, v)
+                    yield from packed(sigs, docs)
                     sigs, docs, held = [], [], 0
             if len(first) > FLUSH:
                 first.clear()
-            none = pa.nulls(len(ids), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ids)) % parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(n), pa.array(fp[0]), pa.array(fp[1]), none, none], schema=schema)
-        if (rest := packed(sigs, docs, u, v)) is not None:
-            yield rest
-        if u:
-            us, vs = _distinct(np.concatenate(u), np.concatenate(v))
-            at = np.arange(0, len(us), 1 << 14)
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at)) % parts, pa.int32()), none, none, pa.array(np.zeros(len(at), np.int64)), none, pa.array([us[i : i + (1 << 14)].tobytes() for i in at], pa.binary()), pa.array([vs[i : i + (1 << 14)].tobytes() for i in at], pa.binary())], schema=schema)
+            spread = pa.array(ids % parts, pa.int32())
+            yield _rows(_SIGNED, len(ids), part=spread, doc_id=pa.array(ids, pa.int64()), **{c: pa.array(v) for c, v in of.items()})
+            if copies:
+                pairs = np.array(copies, np.int64)
+                yield _rows(_SIGNED, 1, part=pa.array([int(pairs[0, 0] % parts)], pa.int32()), sigs=pa.array([pairs.tobytes()], pa.binary()))
+        if sigs:
+            yield from packed(sigs, docs)
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of part: signatures of a part meet; documents and edges pass."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
-    part, sigs, docs, u, v = None, [], [], [], []
+    """Rows in the order of part. Signatures of a part meet, those with several holders go on; documents and copies pass."""
+    part, held = None, []
 
-    def edges(us: np.ndarray, vs: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(us), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(us), pa.array(vs)], schema=schema)
+    def entries(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        return _rows(_MET, len(sig), sig=pa.array(sig.view(np.int64)), u=pa.array(doc))
 
-    def close() -> None:
-        if sigs:
-            us, vs = _stars(np.concatenate(sigs), np.concatenate(docs))[2:]
-            u.append(us)
-            v.append(vs)
-            sigs.clear()
-            docs.clear()
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            sig, doc, _, several = _grouped(*(np.concatenate(x) for x in zip(*held)))
+            held.clear()
+            yield entries(sig[several], doc[several])
 
     for batch in batches:
-        docs_only = batch.filter(pa.compute.is_valid(batch.column(1)))
-        if docs_only.num_rows:
-            none = pa.nulls(docs_only.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*docs_only.columns[1:5], none, none], schema=schema)
-        rest = batch.filter(pa.compute.is_valid(batch.column(5)))
-        for p, fp, s, d in zip(rest.column(0).to_pylist(), rest.column(3).to_pylist(), rest.column(5), rest.column(6)):
-            a, b = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(d.as_buffer(), np.int64)
-            if fp is not None:
-                u.append(a.view(np.int64).copy())
-                v.append(b.copy())
+        docs = batch.filter(pa.compute.is_valid(batch.column("doc_id")))
+        if docs.num_rows:
+            yield _rows(_MET, docs.num_rows, **{c: docs.column(c) for c in _DOC.names})
+        rest = batch.filter(pa.compute.is_valid(batch.column("sigs")))
+        for p, *blobs in zip(rest.column("part").to_pylist(), *(rest.column(c).to_pylist() for c in ("sigs", "docs", "more"))):
+            if blobs[1] is None:
+                pairs = np.frombuffer(blobs[0], np.int64).reshape(-1, 2)
+                yield _rows(_MET, len(pairs), u=pa.array(pairs[:, 0]), v=pa.array(pairs[:, 1]))
+                continue
+            sig, doc = np.frombuffer(blobs[0], np.uint64), np.frombuffer(blobs[1], np.int64)
+            if blobs[2] is None:
+                yield entries(sig, doc)
                 continue
             if p != part:
-                close()
+                yield from close()
                 part = p
-            sigs.append(a.copy())
-            docs.append(b.copy())
-    close()
-    if u:
-        yield edges(*_distinct(np.concatenate(u), np.concatenate(v)))
+            held.append((sig, doc, np.frombuffer(blobs[2], bool)))
+    yield from close()
 
 
 def link_sets(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +302,7 @@ def _resolve(percent: int):
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1 << 21
+    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1 << 19
 ) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of at least ``percent`` / 100.
 
@@ -296,14 +319,21 @@ def ngram_jaccard_join(
     ids = rows.where("doc_id is not null")
     parts = partitions_for(spark)
     met = stored(
-        ids.mapInArrow(_sign(n_words, percent, 4 * parts), _SIGNED)
+        ids.mapInArrow(_sign(n_words, percent, 4 * parts), _ddl(_SIGNED))
         .repartition(parts, "part")
         .sortWithinPartitions("part")
-        .mapInArrow(_meet, "doc_id long, n long, fp long, fp2 long, u long, v long"),
+        .mapInArrow(_meet, _ddl(_MET)),
         "partenum",
     )
     summary = met.where("doc_id is not null").select("doc_id", "n", "fp", "fp2")
-    groups = stored(connected_components(met.where("u is not null").select("u", "v")), "groups").select(
+    least = met.where("doc_id is not null and n > 0").selectExpr("doc_id as u", "stack(2, band, least, band + 1, least_next) as (level, least)")
+    shared = met.where("sig is not null").select("sig", "u", F.col("sig").bitwiseAND((1 << LEVEL_BITS) - 1).alias("level"))
+    enough = shared.groupBy("u", "level").count().join(least, ["u", "level"]).where("count >= least").select("u", "level")
+    holders = shared.join(enough, ["u", "level"])
+    heads = holders.groupBy("sig").agg(F.min("u").alias("v"), F.max("u").alias("top")).where("v < top").select("sig", "v")
+    edges = holders.join(heads, "sig").where("u <> v").select("u", "v").distinct()
+    edges = edges.union(met.where("v is not null").select("u", "v"))
+    groups = stored(connected_components(edges), "groups").select(
         F.col("node").alias("doc_id"), F.col("component").alias("comp")
     )
     classes = stored(
