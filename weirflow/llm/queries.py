@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .byte_bpe import round_trip
 from .common import fold, table
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import dedup_lines
+from .packing import pack_documents
 from .ppm_language import language_predictions
 from .quality import quality_scores
 
@@ -49,6 +51,22 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_predictions(docs, learned).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers  # on the driver; executors read the same path
+
+    return public_tokenizers.path(name)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n_words=4, percent=85)
 
@@ -57,6 +75,8 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
     "op5_language_id": op5_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
