@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import round_trip
 from .common import fold, table
+from .imatch import edited_fingerprints
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import dedup_lines
 from .packing import pack_documents
@@ -46,6 +47,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = docs.where(fold(F.col("doc_id"), 4) != 2)
@@ -94,6 +99,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
+    "op4_imatch_fingerprints": op4_imatch_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
