@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import round_trip
 from .common import fold, table
+from .html_extraction import extract_main_text
 from .imatch import edited_fingerprints
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import dedup_lines
@@ -47,6 +48,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"), keep=("url",))
+
+
 def op4_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -99,6 +104,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_imatch_fingerprints": op4_imatch_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
