@@ -10,6 +10,7 @@ from .html_extraction import extract_main_text
 from .imatch import edited_fingerprints
 from .jaccard_join import ngram_jaccard_join
 from .line_dedup import dedup_lines
+from .maxent_lm import score_texts
 from .packing import pack_documents
 from .ppm_language import language_predictions
 from .quality import quality_scores
@@ -82,6 +83,10 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n_words=4, percent=85)
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
 
@@ -110,6 +115,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_exact_topk": op10_exact_topk,
 }
 
