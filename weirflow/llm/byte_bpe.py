@@ -68,7 +68,8 @@ class ByteCodec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array of unsigned 32-bit integers, and where each text's begin in it."""
         return self.encoder.encode_batch(texts)
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
@@ -103,9 +104,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern, spec.value)
         for batch in batches:
-            got = c.encode(batch.column(1).to_pylist())
-            ends = np.cumsum([0, *(len(g) // 4 for g in got)])
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(got), "<u4").astype(np.int32)))
+            got, cuts = c.encode(batch.column(1).to_pylist())
+            ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(got.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
@@ -137,10 +137,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
                 batch = whole.slice(i, 1000)
-                got = c.encode(batch.column(1).to_pylist())
-                n = [len(g) // 4 for g in got]
-                ids = [sha256(g).hexdigest() for g in got]
-                decoded = [sha256(c.decode_bytes(np.frombuffer(g, "<u4"))).hexdigest() for g in got]
+                got, cuts = c.encode(batch.column(1).to_pylist())
+                parts = [got[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                n = np.diff(cuts)
+                ids = [sha256(p.astype("<u4").tobytes()).hexdigest() for p in parts]
+                decoded = [sha256(c.decode_bytes(p)).hexdigest() for p in parts]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,37 +1,38 @@
 """Encoding by the tokenizers library, once for each distinct stretch of text.
 
 Both tokenizer kinds used here cut a text at white space before they merge, and
-between a run of letters and ASCII signs that end a word, so a text's ids are
-those of its stretches, one after another. Each worker keeps the ids of
-stretches it has met, as bytes of little-endian unsigned 32-bit integers, and
-only hands the library those that are new; a text's ids are one join. When the store
-has ``HELD`` entries it becomes the old one, from which stretches that come
-again move to a new one; so it has at most twice as many.
+between a run of letters and a run of ASCII signs, so a text's ids are those of
+its stretches, one after another. Each worker numbers the stretches it meets,
+hands the library those that are new and keeps their ids in one array; a batch's
+ids are then gathered from it by the stretches' numbers. The store starts anew
+when it has ``HELD`` stretches or ``POOL`` ids, which bounds its memory.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from struct import pack
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-HELD = 300_000
-LONG = 64
+HELD, POOL = 500_000, 1 << 23
+LONG = 64  # longer stretches are not kept
 
 #: What the pattern languages of both tokenizer libraries call white space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
 _SIGNS = "!-&(-/:-@\\[-`{-~"  # ASCII without the apostrophe
-_ENDS = f"(?![^{WHITE}])"
-#: White space and letters before signs that end the word; those signs; any other word with the white space before it; white space that ends a text.
-LED = re.compile(f"[{WHITE}]*[{_LETTERS}]+(?=[{_SIGNS}]*{_ENDS})|[{_SIGNS}]+{_ENDS}|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_WORD = f"[{_LETTERS}]++(?![^{WHITE}{_SIGNS}])"
+_MARKS = f"[{_SIGNS}]++(?![^{WHITE}{_LETTERS}])"
+#: Letters before white space or signs; signs before white space or letters; any other rest of a word; each with the white space before it, and white space that ends a text.
+LED = re.compile(f"[{WHITE}]*+(?:{_WORD}|{_MARKS}|[^{WHITE}]+)|[{WHITE}]+")
 #: The same without white space.
-BARE = re.compile(f"[{_LETTERS}]+(?=[{_SIGNS}]*{_ENDS})|[{_SIGNS}]+{_ENDS}|[^{WHITE}]+")
+BARE = re.compile(f"{_WORD}|{_MARKS}|[^{WHITE}]+")
 _BEYOND_LATIN = re.compile("[^\\x00-\\u012f\\u0131-\\u024f]")
+_WORDS_ONLY = re.compile(f"[{_LETTERS}]+")
 
 
 def folded(text: str) -> str:
@@ -39,35 +40,97 @@ def folded(text: str) -> str:
     return text if _BEYOND_LATIN.search(text) else text.lower()
 
 
+class _Numbers(dict):
+    """Numbers of stretches; a new one gets the next number and is noted."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+        self.next = 0
+
+    def __missing__(self, stretch: str) -> int:
+        number = self[stretch] = self.next
+        self.next += 1
+        self.fresh.append(stretch)
+        return number
+
+
 class ChunkedEncoder:
-    def __init__(self, tokenizer: Tokenizer, stretch: re.Pattern):
+    """``word_end``: the suffix that marks a word's last token, for tokenizers that have one and drop white space."""
+
+    def __init__(self, tokenizer: Tokenizer, stretch: re.Pattern, word_end: str | None = None):
         self.tokenizer, self.stretch = tokenizer, stretch
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes of little-endian unsigned 32-bit integers."""
-        cut = [self.stretch.findall(t) for t in texts]
-        if len(self.known) > HELD:
-            self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = []
-        for s in {s for c in cut for s in c if s not in known}:
-            if s in old:
-                known[s] = old[s]
-            else:
-                new.append(s)
-        extra: dict[str, bytes] = {}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = e.ids
-                (known if len(s) <= LONG else extra)[s] = pack(f"<{len(ids)}I", *ids)
-        out = []
-        for c in cut:
-            try:
-                out.append(b"".join(map(known.__getitem__, c)))
-            except KeyError:
-                out.append(b"".join(known.get(s) or extra.get(s, b"") for s in c))
-        return out
+        self.ends = None
+        if word_end:
+            vocabulary = tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(word_end)]] = True
+        self._renew()
+
+    def _renew(self) -> None:
+        self.numbers = _Numbers()
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many of them each stretch has)."""
+        if self.ends is None:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
+            return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+        ids, lengths = [], np.zeros(len(stretches), np.int64)
+        plain = [k for k, s in enumerate(stretches) if _WORDS_ONLY.fullmatch(s)]
+        together = np.zeros(len(stretches), bool)
+        together[plain] = True
+        # words of letters go in by the hundred: each ends with its one marked token
+        lines = [" ".join([stretches[k] for k in plain[i : i + 100]]) for i in range(0, len(plain), 100)]
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        words = np.concatenate(got) if got else np.zeros(0, np.uint32)
+        last = np.flatnonzero(self.ends[words])
+        if len(last) != len(plain):
+            raise ValueError("the tokenizer does not end each word with one marked token")
+        lengths[plain] = np.diff(last, prepend=-1)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([s for s, t in zip(stretches, together) if not t], add_special_tokens=False)]
+        lengths[~together] = [len(o) for o in others]
+        ids = np.zeros(int(lengths.sum()), np.uint32)
+        of = np.repeat(together, lengths)
+        ids[of] = words
+        ids[~of] = [i for o in others for i in o]
+        return ids, lengths
+
+    def _learn(self, fresh: list[str]) -> None:
+        for at in range(0, len(fresh), 20_000):
+            ids, lengths = self._ids(fresh[at : at + 20_000])
+            first = self.learned
+            self.learned += len(lengths)
+            while self.learned > len(self.start):
+                self.start, self.length = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.length, np.zeros_like(self.length)])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.length[first : self.learned] = lengths
+            self.start[first : self.learned] = self.used + np.cumsum(lengths) - lengths
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids in one array, and where each text's begin in it."""
+        if self.numbers.next > HELD or self.used > POOL:
+            self._renew()
+        numbers, find = self.numbers, self.stretch.findall
+        self.learned = numbers.next
+        coded, counts = [], []
+        for t in texts:
+            own = list(map(numbers.__getitem__, find(t)))
+            counts.append(len(own))
+            coded.append(np.array(own, np.int64))
+        fresh, numbers.fresh = numbers.fresh, []
+        self._learn(fresh)
+        for s in fresh:
+            if len(s) > LONG:
+                del numbers[s]
+        codes = np.concatenate(coded) if coded else np.zeros(0, np.int64)
+        lengths = self.length[codes]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.pool[np.repeat(self.start[codes] - (ends - lengths), lengths) + np.arange(total)]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        return ids, cuts

@@ -31,7 +31,7 @@ from .common import partitions_for, stored, text_rows
 _encoders: dict[str, ChunkedEncoder] = {}
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, word_end: str | None = "</w>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each document's ids and end mark: doc_id, piece, start, length, ids_crc32.
 
     ``path`` names a tokenizers file that lower-cases and drops white space.
@@ -40,14 +40,16 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, ChunkedEncoder(Tokenizer.from_file(path), BARE))
+        encoder = _encoders.get(path) or _encoders.setdefault(path, ChunkedEncoder(Tokenizer.from_file(path), BARE, word_end))
         end, size = int(end_id).to_bytes(4, "little"), 4 * capacity
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 doc, piece, start, length, crc = [], [], [], [], []
-                for d, ids in zip(batch.column(0).to_pylist(), encoder.encode_batch([folded(t) for t in batch.column(1).to_pylist()])):
-                    ids += end
+                got, cuts = encoder.encode_batch([folded(t) for t in batch.column(1).to_pylist()])
+                raw = got.astype("<u4").tobytes()
+                for d, a, b in zip(batch.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    ids = raw[4 * a : 4 * b] + end
                     for k, i in enumerate(range(0, len(ids), size)):
                         part = ids[i : i + size]
                         doc.append(d)
