@@ -442,7 +442,9 @@ class _Processor(StatefulProcessor):
 
 
 def run_keyed(df: DataFrame, keys: list[str], function: KeyedProcessFunction | type, schema: T.StructType | str, mode: str = "update", time_mode: str = "none") -> DataFrame:
-    """Apply a keyed function; ``time_mode`` is none, eventtime or processingtime.
+    """Apply a keyed function; ``time_mode`` is none, eventTime or processingTime.
+
+    Timers need a mode other than none, a time to live needs processingTime.
 
     Needs the RocksDB state store, which is set on the session. Within a
     micro-batch, and so in a batch, a key's rows come in no certain order.
