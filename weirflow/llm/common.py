@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -45,6 +46,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` on the executors' disks for the several uses within one operator.
+
+    For tables a step or two from their input: blocks that go with an executor
+    are computed again. Loops cut their lineage with ``stored``.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Remove what ``stored`` wrote, once nothing will read it again."""
     jvm = spark.sparkContext._jvm

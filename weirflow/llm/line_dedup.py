@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, kept, stored
 
 #: `[\x20\x09-\x0D]`
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -45,6 +45,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
+        self.merged_away: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -61,8 +62,12 @@ class LineRuns:
     def ingest(self, occurrences: DataFrame) -> DataFrame:
         """Add a batch of (key, doc_id), one row per key and document; returns the batch's run.
 
-        Its ``fresh`` marks keys that no earlier batch held.
+        Its ``fresh`` marks keys that no earlier batch held. The returned run can
+        be read until the next batch comes.
         """
+        for old in self.merged_away:
+            drop_stored(self.spark, old)
+        self.merged_away = []
         batch = occurrences.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
         earlier = self.runs()
         if earlier:
@@ -83,8 +88,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
             merged = stored(self._merge(runs).sortWithinPartitions("key"), "run")
-            for r in runs:
-                drop_stored(self.spark, r)
+            self.merged_away += runs
             self._add(level + 1, merged)
 
     def totals(self) -> DataFrame:
@@ -114,7 +118,7 @@ def dedup_lines(
     spark = docs.sparkSession
     seen = docs.select(F.col(id_col).alias("doc_id"), F.explode(line_hashes(F.col(text_col), min_chars)).alias("key"))
     seen = seen.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
-    seen = stored(seen, "lines")
+    seen = kept(seen)
     store = LineRuns(spark, fanout)
     for b in range(batches):
         store.ingest(seen.where(F.col("batch") == b))
@@ -123,12 +127,12 @@ def dedup_lines(
     doomed = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__doomed"))
     joined = docs.join(doomed.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
     lines = split_lines(F.col(text_col))
-    kept = F.filter(
+    staying = F.filter(
         lines,
         lambda line: ~((F.char_length(line) >= min_chars) & F.array_contains("__doomed", key_hash(line_key(line)))),
     )
     names = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    out = joined.select(*names, F.col(text_col), "__doomed", F.when(F.col("__doomed").isNotNull(), kept).alias("__kept"))
+    out = joined.select(*names, F.col(text_col), "__doomed", F.when(F.col("__doomed").isNotNull(), staying).alias("__kept"))
     n_lines = F.size(split_lines(F.col(text_col)))
     return out.select(
         *[c if c != text_col else F.when(F.col("__kept").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join("__kept", "\n")).alias(text_col) for c in docs.columns if c not in ("n_lines", "n_dropped")],
