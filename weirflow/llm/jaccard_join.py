@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions_for, stored, text_rows
+from .common import kept, partitions_for, stored, text_rows
 from .components import connected_components
 from .textvec import mix, shingle_sets
 
@@ -333,12 +333,11 @@ def ngram_jaccard_join(
     heads = holders.groupBy("sig").agg(F.min("u").alias("v"), F.max("u").alias("top")).where("v < top").select("sig", "v")
     edges = holders.join(heads, "sig").where("u <> v").select("u", "v").distinct()
     edges = edges.union(met.where("v is not null").select("u", "v"))
-    groups = stored(connected_components(edges), "groups").select(
+    groups = kept(connected_components(edges)).select(
         F.col("node").alias("doc_id"), F.col("component").alias("comp")
     )
-    classes = stored(
-        summary.join(groups, "doc_id").groupBy("comp", "fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n")),
-        "classes",
+    classes = kept(
+        summary.join(groups, "doc_id").groupBy("comp", "fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"))
     )
     open_groups = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
     todo = (
@@ -355,7 +354,7 @@ def ngram_jaccard_join(
         .repartition(parts, "comp", "i", "j")
         .sortWithinPartitions("comp", "i", "j")
     )
-    solved = stored(paired.mapInArrow(_resolve(percent), "u long, v long, links long"), "links")
+    solved = kept(paired.mapInArrow(_resolve(percent), "u long, v long, links long"))
     final = connected_components(solved.select("u", "v"))
     degree = solved.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     by_class = (
