@@ -17,6 +17,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[4]")
         .appName("weirflow-tests")
+        .config("spark.driver.memory", "3g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

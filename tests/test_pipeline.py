@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from weirflow.errors import PipelineError
 from weirflow.operators import DeliveryMode, Pipeline, WindowType
-from weirflow.plans.flow import Flow, RuntimeMode
+from weirflow.plans.architectures import AdaptiveFlow, KappaFlow, LambdaFlow
+from weirflow.plans.flow import ArchitectureMode, Flow, RuntimeMode
 from weirflow.sources import CollectionSource, DatagenSource, FileSink, FileSource, GeneratorSource, KafkaSink, KafkaSource
-from weirflow.streaming import WatermarkStrategy, WatermarkTracker
+from weirflow.streaming import LateRouter, WatermarkStrategy, WatermarkTracker
 from weirflow.types import Field, FieldType, Schema
 
 
@@ -180,3 +181,77 @@ def test_watermarks():
     assert strict.is_late(25)
     two = WatermarkTracker(WatermarkStrategy.bounded_out_of_orderness(2))
     assert [two.on_event(t).timestamp for t in (10, 15)] == [8, 13]
+
+
+def test_late_rows_go_aside(spark, tmp_path):
+    on_time, late = [], []
+    keep = lambda held: lambda df, _: held.extend(r["v"] for r in df.collect())
+    note = str(tmp_path / "largest.json")
+    router = LateRouter("ts", 10, keep(on_time), keep(late), note)
+    batches = [[(100, 1)], [(95, 2), (80, 3), (120, 4)], [(111, 5), (109, 6)]]
+    for n, rows in enumerate(batches):
+        router(spark.createDataFrame(rows, "ts long, v long").withColumn("ts", F.timestamp_seconds("ts")), n)
+    assert (sorted(on_time), sorted(late), router.records_late) == ([1, 2, 4, 5], [3, 6], 2)
+    assert LateRouter("ts", 10, keep(on_time), note=note).largest == 120
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for n, rows in enumerate(["{\"ts\": 100}", "{\"ts\": 50}\n{\"ts\": 101}"]):
+        (tmp_path / "in" / f"{n}.json").write_text(rows)
+        import os
+        os.utime(tmp_path / "in" / f"{n}.json", (1000 + n, 1000 + n))
+    late = []
+    df = spark.readStream.schema("ts long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).withColumn("ts", F.timestamp_seconds("ts"))
+    router = LateRouter("ts", 10, lambda df, n: None, lambda df, n: late.append(df.count()))
+    df.writeStream.foreachBatch(router).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert late == [1]
+
+
+def test_one_pipeline_in_all_architectures(spark, tmp_path):
+    layer = lambda df: Pipeline(df).key_by("k").sum("v")
+    rows = spark.createDataFrame([("a", 1), ("a", 2)], "k string, v long")
+    flow = Flow("f", spark=spark)
+    assert isinstance(flow.in_architecture(ArchitectureMode.LAMBDA, layer, keys=["k"]), LambdaFlow)
+    assert isinstance(flow.in_architecture(ArchitectureMode.ADAPTIVE, layer), AdaptiveFlow)
+    assert flow.in_architecture(ArchitectureMode.SIMPLE, layer) is flow
+    kappa = flow.as_kappa(layer, str(tmp_path / "log"), order=["v"])
+    assert isinstance(kappa, KappaFlow)
+    assert layer(rows).collect() == kappa.execute(rows).collect() == kappa.replay_to_stream().collect() == flow.as_adaptive(layer).execute(rows).collect()
+    assert flow.as_lambda(layer, ["k"]).execute(rows, rows).query("a") == 3
+
+
+def test_socket_source_and_sink(spark, tmp_path):
+    import socket
+    import threading
+    import time
+
+    from weirflow.sources import SocketSink, SocketSource
+
+    server = socket.create_server(("127.0.0.1", 0))
+    got = []
+
+    def take():
+        link, _ = server.accept()
+        with link:
+            got.append(link.makefile().read())
+
+    taker = threading.Thread(target=take)
+    taker.start()
+    SocketSink("127.0.0.1", server.getsockname()[1]).write(spark.createDataFrame([(1, "x")], "a int, b string").coalesce(1))
+    taker.join(20)
+    assert got == ['{"a": 1, "b": "x"}\n']
+
+    def give():
+        link, _ = server.accept()
+        link.sendall("eins|zwei||drei|".encode())
+        time.sleep(20)
+
+    threading.Thread(target=give, daemon=True).start()
+    df = SocketSource("127.0.0.1", server.getsockname()[1], "|").stream(spark)
+    query = df.writeStream.format("memory").queryName("from_socket").option("checkpointLocation", str(tmp_path / "cp")).start()
+    until = time.time() + 20
+    while spark.table("from_socket").count() < 3 and time.time() < until:
+        time.sleep(0.3)
+    query.stop()
+    assert sorted(r["value"] for r in spark.table("from_socket").collect()) == ["drei", "eins", "zwei"]

@@ -111,6 +111,28 @@ class Flow:
                 out[name] = sink.results if isinstance(sink, CollectSink) else None
         return out
 
+    # the same pipeline function in another architecture
+
+    def as_lambda(self, layer: Callable[[DataFrame], DataFrame], keys: list[str], merge: Callable | None = None, value: str = "value") -> Any:
+        from ..operators.serving import MergeView
+        from .architectures import LambdaFlow
+
+        return LambdaFlow(layer, layer, keys, merge or MergeView.latest, value)
+
+    def as_kappa(self, pipeline: Callable[[DataFrame], DataFrame], event_log_path: str | None = None, order: list[str] | None = None, keys: list[str] | None = None) -> Any:
+        from .architectures import KappaFlow
+
+        return KappaFlow(self.spark, pipeline, event_log_path, order, keys)
+
+    def as_adaptive(self, pipeline: Callable[[DataFrame], DataFrame], **how: Any) -> Any:
+        from .architectures import AdaptiveFlow
+
+        return AdaptiveFlow(pipeline, **how)
+
+    def in_architecture(self, architecture: ArchitectureMode, pipeline: Callable[[DataFrame], DataFrame], **how: Any) -> Any:
+        """This flow, or the pipeline in one of the others."""
+        return {ArchitectureMode.SIMPLE: lambda _, **__: self, ArchitectureMode.LAMBDA: self.as_lambda, ArchitectureMode.KAPPA: self.as_kappa, ArchitectureMode.ADAPTIVE: self.as_adaptive}[architecture](pipeline, **how)
+
     def explain(self) -> str:
         """Each sink's physical plan."""
         plans = [f"== {n} ==\n{(r if isinstance(r, Pipeline) else Pipeline(r)).explain()}" for n, r, _ in self._sinks]

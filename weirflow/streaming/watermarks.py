@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -79,3 +82,42 @@ def late_split(df: DataFrame, order: str, time_field: str, delay: str) -> DataFr
     seen = running_max(later, [order], "__t", "__seen")
     watermark = F.col("__seen") - F.expr(f"interval {delay}")
     return seen.withColumn("watermark", watermark).withColumn("is_late", F.col("__t") < F.col("watermark")).drop("__t", "__seen")
+
+
+class LateRouter:
+    """A ``foreachBatch`` function that sends late rows of a stream aside instead of dropping them.
+
+    A micro-batch's rows are late when they lie below the watermark that the
+    batches before it left: their largest time less ``delay`` seconds. ``note``
+    names a file that keeps that time over restarts.
+    """
+
+    def __init__(self, time_field: str, delay: float, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None] | None = None, note: str | None = None):
+        self.time_field, self.delay, self.on_time, self.late, self.note = time_field, delay, on_time, late, note
+        self.largest: float | None = None
+        self.records_late = 0
+        if note and os.path.exists(note):
+            with open(note) as f:
+                self.largest = json.load(f)["largest"]
+
+    def __call__(self, part: DataFrame, batch: int) -> None:
+        time = F.col(self.time_field).cast("timestamp").cast("double")
+        part.persist()
+        try:
+            top, n_late = part.agg(F.max(time), F.count_if(time < F.lit(self._watermark()))).first()
+            self.on_time(part.where(~(time < F.lit(self._watermark())) | time.isNull()), batch)
+            if n_late:
+                self.records_late += n_late
+                if self.late is not None:
+                    self.late(part.where(time < F.lit(self._watermark())), batch)
+        finally:
+            part.unpersist()
+        if top is not None and (self.largest is None or top > self.largest):
+            self.largest = top
+            if self.note:
+                with open(f"{self.note}.new", "w") as f:
+                    json.dump({"largest": top}, f)
+                os.replace(f"{self.note}.new", self.note)
+
+    def _watermark(self) -> float:
+        return float("-inf") if self.largest is None else self.largest - self.delay
