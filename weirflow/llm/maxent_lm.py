@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions_for, stored
+from .common import kept, partitions_for
 from .textvec import HashIndex, mix, text_words
 
 END, BEGIN, RARE = np.uint64(1), np.uint64(2), np.uint64(3)
@@ -44,28 +44,38 @@ def tokens(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, np.insert(words, at[1:], END), at + np.arange(len(at))
 
 
-def _add_arrays(rows: DataFrame, per_task: Callable, length: int, pieces: int = 16) -> np.ndarray:
-    """Sum over tasks of an array of doubles of a fixed length, which each task makes of its rows."""
-    ddl, names = "piece int, total binary", ["piece", "total"]
+def _add_arrays(rows: DataFrame, per_task: Callable, length: int, pieces: int = 16, fan_in: int = 32) -> np.ndarray:
+    """Sum over tasks of an array of doubles of a fixed length, which each task makes of its rows.
+
+    Arrays are cut in pieces and added up in two steps, so that no task reads a
+    piece of every task: first within groups of tasks, then over the groups.
+    """
+    ddl, names = "piece int, turn int, total binary", ["piece", "turn", "total"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = per_task(batches)
         if made is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in np.array_split(made, pieces)], pa.binary())], names=names)
+            turn = TaskContext.get().partitionId() // fan_in
+            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([turn] * pieces, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in np.array_split(made, pieces)], pa.binary())], names=names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(x, np.float32).astype(np.float64)
-                total[p] = total[p] + part if p in total else part
+            for p, x in zip(batch.column("piece").to_pylist(), batch.column("total")):
+                part = np.frombuffer(x.as_buffer(), np.float32)
+                if p in total:
+                    total[p] += part
+                else:
+                    total[p] = part.astype(np.float64)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=names)
 
-    got = rows.mapInArrow(make, ddl).repartition(pieces, "piece").mapInArrow(add, ddl).toArrow()
+    spread = max(pieces, partitions_for(rows.sparkSession))
+    grouped = rows.mapInArrow(make, ddl).repartition(spread, "piece", "turn").mapInArrow(add, ddl)
+    got = grouped.repartition(pieces, "piece").mapInArrow(add, ddl).toArrow()
     out = [np.zeros(len(x)) for x in np.array_split(np.zeros(length), pieces)]
-    for p, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-        out[p] += np.frombuffer(x)
+    for p, x in zip(got.column("piece").to_pylist(), got.column("total").to_pylist()):
+        out[p] += np.frombuffer(x, np.float32)
     return np.concatenate(out)
 
 
@@ -141,7 +151,7 @@ def count_tokens(train: DataFrame, parts: int) -> DataFrame:
     """(part, keys, counts, n, v, sizes): all tokens' counts, packed by hash part."""
     spread = train.mapInArrow(_count(parts), "part int, keys binary, counts binary")
     joined = spread.repartition(partitions_for(train.sparkSession), "part").sortWithinPartitions("part")
-    return stored(joined.mapInArrow(_total, "part int, keys binary, counts binary, n long, v long, sizes array<long>"), "counts")
+    return kept(joined.mapInArrow(_total, "part int, keys binary, counts binary, n long, v long, sizes array<long>"))
 
 
 def most_frequent(counted: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
