@@ -253,13 +253,13 @@ def _pack_level(items: DataFrame, capacity: int, blocks: int, islands: int, epoc
     parts = partitions_for(spark)
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(salt)), F.lit(blocks)))
     rows = stored(
-        dealt.repartition(parts, "block").sortWithinPartitions("block", F.desc("length"), "item").select("block", "length", "item").mapInArrow(_gather, _BLOCK), "blocks"
+        dealt.repartition(min(parts, blocks), "block").sortWithinPartitions("block", F.desc("length"), "item").select("block", "length", "item").mapInArrow(_gather, _BLOCK), "blocks"
     )
     state = rows.select("block", "sizes").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     state = state.select("block", F.col("island").cast("int"), "sizes", F.lit(None).cast("binary").alias("elite"), F.lit(None).cast("binary").alias("migrant"))
     finished: list[DataFrame] = []
     for epoch in range(epochs):
-        elites = stored(state.repartition(parts, "block", "island").mapInArrow(_epoch(capacity, epoch, population, generations), "block long, island int, elite binary, over int"), "elites")
+        elites = stored(state.repartition(min(parts, blocks * islands), "block", "island").mapInArrow(_epoch(capacity, epoch, population, generations), "block long, island int, elite binary, over int"), "elites")
         settled = elites.groupBy("block").agg(F.min("over").alias("least")).withColumn("open", F.col("least") > 0)
         now = elites.join(settled.select("block", "open"), "block")
         last = epoch + 1 == epochs or settled.where("open").isEmpty()

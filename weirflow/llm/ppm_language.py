@@ -199,7 +199,7 @@ def identify_languages(docs: DataFrame, model: PpmModel, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         names = np.array([*m.languages, UNDETERMINED], object)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             text = batch.column(batch.schema.get_field_index(text_col))
             letters = np.array([has_letter(t) for t in text.to_pylist()], bool)
             if m.languages and batch.num_rows:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import partitions_for, stored
+from .common import kept, partitions_for
 
 
 class ApproximationFile:
@@ -136,12 +136,12 @@ def exact_topk(
     salts = -(-q_blocks // per_salt)
     parts = partitions_for(spark)
 
-    def packed(rows: DataFrame, blocks: int, size: int, label: str) -> DataFrame:
+    def packed(rows: DataFrame, blocks: int, size: int) -> DataFrame:
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        return stored(dealt.repartition(parts, "block").sortWithinPartitions("block", "dim", "id").select("block", "dim", "id", "v").mapInArrow(_pack(size), _PACKED), label)
+        return kept(dealt.repartition(parts, "block").sortWithinPartitions("block", "dim", "id").select("block", "dim", "id", "v").mapInArrow(_pack(size), _PACKED))
 
-    index = packed(ints, n_blocks, 2 * block, "va")
-    asked = packed(ints.where(is_query(F.col("id"))), q_blocks, query_block, "va-queries")
+    index = packed(ints, n_blocks, 2 * block)
+    asked = packed(ints.where(is_query(F.col("id"))), q_blocks, query_block)
     candidates = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("block", "salt", "dim", F.lit(False).alias("is_query"), "ids", "vectors")
     meeting = asked.withColumn("salt", F.pmod("block", F.lit(salts)).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     meeting = meeting.select(F.col("at").cast("long").alias("block"), "salt", "dim", F.lit(True).alias("is_query"), "ids", "vectors")
