@@ -2,7 +2,8 @@
 
 Every round is a map-side combined minimum per node and a join back to the
 edges; edges are never collected and a node's neighbours never gathered. Hub
-nodes make skewed join keys, which adaptive execution splits. Each round ends
+nodes make skewed join keys; adaptive execution splits these, for which both
+sides must be shuffled for the join itself (``apart``). Each round ends
 in a table in the shared folder, so a lost executor costs one round.
 """
 
@@ -13,6 +14,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import drop_stored, stored
 
 
+def apart(low: DataFrame, key: str = "u") -> DataFrame:
+    """``low`` with its key as an expression, so that a join shuffles it anew and can be split where a key is hot."""
+    return low.withColumn(key, F.col(key).bitwiseXOR(F.lit(0)))
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.col("u") % 1_000_003)).first()
     return tuple(row)
@@ -34,9 +40,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(apart(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(apart(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stored(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "edges")
         now = _state(after)
         drop_stored(e.sparkSession, e)

@@ -29,13 +29,14 @@ links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import kept, partitions_for, stored, text_rows
-from .components import connected_components
+from .components import apart, connected_components
 from .textvec import mix, shingle_sets
 
 BAND_RATIO = 1.5
@@ -55,6 +56,17 @@ def bands(percent: int, top: int) -> list[tuple[int, int, int, int]]:
 
 
 LEVEL_BITS = 6
+WIDTH = 7  # bytes of a signature; chance agreement only makes a candidate
+
+
+def _thin(sig: np.ndarray) -> bytes:
+    return sig.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
+
+
+def _thick(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
+    return out.reshape(-1).view(np.uint64)
 
 
 def signatures(elements: np.ndarray, percent: int, table: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, int, int, int]:
@@ -81,7 +93,7 @@ def signatures(elements: np.ndarray, percent: int, table: list[tuple[int, int, i
         total[1:] -= ends[:-1]
         held = np.diff(last, prepend=0) > 0
         signed = mix(total ^ (np.uint64(level) << np.uint64(32) | np.arange(n, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
-        signed = signed >> np.uint64(LEVEL_BITS) << np.uint64(LEVEL_BITS) | np.uint64(level)
+        signed = (signed >> np.uint64(LEVEL_BITS) << np.uint64(LEVEL_BITS) | np.uint64(level)) & np.uint64((1 << 8 * WIDTH) - 1)
         empty = n - int(held.sum())
         found.append(signed[held] if empty <= slack else signed)
         least[level - b] = max(1, slack + 1 - empty)
@@ -133,14 +145,14 @@ def _sign(n_words: int, percent: int, parts: int):
     def packed(sigs: list, docs: list) -> Iterator[pa.RecordBatch]:
         sig, doc, first, several = _grouped(np.concatenate(sigs), np.concatenate(docs), np.zeros(sum(map(len, sigs)), bool))
         rows = []
-        part = (sig >> np.uint64(40)) % np.uint64(parts)
+        part = (mix(sig) >> np.uint64(20)) % np.uint64(parts)
         for kind in (first, ~first):
             s, d, m, p = sig[kind], doc[kind], several[kind], part[kind].astype(np.int64)
-            order = np.argsort(p, kind="stable")
+            order = np.lexsort((d, p))  # ids in order pack well as differences
             s, d, m, ends = s[order], d[order], m[order], np.cumsum(np.bincount(p, minlength=parts))
             for k, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
                 if b > a:
-                    rows.append((k, s[a:b].tobytes(), d[a:b].tobytes(), m[a:b].tobytes() if kind is first else None))
+                    rows.append((k, _thin(s[a:b]), np.diff(d[a:b], prepend=0).tobytes(), m[a:b].tobytes() if kind is first else None))
         yield _rows(_SIGNED, len(rows), part=pa.array([r[0] for r in rows], pa.int32()), **{c: pa.array([r[i] for r in rows], pa.binary()) for i, c in enumerate(("sigs", "docs", "more"), 1)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +218,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pairs = np.frombuffer(blobs[0], np.int64).reshape(-1, 2)
                 yield _rows(_MET, len(pairs), u=pa.array(pairs[:, 0]), v=pa.array(pairs[:, 1]))
                 continue
-            sig, doc = np.frombuffer(blobs[0], np.uint64), np.frombuffer(blobs[1], np.int64)
+            sig, doc = _thick(blobs[0]), np.cumsum(np.frombuffer(blobs[1], np.int64))
             if blobs[2] is None:
                 yield entries(sig, doc)
                 continue
@@ -279,7 +291,7 @@ def _resolve(percent: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
     def solved(rows: list) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[0])
+        rows = [next(same) for _, same in groupby(sorted(rows, key=lambda r: r[0]), key=lambda r: r[0])]  # a repeated row once
         sets = [np.frombuffer(r[1], np.uint64) for r in rows]
         side = None if rows[0][4] else np.array([r[3] for r in rows])
         label, links = link_sets(sets, np.array([r[2] for r in rows]), side, percent)
@@ -302,7 +314,7 @@ def _resolve(percent: int):
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1 << 19
+    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1 << 20
 ) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of at least ``percent`` / 100.
 
@@ -311,7 +323,8 @@ def ngram_jaccard_join(
     Null or empty texts, or texts of white space, have no shingle and no link;
     texts with fewer words have one shingle, their whole word sequence. Rows
     with a null id come back with a null component and no links; repeated ids
-    come back once per row and count as one document if their texts are equal.
+    come back once per row and count as one document, by one of their texts if
+    these differ.
     Other columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -328,16 +341,16 @@ def ngram_jaccard_join(
     summary = met.where("doc_id is not null").select("doc_id", "n", "fp", "fp2")
     least = met.where("doc_id is not null and n > 0").selectExpr("doc_id as u", "stack(2, band, least, band + 1, least_next) as (level, least)")
     shared = met.where("sig is not null").select("sig", "u", F.col("sig").bitwiseAND((1 << LEVEL_BITS) - 1).alias("level"))
-    enough = shared.groupBy("u", "level").count().join(least, ["u", "level"]).where("count >= least").select("u", "level")
-    holders = shared.join(enough, ["u", "level"])
+    counted = shared.withColumn("count", F.count("*").over(Window.partitionBy("u", "level")))  # a document's own signatures
+    holders = counted.join(least, ["u", "level"]).where("count >= least").select("sig", "u")
     heads = holders.groupBy("sig").agg(F.min("u").alias("v"), F.max("u").alias("top")).where("v < top").select("sig", "v")
-    edges = holders.join(heads, "sig").where("u <> v").select("u", "v").distinct()
+    edges = holders.join(apart(heads, "sig"), "sig").where("u <> v").select("u", "v").distinct()
     edges = edges.union(met.where("v is not null").select("u", "v"))
     groups = kept(connected_components(edges)).select(
         F.col("node").alias("doc_id"), F.col("component").alias("comp")
     )
     classes = kept(
-        summary.join(groups, "doc_id").groupBy("comp", "fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"))
+        summary.join(groups, "doc_id").groupBy("comp", "fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.min("n").alias("n"))
     )
     open_groups = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
     todo = (
