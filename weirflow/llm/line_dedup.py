@@ -123,6 +123,8 @@ def dedup_lines(
     for b in range(batches):
         store.ingest(seen.where(F.col("batch") == b))
     repeated = store.totals().where(F.col("docs") >= min_docs)
+    # the key as an expression: the join shuffles this side anew, and adaptive execution can split a hot line
+    repeated = repeated.withColumn("key", F.substring("key", 1, 16))
     doomed = seen.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("last")))
     doomed = doomed.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__doomed"))
     joined = docs.join(doomed.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left")
