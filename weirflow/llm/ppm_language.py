@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_rows
 from .textvec import LOWER, HashIndex, slices, utf8
 
 _PLAIN_LETTER = re.compile("[A-Za-z]")
