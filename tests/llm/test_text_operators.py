@@ -227,3 +227,26 @@ def test_language_model_sums_to_one():
     rng = np.random.default_rng(1)
     z = maxent_lm._log_softmax(np.zeros(6, np.float32), rng.normal(size=(maxent_lm.ROWS, 6)).astype(np.float32), rng.integers(0, maxent_lm.ROWS, (50, 4)))
     assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-5)
+
+
+def test_language_model_tells_words_of_a_class_apart(spark):
+    rng = random.Random(3)
+    chain = [f"w{i}" for i in range(40)]  # the word before says which word follows; all are one class
+    texts = []
+    for _ in range(300):
+        first = rng.randrange(40)
+        texts.append(" ".join(chain[(first + 7 * k) % 40] for k in range(60)))
+    got = maxent_lm.score_texts(docs(spark, texts), F.col("doc_id") % 5 == 0, n_classes=2).where("held_out").collect()
+    assert sum(r["score"] for r in got) > 0.7 * sum(r["base_score"] for r in got)
+
+
+def test_word_shares_within_classes_sum_to_one():
+    keys = np.arange(10, 20, dtype=np.uint64)
+    words_ = maxent_lm.Vocabulary.build(keys, np.array([50, 40, 30, 20, 10, 9, 8, 7, 6, 5]), 200, 25, np.array([0, 1, 0, 1]), 6)
+    rng = np.random.default_rng(1)
+    context = rng.integers(0, 1 << 32, (4, 1), dtype=np.uint32).repeat(11, axis=1)
+    found = np.r_[np.arange(10), -1]
+    plain = words_.forks.log_share(np.zeros(1 << maxent_lm.FORK_BITS, np.float32), found, context)
+    assert np.allclose(plain, np.r_[words_.log_in_class, 0], atol=1e-5)
+    learned = words_.forks.log_share(rng.normal(size=1 << maxent_lm.FORK_BITS).astype(np.float32), found, context)
+    assert np.allclose(np.bincount(words_.classes, weights=10 ** learned[:10]), 1, atol=1e-5) and not np.allclose(learned, plain)

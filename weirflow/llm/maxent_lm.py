@@ -5,15 +5,19 @@ training texts give the add-0.1 unigram base. The model is P(class | context)
 times P(word | class). Words fall into classes of about equal mass: the most
 frequent ones are first grouped by the company they keep (how often texts that
 hold them hold each of the very most frequent words), others by frequency, and
-all words beyond a table of bounded size form the tail class. P(word | class) is
-the add-0.1 share of the word's count; an unknown word is one event of the tail.
-P(class | context) is a softmax of summed weight rows: of the word before, of
-the pair before, and of the words two and three before (skips), each hashed into
-its own region of a table of fixed size.
+all words beyond a table of bounded size form the tail class. P(class | context)
+is a softmax of summed weight rows: of the word before, of the pair before, and
+of the words two and three before (skips), each hashed into its own region of a
+table of fixed size. P(word | class, context) is a softmax of two at each fork of
+a binary tree over the class's words: the log odds of the sides' add-0.1 counts,
+and a weight for each of the same four features, hashed with the fork into a
+second table of fixed size. In the tail it is the add-0.1 share of the word's
+count alone; an unknown word is one event of the tail.
 
 Weights are trained on all training texts, each once: in every round the texts of
 its share are read where they lie, each task takes gradient steps from the
-round's weights, and the tasks' weights are averaged by the tokens they saw.
+round's weights, and the tasks' weights are averaged: rows of classes by the
+tokens a task saw, weights of forks by the squared gradients it saw for them.
 Scoring goes over arrays of tokens. Counts of tail words never reach the driver
 or a broadcast: tail occurrences meet the counts in a shuffle by hash.
 """
@@ -36,6 +40,8 @@ ADD = 0.1
 #: Rows of the weight table: word before, two before, three before, the pair before.
 REGIONS = (1 << 13, 1 << 12, 1 << 12, 1 << 13)
 ROWS = sum(REGIONS)
+#: Weights of the forks' table, for all four features.
+FORK_BITS = 20
 
 
 def tokens(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -227,6 +233,68 @@ def _cut(counts: np.ndarray, classes: int) -> np.ndarray:
     return np.unique((middle / counts.sum() * classes).astype(np.int64), return_inverse=True)[1]
 
 
+@dataclass
+class Forks:
+    """For each class a binary tree over its words, by falling count, that halves their mass at each fork."""
+
+    bias: np.ndarray  # by fork, log odds of its right side
+    steps: np.ndarray  # 2 * fork + side, along the path of one word after the other
+    at: np.ndarray  # where the paths begin
+
+    @classmethod
+    def build(cls, classes: np.ndarray, counts: np.ndarray) -> Forks:
+        n, order = len(classes), np.argsort(classes, kind="stable")
+        mass = np.r_[0, np.cumsum(counts[order] + ADD)]
+        ends = np.cumsum(np.bincount(classes)) if n else np.zeros(0, np.int64)
+        low, high = np.r_[0, ends[:-1]][classes[order]] if n else ends, ends[classes[order]]
+        bias, words, steps = np.zeros(n + 1, np.float32), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left = np.flatnonzero(high - low > 1)
+        while len(left):
+            a, b = low[left], high[left]
+            fork = np.clip(np.searchsorted(mass, (mass[a] + mass[b]) / 2), a + 1, b - 1)  # the place of the cut, unlike any other's
+            right = left >= fork
+            bias[fork] = np.log((mass[b] - mass[fork]) / (mass[fork] - mass[a]))
+            words.append(order[left])
+            steps.append(2 * fork + right)
+            low[left], high[left] = np.where(right, fork, a), np.where(right, b, fork)
+            left = left[high[left] - low[left] > 1]
+        word = np.concatenate(words)
+        return cls(bias, np.concatenate(steps)[np.argsort(word, kind="stable")].astype(np.int32), np.r_[0, np.cumsum(np.bincount(word, minlength=n))])
+
+    def walk(self, found: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, fork, side, cells) of each step of the tokens' paths; unknown ones (-1) take none. cells: (4, steps)."""
+        if not hasattr(self, "_hash"):
+            self._hash = (mix(np.arange(len(self.bias), dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+        token = np.flatnonzero(found >= 0)
+        first = self.at[found[token]]
+        n = self.at[found[token] + 1] - first
+        step = self.steps[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+        token, fork = np.repeat(token, n), step >> 1
+        cells = ((context[:, token] ^ self._hash[fork]) * np.uint32(0x9E3779B1) >> np.uint32(32 - FORK_BITS)).astype(np.int64)
+        return token, fork, (step & 1).astype(np.float32), cells
+
+    def odds(self, weights: np.ndarray, fork: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        z = self.bias[fork]
+        for c in cells:
+            z += weights[c]
+        return np.clip(z, -30, 30)
+
+    def learn(self, weights: np.ndarray, squares: np.ndarray, found: np.ndarray, context: np.ndarray, rate: float) -> None:
+        _, fork, side, cells = self.walk(found, context)
+        g = 1 / (1 + np.exp(-self.odds(weights, fork, cells))) - side
+        square = g * g
+        for c in cells:
+            np.add.at(squares, c, square)
+        for c in cells:
+            np.add.at(weights, c, -rate * g / np.sqrt(squares[c]))
+
+    def log_share(self, weights: np.ndarray, found: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """log10 P(word | class, context) of each token, 0 for unknown ones."""
+        token, fork, side, cells = self.walk(found, context)
+        z = self.odds(weights, fork, cells)
+        return np.bincount(token, weights=np.log1p(np.exp(np.where(side > 0, -z, z))), minlength=len(found)) / -np.log(10)
+
+
 @dataclass
 class Vocabulary:
     """Known words by falling count, their classes; the last class is the tail."""
@@ -235,11 +303,12 @@ class Vocabulary:
     classes: np.ndarray
     n_classes: int
     log_count: np.ndarray  # log10 of count + 0.1
-    log_in_class: np.ndarray  # log10 P(word | class)
+    log_in_class: np.ndarray  # log10 P(word | class) by counts alone
     tail_mass: float  # its count, and 0.1 for each of its words and the unknown one
     n: int
     v: int
     class_mass: np.ndarray
+    forks: Forks
 
     @classmethod
     def build(cls, keys: np.ndarray, counts: np.ndarray, n: int, v: int, groups: np.ndarray, n_classes: int) -> Vocabulary:
@@ -256,14 +325,14 @@ class Vocabulary:
         tail = n - int(counts.sum()) + ADD * (v - len(keys) + 1)
         mass[used] = tail
         log = np.log10(counts + ADD)
-        return cls(keys, classes, used + 1, log, log - np.log10(mass[classes]), tail, n, v, mass)
+        return cls(keys, classes, used + 1, log, log - np.log10(mass[classes]), tail, n, v, mass, Forks.build(classes, counts))
 
 
 # model
 
 
-def feature_rows(t: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token: (tokens, 4). Context words that aren't known count as one."""
+def contexts(t: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Hashes of each token's features: (4, tokens). Context words that aren't known count as one."""
     c = np.where(known, t, RARE)
     place = np.arange(len(t)) - np.repeat(at[:-1], np.diff(at))
     before = []
@@ -272,13 +341,22 @@ def feature_rows(t: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray
         x[back:] = c[:-back] if back < len(t) else c[:0]
         before.append(np.where(place >= back, x, BEGIN))
     pair = mix(before[0] * np.uint64(0x9E3779B97F4A7C15) + before[1])
-    out, first = np.empty((len(t), 4), np.int64), 0
-    for k, (x, size) in enumerate(zip((*before, pair), REGIONS)):
-        out[:, k] = first + (mix(x + np.uint64(k)) % np.uint64(size)).astype(np.int64)
+    return np.stack([mix(x + np.uint64(k)) for k, x in enumerate((*before, pair))])
+
+
+def feature_rows(context: np.ndarray) -> np.ndarray:
+    """Rows of the weight table for each token: (tokens, 4)."""
+    out, first = np.empty((context.shape[1], 4), np.int64), 0
+    for k, (x, size) in enumerate(zip(context, REGIONS)):
+        out[:, k] = first + (x % np.uint64(size)).astype(np.int64)
         first += size
     return out
 
 
+def fork_contexts(context: np.ndarray) -> np.ndarray:
+    return (context >> np.uint64(32)).astype(np.uint32)
+
+
 def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     z = weights[rows[:, 0]] + weights[rows[:, 1]]
     z += weights[rows[:, 2]]
@@ -301,35 +379,42 @@ def _step(bias: np.ndarray, weights: np.ndarray, squares: np.ndarray, rows: np.n
         weights[r] -= rate * s / np.sqrt(squares[r])
 
 
-def train_weights(train: DataFrame, share: Callable[[int], DataFrame], words: Vocabulary, rounds: int, rate: float, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bias, weights) after each round's share of the training texts."""
+def train_weights(train: DataFrame, share: Callable[[int], DataFrame], words: Vocabulary, rounds: int, rate: float, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bias, weights, weights of forks) after each round's share of the training texts."""
     context = train.sparkSession.sparkContext
     bias = np.log(np.maximum(words.class_mass, 1e-9) / max(words.class_mass.sum(), 1e-9)).astype(np.float32)
     shape = (ROWS, words.n_classes)
-    weights = np.zeros(shape, np.float32)
+    weights, forks = np.zeros(shape, np.float32), np.zeros(1 << FORK_BITS, np.float32)
     held_words = context.broadcast(words)
     for r in range(rounds):
-        held = context.broadcast(weights)
+        held = context.broadcast((weights, forks))
 
         def per_task(batches: Iterator[pa.RecordBatch], held=held) -> np.ndarray | None:
             words = held_words.value
             index = HashIndex(words.keys)
-            own, squares, seen = held.value.copy(), np.full(shape, 1.0, np.float32), 0
+            own, own_forks = (x.copy() for x in held.value)
+            squares, fork_squares, seen = np.full(shape, 1.0, np.float32), np.full(len(own_forks), 1.0, np.float32), 0
             for batch in batches:
                 for _, _, t, at in tokens(batch.column(0)):
                     found = index.find(t)
-                    rows = feature_rows(t, at, found >= 0)
+                    features = contexts(t, at, found >= 0)
+                    rows, features = feature_rows(features), fork_contexts(features)
                     y = np.where(found >= 0, words.classes[np.maximum(found, 0)] if len(words.classes) else 0, words.n_classes - 1)
                     for a in range(0, len(t), step):
                         _step(bias, own, squares, rows[a : a + step], y[a : a + step], rate)
+                        words.forks.learn(own_forks, fork_squares, found[a : a + step], features[:, a : a + step], rate)
                     seen += len(t)
-            return np.append(own.ravel() * seen, seen) if seen else None
+            fork_squares -= 1
+            return np.concatenate([own.ravel() * seen, own_forks * fork_squares, fork_squares, [seen]]) if seen else None
 
-        total = _add_arrays(share(r), per_task, ROWS * words.n_classes + 1)
+        cells = 1 << FORK_BITS
+        total = _add_arrays(share(r), per_task, ROWS * words.n_classes + 2 * cells + 1)
         if total[-1] > 0:
-            weights = (total[:-1] / total[-1]).reshape(shape).astype(np.float32)
+            weights = (total[: -2 * cells - 1] / total[-1]).reshape(shape).astype(np.float32)
+            moved, mass = total[-2 * cells - 1 : -cells - 1], total[-cells - 1 : -1]
+            forks = np.where(mass > 0, moved / np.maximum(mass, 1e-30), forks).astype(np.float32)
         held.unpersist()
-    return bias, weights
+    return bias, weights, forks
 
 
 # scoring
@@ -344,7 +429,7 @@ def _score(words, parts: int):
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, bias, weights = words.value
+        vocabulary, bias, weights, forks = words.value
         index = HashIndex(vocabulary.keys)
         per_token = np.log10(vocabulary.n + ADD * (vocabulary.v + 1))
         uid = TaskContext.get().partitionId() << 33
@@ -357,13 +442,15 @@ def _score(words, parts: int):
                 found = index.find(t)
                 known = found >= 0
                 y = np.where(known, vocabulary.classes[np.maximum(found, 0)] if len(vocabulary.classes) else 0, tail_class)
-                where = feature_rows(t, at, known)
+                features = contexts(t, at, known)
+                where, features = feature_rows(features), fork_contexts(features)
                 model = np.empty(len(t))
                 for a in range(0, len(t), 1 << 14):
                     z = _log_softmax(bias, weights, where[a : a + (1 << 14)])
                     model[a : a + (1 << 14)] = z[np.arange(len(z)), y[a : a + (1 << 14)]]
                 model /= np.log(10)
-                model[known] += vocabulary.log_in_class[found[known]]
+                for a in range(0, len(t), 1 << 14):
+                    model[a : a + (1 << 14)] += vocabulary.forks.log_share(forks, found[a : a + (1 << 14)], features[:, a : a + (1 << 14)])
                 model[~known] -= np.log10(vocabulary.tail_mass)
                 base = np.where(known, vocabulary.log_count[np.maximum(found, 0)] if len(vocabulary.keys) else 0.0, 0.0) - per_token
                 out[:, i:j] = [np.diff(at), np.add.reduceat(known, at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(model, at[:-1])]
@@ -431,8 +518,8 @@ def score_texts(docs: DataFrame, held_out, table_size: int = 1 << 18, grouped: i
     own = _clusters(company(train, keys[:top], min(anchors, top)), counts[:top].astype(float), groups) if top else np.zeros(0, np.int64)
     words = Vocabulary.build(keys, counts, n, v, own, n_classes)
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
-    bias, weights = train_weights(train, lambda r: learned.where(turn == r).select("text"), words, rounds, rate, step)
-    run, schema = _score(spark.sparkContext.broadcast((words, bias, weights)), parts)
+    bias, weights, forks = train_weights(train, lambda r: learned.where(turn == r).select("text"), words, rounds, rate, step)
+    run, schema = _score(spark.sparkContext.broadcast((words, bias, weights, forks)), parts)
     ddl = ", ".join(f"{f.name} {({pa.int32(): 'int', pa.binary(): 'binary', pa.int64(): 'long', pa.bool_(): 'boolean', pa.float64(): 'double'})[f.type]}" for f in schema)
     scored = rows.mapInArrow(run, ddl)
     known = counted.select("part", F.lit(0).alias("kind"), "keys", F.col("counts").alias("values"), *[F.lit(None).cast(k).alias(c) for c, k in _PASS])
