@@ -202,6 +202,21 @@ def test_pipeline_keeps_one_of_each_group(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_rejects_texts_in_no_learned_language(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    odd = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (60, 200, 1000)]
+    odd += ["Быстрая коричневая лиса прыгает через ленивую собаку и бежит дальше в лес.", "Szybki brązowy lis przeskakuje nad leniwym psem i biegnie dalej do lasu, gdzie mieszka. Jesienią liście spadają z drzew, wieczory są coraz dłuższe, a dzieci wracają do szkoły pełne wrażeń. Wszyscy cieszą się, że zbliżają się święta i można spędzić czas z rodziną."]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    base = docs.limit(1).collect()[0].asDict()
+    added = spark.createDataFrame([tuple((base | {"doc_id": -1 - i, "text": t, "lang": None})[c] for c in docs.columns) for i, t in enumerate(odd)], docs.schema)
+    noisy = docs.withColumn("doc_id", F.col("doc_id") + 1000000).withColumn("text", F.regexp_replace("text", " ", "~~^^|^~| "))
+    assert corpus_pipeline.language(spark, docs.union(noisy.where("doc_id % 10 = 0")), SF).where("doc_id >= 1000000").count() == docs.where("doc_id % 10 = 0").count()
+    kept = corpus_pipeline.language(spark, docs.union(added), SF)
+    assert kept.where("doc_id < 0").count() == 0 and kept.count() == docs.count()
+
+
 def test_registered(spark):
     names = entry.queries()
     assert sum(bool(re.match(r"op\d+_", n)) for n in names) == 10 and "pipeline" in names

@@ -28,7 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 from .textvec import LOWER, HashIndex, slices, utf8
 
 _PLAIN_LETTER = re.compile("[A-Za-z]")
+_NO_LETTERS = re.compile("[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 UNDETERMINED = "und"
+#: Bits that any text may take beyond its limit for each byte; matters for short ones.
+SLACK_BITS = 256
 
 
 def grams(data: np.ndarray, part: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,11 +151,8 @@ def _count(order: int):
     return run
 
 
-def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
-    """Frozen statistics of at most ``max_rows`` texts of each language, by the hash of their ids.
-
-    Rows with a null language or id are left out; a null text adds nothing.
-    """
+def _sample(labelled: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
+    """(lang, text) of at most ``max_rows`` ids of each language, by the hash of their ids; None if there are no languages."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null and lang is not null")
     held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
@@ -161,13 +161,23 @@ def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_c
         keep = (F.col("lang") == lang) & (chance < min(1.0, 2 * max_rows / n + 20 / n))
         thinned = keep if thinned is None else thinned | keep
     if thinned is None:
-        return build({}, order)
+        return None
     from pyspark.sql import Window
 
     few = rows.where(thinned).select("id", "lang").distinct()
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= max_rows)
-    sample = rows.join(F.broadcast(ranked.select("id", "lang")), ["id", "lang"])  # max_rows ids for each language
-    got = sample.select("lang", "text").coalesce(4).mapInArrow(_count(order), "lang string, g int, keys binary, counts binary").toArrow()
+    return rows.join(F.broadcast(ranked.select("id", "lang")), ["id", "lang"]).select("lang", "text")  # max_rows ids for each language
+
+
+def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
+    """Frozen statistics of at most ``max_rows`` texts of each language, by the hash of their ids.
+
+    Rows with a null language or id are left out; a null text adds nothing.
+    """
+    sample = _sample(labelled, max_rows, id_col, text_col, lang_col)
+    if sample is None:
+        return build({}, order)
+    got = sample.coalesce(4).mapInArrow(_count(order), "lang string, g int, keys binary, counts binary").toArrow()
     parts: dict[tuple[str, int], list] = {}
     for lang, g, keys, counts in zip(*(got.column(c).to_pylist() for c in ("lang", "g", "keys", "counts"))):
         parts.setdefault((lang, g), []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
@@ -178,18 +188,47 @@ def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_c
     return build(counts, order)
 
 
+def code_limits(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language the bits a byte beyond which a text is taken to be in none.
+
+    Half of the ids teach a model, at most ``max_rows`` texts of each language of
+    the other half are coded by it; the limit is twice what 99 of 100 of them take
+    at most, but never above the 8 bits of a byte that nothing is known of, which
+    is the limit too where fewer than 20 texts were coded.
+    """
+    half = F.pmod(F.xxhash64(id_col), F.lit(2))
+    model = fit_languages(labelled.where(half == 0), order, max_rows, id_col, text_col, lang_col)
+    sample = _sample(labelled.where(half == 1), max_rows, id_col, text_col, lang_col)
+    if sample is None or not model.languages:
+        return {}
+    held = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(utf8(batch.column(1))[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.code_lengths(batch.column(1)).min(axis=1) / np.maximum(size, 1))], names=["lang", "bits"])
+
+    got = sample.where("text <> ''").coalesce(4).mapInArrow(run, "lang string, bits double").toArrow()  # max_rows for each language
+    langs, bits = np.array(got.column(0).to_pylist(), object), np.array(got.column(1).to_pylist(), float)
+    return {x: min(8.0, 2 * float(np.quantile(bits[langs == x], 0.99))) for x in sorted(set(langs)) if (langs == x).sum() >= 20}
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and (_PLAIN_LETTER.search(text) is not None or any(c.isalpha() for c in text))
 
 
-def identify_languages(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify_languages(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text", limits: dict[str, float] | None = None) -> DataFrame:
     """All columns of ``docs``, lang_pred and score.
 
     lang_pred is the language with the shortest code for the whole text, ties
     to the first in alphabetical order; ``und`` with score 0 where the text is
     null or has no letter, and for every text if nothing was learned. score is
-    that language's share when codes are read as probabilities. Columns named
-    lang_pred or score are replaced.
+    that language's share when codes are read as probabilities. That share says
+    nothing of texts in no learned language: with ``limits``, of ``code_limits``,
+    a text whose shortest code takes more than its language's bits a byte (8 where
+    none is given) and ``SLACK_BITS``, both whole and with all but its letters
+    read as spaces, is ``und`` too. Columns named lang_pred or
+    score are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     base = docs.drop("lang_pred", "score")
@@ -204,6 +243,13 @@ def identify_languages(docs: DataFrame, model: PpmModel, id_col: str = "doc_id",
             if m.languages and batch.num_rows:
                 bits = m.code_lengths(text)
                 best = bits.argmin(axis=1)
+                if limits is not None:
+                    a_byte = np.array([limits.get(x, 8.0) for x in m.languages])
+                    over = bits.min(axis=1) > a_byte[best] * np.diff(utf8(text)[1]) + SLACK_BITS
+                    if over.any():  # digits and signs that were not learned say nothing of the language
+                        plain = pa.array([_NO_LETTERS.sub(" ", t) for t in text.filter(pa.array(over)).to_pylist()], pa.string())
+                        again = m.code_lengths(plain)
+                        letters[over] &= again.min(axis=1) <= a_byte[again.argmin(axis=1)] * np.diff(utf8(plain)[1]) + SLACK_BITS
                 score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             else:
                 best, score, letters = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
