@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .textvec import LOWER, HashIndex, slices, utf8
 
@@ -32,6 +32,8 @@ _NO_LETTERS = re.compile("[\x00-\x40\x5b-\x60\x7b-\x7f]+")
 UNDETERMINED = "und"
 #: Bits that any text may take beyond its limit for each byte; matters for short ones.
 SLACK_BITS = 256
+#: Tasks over a bounded sample; each sends its own counts to the driver.
+SPREAD = 4
 
 
 def grams(data: np.ndarray, part: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,32 +154,34 @@ def _count(order: int):
 
 
 def _sample(labelled: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
-    """(lang, text) of at most ``max_rows`` ids of each language, by the hash of their ids; None if there are no languages."""
+    """(lang, text) of at most ``max_rows`` rows of each language, by the hash of their ids; None if there are no languages.
+
+    The scan keeps its partitions: each task passes on the rows of small hashes, of
+    each language about twice the bound over all tasks, and ranking sees only these.
+    """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null and lang is not null")
     held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    thinned = None  # about twice the bound of each language, so that ranking sees few rows
+    thinned = None
     for lang, n in held.items():
         keep = (F.col("lang") == lang) & (chance < min(1.0, 2 * max_rows / n + 20 / n))
         thinned = keep if thinned is None else thinned | keep
     if thinned is None:
         return None
-    from pyspark.sql import Window
-
-    few = rows.where(thinned).select("id", "lang").distinct()
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).where(F.col("r") <= max_rows)
-    return rows.join(F.broadcast(ranked.select("id", "lang")), ["id", "lang"]).select("lang", "text")  # max_rows ids for each language
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    return rows.where(thinned).withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_rows).select("lang", "text")
 
 
 def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
-    """Frozen statistics of at most ``max_rows`` texts of each language, by the hash of their ids.
+    """Frozen statistics of at most ``max_rows`` rows of each language, by the hash of their ids.
 
-    Rows with a null language or id are left out; a null text adds nothing.
+    Rows with a null language or id are left out; a null text adds nothing; rows
+    that repeat an id count each, towards the bound too.
     """
     sample = _sample(labelled, max_rows, id_col, text_col, lang_col)
     if sample is None:
         return build({}, order)
-    got = sample.coalesce(4).mapInArrow(_count(order), "lang string, g int, keys binary, counts binary").toArrow()
+    got = sample.repartition(SPREAD).mapInArrow(_count(order), "lang string, g int, keys binary, counts binary").toArrow()
     parts: dict[tuple[str, int], list] = {}
     for lang, g, keys, counts in zip(*(got.column(c).to_pylist() for c in ("lang", "g", "keys", "counts"))):
         parts.setdefault((lang, g), []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
@@ -208,7 +212,7 @@ def code_limits(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_col
             size = np.diff(utf8(batch.column(1))[1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.code_lengths(batch.column(1)).min(axis=1) / np.maximum(size, 1))], names=["lang", "bits"])
 
-    got = sample.where("text <> ''").coalesce(4).mapInArrow(run, "lang string, bits double").toArrow()  # max_rows for each language
+    got = sample.where("text <> ''").repartition(SPREAD).mapInArrow(run, "lang string, bits double").toArrow()  # max_rows for each language
     langs, bits = np.array(got.column(0).to_pylist(), object), np.array(got.column(1).to_pylist(), float)
     return {x: min(8.0, 2 * float(np.quantile(bits[langs == x], 0.99))) for x in sorted(set(langs)) if (langs == x).sum() >= 20}
 
@@ -217,28 +221,32 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_PLAIN_LETTER.search(text) is not None or any(c.isalpha() for c in text))
 
 
-def identify_languages(docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text", limits: dict[str, float] | None = None) -> DataFrame:
-    """All columns of ``docs``, lang_pred and score.
+def identify_languages(
+    docs: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text", limits: dict[str, float] | None = None,
+    keep: list[str] | None = None, lang_out: str = "lang_pred", score_out: str = "score",
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all), and ``lang_out`` and ``score_out``.
 
-    lang_pred is the language with the shortest code for the whole text, ties
+    lang_out is the language with the shortest code for the whole text, ties
     to the first in alphabetical order; ``und`` with score 0 where the text is
-    null or has no letter, and for every text if nothing was learned. score is
+    null or has no letter, and for every text if nothing was learned. score_out is
     that language's share when codes are read as probabilities. That share says
     nothing of texts in no learned language: with ``limits``, of ``code_limits``,
     a text whose shortest code takes more than its language's bits a byte (8 where
     none is given) and ``SLACK_BITS``, both whole and with all but its letters
-    read as spaces, is ``und`` too. Columns named lang_pred or
-    score are replaced.
+    read as spaces, is ``und`` too. Columns of ``docs`` with the names of the two
+    results are replaced. An empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    base = docs.drop("lang_pred", "score")
-    schema = base.limit(0).schema.add("lang_pred", "string").add("score", "double")
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in (lang_out, score_out)]
+    base = docs.select(*carried, F.col(text_col).cast("string").alias("__text"))
+    schema = base.limit(0).drop("__text").schema.add(lang_out, "string").add(score_out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         names = np.array([*m.languages, UNDETERMINED], object)
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            text = batch.column(batch.schema.get_field_index(text_col))
+            text = batch.column(batch.num_columns - 1)
             letters = np.array([has_letter(t) for t in text.to_pylist()], bool)
             if m.languages and batch.num_rows:
                 bits = m.code_lengths(text)
@@ -247,19 +255,19 @@ def identify_languages(docs: DataFrame, model: PpmModel, id_col: str = "doc_id",
                     a_byte = np.array([limits.get(x, 8.0) for x in m.languages])
                     over = bits.min(axis=1) > a_byte[best] * np.diff(utf8(text)[1]) + SLACK_BITS
                     if over.any():  # digits and signs that were not learned say nothing of the language
-                        plain = pa.array([_NO_LETTERS.sub(" ", t) for t in text.filter(pa.array(over)).to_pylist()], pa.string())
+                        plain = pa.array([_NO_LETTERS.sub(" ", t) if t else "" for t in text.filter(pa.array(over)).to_pylist()], pa.string())
                         again = m.code_lengths(plain)
                         letters[over] &= again.min(axis=1) <= a_byte[again.argmin(axis=1)] * np.diff(utf8(plain)[1]) + SLACK_BITS
                 score = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             else:
                 best, score, letters = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             best = np.where(letters, best, len(m.languages))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0))], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0))], names=[*batch.schema.names[:-1], lang_out, score_out])
 
     return base.mapInArrow(run, schema)
 
 
 def language_predictions(docs: DataFrame, labelled: DataFrame, **fit) -> DataFrame:
     """doc_id, lang_pred and score of every document; see ``identify_languages``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return identify_languages(rows, fit_languages(labelled, **fit)).select("doc_id", "lang_pred", "score")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return identify_languages(rows, fit_languages(labelled, **fit), keep=["doc_id"])

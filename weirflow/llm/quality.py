@@ -147,52 +147,54 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray, bits: int, cost: float =
 
 
 def _extract(bits: int):
-    schema = pa.schema([("good", pa.bool_()), ("ids", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in indicators(batch.column(1), bits)], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in indicators(batch.column(3), bits)], pa.binary())], names=["h", "id", "good", "ids"])
 
     return run
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on the texts of at most ``max_rows`` labelled ids of ``docs``, those with the smallest hash.
+    """Fit on at most ``max_rows`` labelled rows of ``docs``, those whose ids have the smallest hash.
 
     Rows with a null label or id are left out; a null text is empty. Rows that
-    repeat an id count each. With one class or no row, the score is a constant.
+    repeat an id count each, towards the bound too. With one class or no row, the
+    score is a constant.
     """
     known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), (F.col(label_col) == 1).alias("good"))
     present = docs.select(F.col(id_col).alias("__id")).join(known, "__id").distinct()  # ids only: no text is shuffled
     chosen = present.orderBy(F.xxhash64("__id"), "__id", "good").limit(max_rows)
     sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(  # at most max_rows ids
-        "good", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+        F.xxhash64("__id").alias("h"), F.col("__id").cast("string").alias("id"), "good", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    got = sample.mapInArrow(_extract(bits), "good boolean, ids binary").toArrow()
+    features = sample.mapInArrow(_extract(bits), "h long, id string, good boolean, ids binary")
+    got = features.orderBy("h", "id", "good", "ids").limit(max_rows).select("good", "ids").toArrow()
     found = sorted(zip(got.column("good").to_pylist(), got.column("ids").to_pylist()))
     return fit_rows([np.frombuffer(r, np.int32) for _, r in found], np.array([g for g, _ in found], bool), bits)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and score, the probability of the good label for each whole text.
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, score_out: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all) and ``score_out``, the probability of the good label for each whole text.
 
     A null text is scored as an empty one; a text without features gets the
-    score of the bias. A column named score is replaced.
+    score of the bias. A column of ``docs`` named as the score is replaced. An
+    empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop("score").schema.add("score", "double")
+    carried = [c for c in (docs.columns if keep is None else keep) if c != score_out]
+    base = docs.select(*carried, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    schema = base.limit(0).drop("__text").schema.add(score_out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index(text_col))
-            margins = np.array([m.margin(ids) for ids in indicators(text, m.bits)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.probability(margins), pa.float64())], names=[*batch.schema.names, "score"])
+            margins = np.array([m.margin(ids) for ids in indicators(batch.column(batch.num_columns - 1), m.bits)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(m.probability(margins), pa.float64())], names=[*batch.schema.names[:-1], score_out])
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
     """doc_id, score and predicted (1 if the score is at least ``threshold``) of every document."""
-    scored = score_quality(text_rows(docs), fit_quality(docs, labels, **fit))
+    scored = score_quality(text_rows(docs), fit_quality(docs, labels, **fit), keep=["doc_id"])
     return scored.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
