@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .html_blocks import Block, blocks, features
+from .html_blocks import Block, Element, blocks, features, own_features
 
 
 @dataclass
@@ -33,13 +33,29 @@ class Extractor:
     weights: dict[str, tuple[float, float]]
     moves: list[list[float]]
 
+    def _above(self, element: Element) -> tuple[float, float]:
+        """Summed weights of all names around a block; each element's are added once to those above it."""
+        chain, none = [], (0.0, 0.0)
+        while element is not None and element.sums is None:
+            chain.append(element)
+            element = element.above
+        e0, e1 = element.sums if element is not None else none
+        for each in reversed(chain):
+            for name in each.names:
+                w = self.weights.get(name, none)
+                e0 += w[0]
+                e1 += w[1]
+            each.sums = (e0, e1)
+        return e0, e1
+
     def labels(self, found: list[Block]) -> list[int]:
+        """The best labelling, by Viterbi; ties go to the smaller label."""
         get, none = self.weights.get, (0.0, 0.0)
         (m00, m01), (m10, m11) = self.moves
         s0 = s1 = 0.0
         back: list[tuple[int, int]] = []
-        for own in features(found):
-            e0 = e1 = 0.0
+        for b, own in zip(found, own_features(found)):
+            e0, e1 = self._above(b.element)
             for f in own:
                 w = get(f, none)
                 e0 += w[0]
@@ -62,6 +78,25 @@ class Extractor:
         return " ".join(b.text for b, y in zip(found, self.labels(found)) if y)
 
 
+def loss_and_gradients(emissions: np.ndarray, moves: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Negative log likelihood of the labels ``y``, and its gradients by the blocks' scores and by the moves; forward and backward sums."""
+    n = len(y)
+    forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
+    forward[0] = emissions[0]
+    for i in range(1, n):
+        forward[i] = np.logaddexp(forward[i - 1, 0] + moves[0], forward[i - 1, 1] + moves[1]) + emissions[i]
+    for i in range(n - 2, -1, -1):
+        after = emissions[i + 1] + backward[i + 1]
+        backward[i] = np.logaddexp(moves[:, 0] + after[0], moves[:, 1] + after[1])
+    total = np.logaddexp(forward[-1, 0], forward[-1, 1])
+    single = np.exp(forward + backward - total)
+    single[np.arange(n), y] -= 1
+    pair = np.exp(forward[:-1, :, None] + moves + (emissions[1:] + backward[1:])[:, None, :] - total).sum(axis=0) if n > 1 else np.zeros((2, 2))
+    np.subtract.at(pair, (y[:-1], y[1:]), 1)
+    path = emissions[np.arange(n), y].sum() + moves[y[:-1], y[1:]].sum()
+    return float(total - path), single, pair
+
+
 def fit_extractor(pages: list[str], epochs: int = 10, rate: float = 0.3, penalty: float = 1e-4, seed: int = 5) -> Extractor:
     """Train on pages whose main text lies in elements with ``data-main``, less those with ``data-other``. Pages without blocks are skipped."""
     index: dict[str, int] = {}
@@ -77,29 +112,15 @@ def fit_extractor(pages: list[str], epochs: int = 10, rate: float = 0.3, penalty
     for _ in range(epochs):
         for k in rng.permutation(len(data)):
             rows, y = data[k]
-            n = len(rows)
-            e = np.array([w[r].sum(axis=0) for r in rows])
-            forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-            forward[0] = e[0]
-            for i in range(1, n):
-                forward[i] = np.logaddexp(forward[i - 1, 0] + t[0], forward[i - 1, 1] + t[1]) + e[i]
-            for i in range(n - 2, -1, -1):
-                after = e[i + 1] + backward[i + 1]
-                backward[i] = np.logaddexp(t[:, 0] + after[0], t[:, 1] + after[1])
-            total = np.logaddexp(forward[-1, 0], forward[-1, 1])
-            single = np.exp(forward + backward - total)
-            single[np.arange(n), y] -= 1
-            g = {}
-            for r, x in zip(rows, single):
-                for f in r:
-                    g[f] = g[f] + x if f in g else x
-            keys = np.fromiter(g, int)
-            grad = np.array([g[f] for f in keys]) + penalty * w[keys]
+            _, single, pair = loss_and_gradients(np.array([w[r].sum(axis=0) for r in rows]), t, y)
+            at = np.concatenate(rows)
+            keys, where = np.unique(at, return_inverse=True)
+            grad = np.zeros((len(keys), 2))
+            np.add.at(grad, where, np.repeat(single, [len(r) for r in rows], axis=0))
+            grad += penalty * w[keys]
             squares[keys] += grad**2
             w[keys] -= rate * grad / np.sqrt(squares[keys])
-            if n > 1:
-                pair = np.exp(forward[:-1, :, None] + t + (e[1:] + backward[1:])[:, None, :] - total).sum(axis=0)
-                np.subtract.at(pair, (y[:-1], y[1:]), 1)
+            if len(y) > 1:
                 pair += penalty * t
                 t_squares += pair**2
                 t -= rate * pair / np.sqrt(t_squares)
@@ -162,7 +183,7 @@ def training_pages(n: int = 400, seed: int = 11) -> list[str]:
         return advert() if kind == "advert" else comments()
 
     def article() -> str:
-        body = f"<h1>{words(2, 12)}</h1>"
+        body = f"<h1>{words(2, 12)}</h1>" if rng.random() < 0.9 else ""
         for _ in range(rng.choice((1, 2, 3, 4, 6, 9, 14))):
             r = rng.random()
             if r < 0.8:
@@ -178,7 +199,8 @@ def training_pages(n: int = 400, seed: int = 11) -> list[str]:
             else:
                 body += re.sub(r"^<(\w+)", r"<\1 data-other", chrome(rng.choice(("advert", "advert", "side", "form", "notice"))))
         a, b = rng.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), named("div section td", "content main article post entry story body text")))
-        return a.replace(">", " data-main>") + body + b
+        wrappers = rng.choice((0, 0, 1, 2, 6))
+        return "<div>" * wrappers + a.replace(">", " data-main>") + body + b + "</div>" * wrappers
 
     pages = []
     for k in range(n):
@@ -194,8 +216,9 @@ def extract_main_text(pages: DataFrame, model: Extractor | None = None, id_col:
     """``id_col``, the columns ``keep``, text and n_chars, its code points.
 
     text is the main blocks of the whole page in order, joined by one space; it
-    is empty for a null, empty or textless page. Repeated rows are extracted
-    each; other columns are ignored. An empty table gives an empty result.
+    is empty for a null, empty or textless page. Elements may be nested to any
+    depth and have any number of names. Repeated rows are extracted each; other
+    columns are ignored. An empty table gives an empty result.
     """
     held = pages.sparkSession.sparkContext.broadcast(model or fit_extractor(training_pages()))
     rows = pages.select(id_col, *keep, F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("__html"))
