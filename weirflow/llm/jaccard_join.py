@@ -314,7 +314,7 @@ def _resolve(percent: int):
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1 << 20
+    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1 << 16
 ) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of at least ``percent`` / 100.
 
