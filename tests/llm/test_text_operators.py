@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.llm import byte_bpe, imatch, maxent_lm, packing, ppm_language, quality, textvec
-from weirflow.llm.chunked_bpe import BARE, ChunkedEncoder, Tokenizer, folded
+from weirflow.llm.chunked_bpe import Tokenizer, WordEncoder
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -153,14 +153,14 @@ def test_byte_bpe(spark):
 
 def test_packing(spark):
     path = P.path("word_bpe_49k.json")
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    plain = Tokenizer.from_file(path)  # as it is: special tokens in a text are found
     rng = random.Random(7)
-    alphabet = "ab  \n\x1c\x85\xa0é漢字🙂'sS019!?.,̧́ΣσÅİ"
-    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
-    ids, cuts = ChunkedEncoder(Tokenizer.from_file(path), BARE, "</w>").encode_batch([folded(t) for t in odd])
+    alphabet = [*"ab  \n\x1c\x85\xa0é漢字🙂'sS019!?.,̧́ΣσÅİ<|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|endoftext", "word's"]
+    odd = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    odd += ["it's <|endoftext|> ok", "<|endoftext|>", "x<|startoftext|>y <|ENDOFTEXT|>", "'<|ENDOFTEXT|>", "", "a" * 5000]
+    ids, cuts = WordEncoder(Tokenizer.from_file(path), "</w>").encode_batch(pa.array(odd))
     assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [e.ids for e in plain.encode_batch(odd, add_special_tokens=False)]
-    texts = ODD + [made(rng, rng.randint(1, 300), ["alpha", "beta,", "gamma"]) for _ in range(150)]
+    texts = ODD + [made(rng, rng.randint(1, 300), ["alpha", "beta,", "gamma", "<|endoftext|>"]) for _ in range(150)]
     frame = docs(spark, texts)
     got = packing.pack_documents(frame, path, capacity=256, block=64).collect()
     of = collections.defaultdict(list)

@@ -25,28 +25,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .chunked_bpe import BARE, ChunkedEncoder, folded
+from .chunked_bpe import WordEncoder
 from .common import partitions_for, stored, text_rows
 
-_encoders: dict[str, ChunkedEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, word_end: str | None = "</w>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, word_end: str = "</w>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each document's ids and end mark: doc_id, piece, start, length, ids_crc32.
 
-    ``path`` names a tokenizers file that lower-cases and drops white space.
-    Documents longer than ``capacity`` are cut into pieces of that length, the
+    ``path`` names a tokenizers file that drops white space and marks words' ends;
+    the ids are those of its ``encode(text, add_special_tokens=False)``. Documents longer than ``capacity`` are cut into pieces of that length, the
     last one shorter. A null text is empty and has the end mark alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, ChunkedEncoder(Tokenizer.from_file(path), BARE, word_end))
+        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(Tokenizer.from_file(path), word_end))
         end, size = int(end_id).to_bytes(4, "little"), 4 * capacity
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
                 doc, piece, start, length, crc = [], [], [], [], []
-                got, cuts = encoder.encode_batch([folded(t) for t in batch.column(1).to_pylist()])
+                got, cuts = encoder.encode_batch(batch.column(1))
                 raw = got.astype("<u4").tobytes()
                 for d, a, b in zip(batch.column(0).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
                     ids = raw[4 * a : 4 * b] + end
@@ -276,11 +276,16 @@ def _pack_level(items: DataFrame, capacity: int, blocks: int, islands: int, epoc
     return rows.join(chosen, "block").mapInArrow(_spread_out, "item long, length long, block long, bin long, offset long, filled long")
 
 
-def pack(pieces: DataFrame, capacity: int, block: int = 4096, islands: int = 2, epochs: int = 3, population: int = 4, generations: int = 6) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, block: int = 4096, islands: int = 2, epochs: int = 3, population: int = 4, generations: int = 6, open_below: float = 0.97, least_gain: float = 0.5) -> DataFrame:
     """(item, length) to (item, sequence_id, offset): sequences of at most ``capacity``, without gaps.
 
     ``item`` is a unique long and lengths are 1 to ``capacity``; empty input
-    gives empty output.
+    gives empty output. After each level, sequences filled to ``open_below`` of the
+    capacity stay; the others are opened and packed again at the next level. Where
+    opening them leaves more than 1 - ``least_gain`` of a level's items, pieces are
+    so few to a sequence that another order of them gains nothing, and sequences
+    stay as they are: what that may cost is the room left in them, below
+    1 - ``open_below`` of the sequences' total elsewhere.
     """
     full = pieces.where(F.col("length") >= capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     left, out, level = pieces.where(F.col("length") < capacity).select("item", "length"), [full], 0
@@ -294,11 +299,11 @@ def pack(pieces: DataFrame, capacity: int, block: int = 4096, islands: int = 2,
             out.append(named.select("item", "sequence_id", "offset"))
             break
         # the emptiest bins of each block, about as many as it has above the least
-        loose = F.col("filled") < 0.97 * capacity
+        loose = F.col("filled") < open_below * capacity
         out.append(named.where(~loose).select("item", "sequence_id", "offset"))
         left = packed.where(loose).select("item", "length")
         before, count, level = count, left.count(), level + 1
-        if count > 0.5 * before:  # little can be gained by more rounds: keep these as they are
+        if count > (1 - least_gain) * before:
             out.append(named.where(loose).select("item", "sequence_id", "offset"))
             break
     result = out[0]
