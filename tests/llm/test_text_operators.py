@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm import byte_bpe, imatch, maxent_lm, packing, ppm_language, quality, textvec
 from weirflow.llm.chunked_bpe import Tokenizer, WordEncoder
+from weirflow.llm.textvec import text_words
 
 P = pytest.importorskip("public_tokenizers")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,12 +120,71 @@ def test_fingerprints(spark):
     assert all(len(v) == 1 for v in by_text.values())
     long = [r for (_, t), r in zip(rows, got) if t in texts and len(t) > 200]
     assert np.mean([r["near_edited"] for r in long]) > np.mean([r["near_next"] for r in long])
-    assert imatch.likeness(got[0]["fingerprint"], got[0]["fingerprint"]) == 1.0
+    assert imatch.likeness([got[0]["fingerprint"]], [got[0]["fingerprint"]]).tolist() == [1.0]
     assert imatch.edited_fingerprints(every.limit(0)).count() == 0
     alone = imatch.edited_fingerprints(every.where("doc_id = 20")).first()
     assert alone["near_next"] == 1.0
 
 
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(15)
+    vocabulary = [f"t{i}" for i in range(400)]
+    texts = [made(rng, rng.randint(1, 90), vocabulary) for _ in range(120)] + ODD + ["the only rare words here", "the", "the the the"]
+    rows = docs(spark, [("the " + t if t and k % 2 else t) for k, t in enumerate(texts)])
+    lexicon = imatch.Lexicon.fit(rows.select(F.coalesce("text", F.lit("")).alias("text")), max_share=0.2, min_docs=3)
+    of = {r["doc_id"]: sorted(set(words(r["text"]))) for r in rows.collect()}
+    held = collections.Counter(w for own in of.values() for w in own)
+    band = {w for w, n in held.items() if 3 <= n <= 0.2 * len(of)}
+    every = list(held)
+    hashes = [int(h) for _, _, w, _ in text_words(pa.array([" ".join(every)])) for h in w]
+    number = dict(zip(every, hashes))
+    inside = lexicon.holds(np.array(hashes, np.uint64))
+    assert {w for w, x in zip(every, inside) if x} == band and {"the", "only"} & band == set()
+
+    def mixed(x):
+        x ^= x >> 33
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = x * m % 2**64
+            x ^= x >> 33
+        return x
+
+    def subset(terms):
+        total = sum(terms) % 2**64
+        return f"{max(mixed(total) >> 48, 1) if total else 0:04x}"
+
+    prints = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint_documents(rows, lexicon).collect()}
+    for i, own in of.items():
+        terms = [number[w] for w in own if w in band] or [number[w] for w in own]
+        want = subset([mixed(t) for t in terms])
+        for seed in map(int, lexicon.seeds[: lexicon.draws]):
+            drawn = [mixed(t ^ seed) for t in terms]
+            for level in range(1, lexicon.levels + 1):
+                want += subset([mixed((x + seed) % 2**64) for x in drawn if x >> 64 - level == 0])
+        assert prints[i] == want, i
+
+
+def test_fingerprints_tell_edited_texts_from_others(spark):
+    got = imatch.edited_fingerprints(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    assert got.where("near_edited > near_next").count() >= 0.9 * got.count()
+
+
+def test_ranges_keep_the_order(spark):
+    rng = random.Random(4)
+    ids = rng.sample(range(-500, 500), 300) + [7, 7, None]
+    frame = spark.createDataFrame([(i, "x" * rng.choice((0, 5, 4000))) for i in ids], "doc_id long, text string").repartition(5)
+    parts = imatch._with_next(frame, 6).withColumn("at", F.spark_partition_id()).collect()
+    assert len({r["at"] for r in parts}) == 6
+    follows = {}
+    for a, b in zip(parts, parts[1:]):
+        if a["at"] == b["at"] and a["range"] == b["range"] and not a["tail"]:
+            follows.setdefault(a["doc_id"], []).append(b["doc_id"])
+    order = sorted(ids, key=lambda i: (i is None, -(i or 0)))
+    want = {}
+    for a, b in zip(order, order[1:] + order[:1]):
+        want.setdefault(a, []).append(b)
+    assert follows == want
+
+
 def test_byte_bpe(spark):
     tiktoken = pytest.importorskip("tiktoken")
     path = P.path("byte_bpe_multi_50k.tiktoken")
