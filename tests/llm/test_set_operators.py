@@ -142,11 +142,28 @@ def test_line_dedup(spark):
 def test_runs_know_what_is_new(spark):
     store = line_dedup.LineRuns(spark, fanout=2)
     frame = lambda keys, d: spark.createDataFrame([(k, d) for k in keys], "key string, doc_id long")
-    assert store.ingest(frame("abc", 1)).where("fresh").count() == 3
-    assert {r["key"] for r in store.ingest(frame("bcd", 2)).where("fresh").collect()} == {"d"}
-    assert [len(level) for level in store.levels] == [0, 1]
-    assert {r["key"] for r in store.ingest(frame("de", 3)).where("fresh").collect()} == {"e"}
-    assert {tuple(r) for r in store.totals().collect()} == {("a", 1, 1), ("b", 2, 2), ("c", 2, 2), ("d", 2, 3), ("e", 1, 3)}
+    fresh = lambda run: {r["key"] for r in run.frame.where("fresh").collect()}
+    assert fresh(store.ingest(frame("abc", 1))) == set("abc")
+    store.ingest(frame("bcd", 2))
+    assert [len(level) for level in store.levels] == [0, 1] and fresh(store.runs()[0]) == set("abcd")  # compacted
+    run = store.ingest(frame("dex", 3))
+    assert fresh(run) == set("ex") and {tuple(r) for r in run.frame.where("not fresh").collect()} == {("d", 1, 3, False)}
+    run = store.ingest(frame("xad", 0))
+    assert [len(level) for level in store.levels] == [0, 0, 1] and fresh(store.runs()[0]) == set("abcdex")
+    assert {tuple(r) for r in store.totals().collect()} == {("a", 2, 1), ("b", 2, 2), ("c", 2, 2), ("d", 3, 3), ("e", 1, 3), ("x", 2, 3)}
+    store.drop()
+
+
+def test_runs_merge_without_a_shuffle(spark):
+    store = line_dedup.LineRuns(spark, fanout=9)
+    for k in range(3):
+        own = store.ingest(spark.range(100 * k, 300 * k + 100).select(F.col("id").cast("string").alias("key"), F.lit(k).cast("long").alias("doc_id")))
+    with line_dedup._sorted_buckets(spark):
+        told = store.told_apart(own.frame.drop("fresh"), store.runs())
+        plan = told._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("LeftAnti") == 3 and plan.count("SortMergeJoin") == 4 and "Exchange" not in plan and "Sort [" not in plan
+        assert "Exchange" not in store.totals()._jdf.queryExecution().executedPlan().toString()
+    store.drop()
 
 
 def test_extraction(spark):

@@ -22,13 +22,16 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests on one machine), a temporary folder is
-    created once per session and set as the session's checkpoint folder.
+    Where the setting is absent and all runs on one machine (tests), a temporary
+    folder is created once per session and set as the session's checkpoint folder.
+    On a cluster the setting is required.
     """
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         configured = "file://" + tempfile.mkdtemp(prefix="weirflow-")
         spark.conf.set("spark.checkpoint.dir", configured)
         spark.sparkContext.setCheckpointDir(configured)
@@ -55,14 +58,16 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_stored(spark: SparkSession, df: DataFrame) -> None:
     """Remove what ``stored`` wrote, once nothing will read it again."""
-    jvm = spark.sparkContext._jvm
-    roots = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for root in roots:
+    for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/weirflow/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete_path(spark, root)
 
 
 def partitions_for(spark: SparkSession, at_least: int = 1) -> int:
