@@ -190,7 +190,7 @@ def test_search(spark):
     rows += [(300 + i, rows[0][1]) for i in range(20)]  # ties
     rows += [(400, None), (401, []), (402, [1.0, None]), (403, [float("nan")] * 8), (404, [float("inf")] * 8), (None, rows[1][1]), (450, [1.0, 2.0]), (500, [0.0] * 8)]
     frame = spark.createDataFrame([(i, v, "s") for i, v in rows], "vec_id long, embedding array<double>, score string")
-    got = sorted(map(tuple, va_search.exact_topk(frame, lambda c: c % 50 == 0, 5, block=37, query_block=2).collect()))
+    got = sorted(map(tuple, va_search.exact_topk(frame, lambda c: c % 50 == 0, 5, block=37, chunk=3).collect()))
     ints = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     want = []
     for q in sorted(i for i in ints if i % 50 == 0):
@@ -200,6 +200,23 @@ def test_search(spark):
     assert va_search.exact_topk(frame.limit(0), lambda c: c % 50 == 0).count() == 0
 
 
+def test_search_reads_few_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[2000:2600] = x[0]  # a group of copies, which each block reads once
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = va_search.found_in_blocks(frame, lambda c: c % 50 == 0, block=500).agg({"read": "sum"}).first()[0]
+    assert got < 0.05 * 80 * 4000
+    ints = np.floor(256 * x).astype(np.int64)
+    row = dict(zip([c.split()[0] for c in va_search._FILE.split(", ")], va_search.ApproximationFile.row(0, np.arange(4000), ints, 6)))
+    assert len(row["cells"]) * 8 <= 6 * row["n"] * 32 + 64 and len(row["cells"]) < len(row["vectors"]) / 2 and row["n"] == 3400
+    file = va_search.ApproximationFile.read(row, 6)
+    middle, reach = file.bounds(ints[:40].astype(np.float64))
+    exact = ints[:40] @ file.vectors.T.astype(np.int64)
+    assert (np.abs(middle - exact) <= reach[:, None]).all() and reach.max() < 0.2 * 256**2
+
+
 def test_pipeline_keeps_one_of_each_group(spark, tmp_path):
     import corpus_pipeline
 
