@@ -280,12 +280,12 @@ def test_language_model_sums_to_one():
     keys = np.arange(10, 20, dtype=np.uint64)
     counts = np.array([50, 40, 30, 20, 10, 9, 8, 7, 6, 5])
     words_ = maxent_lm.Vocabulary.build(keys, counts, 200, 25, np.array([0, 1, 0, 1]), 6)
-    inside = np.bincount(words_.classes, weights=10**words_.log_in_class, minlength=words_.n_classes)
-    assert np.allclose(inside[:-1], 1)
     # the tail: 15 words of 15 counts in all, and the unknown one
     assert math.isclose((15 + 0.1 * 15 + 0.1) / words_.tail_mass, 1)
+    tables = maxent_lm.Tables.of(25, 14, 21)
+    assert maxent_lm.Tables.of(10**6, 14, 21).rows > maxent_lm.Tables.of(10**4, 14, 21).rows > tables.rows
     rng = np.random.default_rng(1)
-    z = maxent_lm._log_softmax(np.zeros(6, np.float32), rng.normal(size=(maxent_lm.ROWS, 6)).astype(np.float32), rng.integers(0, maxent_lm.ROWS, (50, 4)))
+    z = maxent_lm._log_softmax(np.zeros(6, np.float32), rng.normal(size=(tables.rows, 6)).astype(np.float32), rng.integers(0, tables.rows, (4, 50)))
     assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-5)
 
 
@@ -300,13 +300,48 @@ def test_language_model_tells_words_of_a_class_apart(spark):
     assert sum(r["score"] for r in got) > 0.7 * sum(r["base_score"] for r in got)
 
 
-def test_word_shares_within_classes_sum_to_one():
-    keys = np.arange(10, 20, dtype=np.uint64)
-    words_ = maxent_lm.Vocabulary.build(keys, np.array([50, 40, 30, 20, 10, 9, 8, 7, 6, 5]), 200, 25, np.array([0, 1, 0, 1]), 6)
+@pytest.mark.parametrize("depth", [0, 1, 8])
+def test_word_shares_within_classes_sum_to_one(depth):
+    keys, counts = np.arange(10, 20, dtype=np.uint64), np.array([50, 40, 30, 20, 10, 9, 8, 7, 6, 5])
+    words_ = maxent_lm.Vocabulary.build(keys, counts, 200, 25, np.array([0, 1, 0, 1]), 3, depth)
     rng = np.random.default_rng(1)
     context = rng.integers(0, 1 << 32, (4, 1), dtype=np.uint32).repeat(11, axis=1)
     found = np.r_[np.arange(10), -1]
-    plain = words_.forks.log_share(np.zeros(1 << maxent_lm.FORK_BITS, np.float32), found, context)
-    assert np.allclose(plain, np.r_[words_.log_in_class, 0], atol=1e-5)
-    learned = words_.forks.log_share(rng.normal(size=1 << maxent_lm.FORK_BITS).astype(np.float32), found, context)
-    assert np.allclose(np.bincount(words_.classes, weights=10 ** learned[:10]), 1, atol=1e-5) and not np.allclose(learned, plain)
+    plain = words_.forks.log_share(np.zeros(1 << 12, np.float32), found, context, 12)
+    by_counts = np.log10((counts + 0.1) / np.bincount(words_.classes, weights=counts + 0.1)[words_.classes])
+    assert np.allclose(plain, np.r_[by_counts, 0], atol=1e-5)
+    learned = words_.forks.log_share(rng.normal(size=1 << 12).astype(np.float32), found, context, 12)
+    assert np.allclose(np.bincount(words_.classes, weights=10 ** learned[:10]), 1, atol=1e-5) and np.allclose(learned, plain) == (depth == 0)
+
+
+def test_gradient_steps_follow_the_loss():
+    rng = np.random.default_rng(2)
+    tables = maxent_lm.Tables((8, 4, 4, 8), 12)
+    weights, bias = rng.normal(size=(24, 5)).astype(np.float32), rng.normal(size=5).astype(np.float32)
+    rows = np.stack([rng.integers(a, b, 30) for a, b in ((0, 8), (8, 12), (12, 16), (16, 24))]).astype(np.uint16)
+    y = rng.integers(0, 5, 30)
+    loss = lambda w: -float(maxent_lm._log_softmax(bias.astype(np.float64), w, rows)[np.arange(30), y].sum())
+    after, squares = weights.copy(), np.ones_like(weights)
+    maxent_lm._step(bias, after, squares, rows, y, 1e-3)
+    moved = (after - weights) * -1e3  # gradient over the root of 1 and its square; the features' rows lie apart
+    for r, c in [(0, 0), (3, 4), (9, 1), (13, 2), (20, 3)]:
+        w = weights.astype(np.float64)
+        w[r, c] += 1e-4
+        up = loss(w)
+        w[r, c] -= 2e-4
+        slope = (up - loss(w)) / 2e-4
+        assert abs(moved[r, c] - slope / math.sqrt(1 + slope * slope)) < 5e-3
+    assert tables.rows == 24
+
+
+def test_arrays_add_up_in_steps(spark):
+    frame = spark.range(0, 100, numPartitions=10)
+
+    def per_task(batches):
+        total = np.zeros(1 << 19, np.float32)
+        for b in batches:
+            total[:100] += np.bincount(b.column(0).to_numpy(), minlength=100)
+        return total
+
+    got = maxent_lm._add_arrays(frame, 10, per_task, 1 << 19, fan_in=2)
+    assert got[:100].tolist() == [1.0] * 100 and not got[100:].any()

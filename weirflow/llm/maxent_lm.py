@@ -2,22 +2,25 @@
 
 Tokens are words, A-Z lower-cased, and one end mark a text. Counts over all
 training texts give the add-0.1 unigram base. The model is P(class | context)
-times P(word | class). Words fall into classes of about equal mass: the most
-frequent ones are first grouped by the company they keep (how often texts that
+times P(word | class, context). Words fall into classes of about equal mass: the
+most frequent ones are first grouped by the company they keep (how often texts that
 hold them hold each of the very most frequent words), others by frequency, and
 all words beyond a table of bounded size form the tail class. P(class | context)
 is a softmax of summed weight rows: of the word before, of the pair before, and
 of the words two and three before (skips), each hashed into its own region of a
-table of fixed size. P(word | class, context) is a softmax of two at each fork of
-a binary tree over the class's words: the log odds of the sides' add-0.1 counts,
-and a weight for each of the same four features, hashed with the fork into a
-second table of fixed size. In the tail it is the add-0.1 share of the word's
-count alone; an unknown word is one event of the tail.
+table. P(word | class, context) goes down a binary tree over the class's words that
+halves their mass at each fork: a softmax of two at the first ``depth`` forks, from
+the log odds of the sides' add-0.1 counts and a weight for the word before, the
+pair before and the word two before (skip), hashed with the fork into a second
+table; below these, where few and rare words are left, the add-0.1 share of the
+word's count. In the tail that share alone holds; an unknown word is one event of
+the tail. Both tables grow with the number of distinct words, up to a size that
+every task can hold.
 
 Weights are trained on all training texts, each once: in every round the texts of
 its share are read where they lie, each task takes gradient steps from the
-round's weights, and the tasks' weights are averaged: rows of classes by the
-tokens a task saw, weights of forks by the squared gradients it saw for them.
+round's weights, and the tasks' changes are averaged: rows of classes by the
+tokens a task saw, weights of forks by the size of the gradients it saw for them.
 Scoring goes over arrays of tokens. Counts of tail words never reach the driver
 or a broadcast: tail occurrences meet the counts in a shuffle by hash.
 """
@@ -32,16 +35,37 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import kept, partitions_for
+from .common import partitions_for
 from .textvec import HashIndex, mix, text_words
+from .wordcounts import bin_of, by_part, count_words, first_bin, histogram
 
 END, BEGIN, RARE = np.uint64(1), np.uint64(2), np.uint64(3)
 ADD = 0.1
-#: Rows of the weight table: word before, two before, three before, the pair before.
-REGIONS = (1 << 13, 1 << 12, 1 << 12, 1 << 13)
-ROWS = sum(REGIONS)
-#: Weights of the forks' table, for all four features.
-FORK_BITS = 20
+#: Which features forks use: of the word before, two before, three before and the pair before, by their places.
+FORK_FEATURES = (0, 1, 3)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Rows of the classes' weight table for each feature, and bits of the forks' table."""
+
+    regions: tuple[int, int, int, int]
+    fork_bits: int
+
+    @classmethod
+    def of(cls, n_words: int, max_row_bits: int, max_fork_bits: int) -> Tables:
+        """For so many distinct words: rows for one word in 32, cells for four times as many forks, within bounds."""
+        size = max(n_words, 1).bit_length()
+        row = min(max(size - 5, 8), max_row_bits)
+        return cls((1 << row, 1 << row - 1, 1 << row - 1, 1 << row), min(max(size + 2, 12), max_fork_bits))
+
+    @property
+    def rows(self) -> int:
+        return sum(self.regions)
+
+    @property
+    def cells(self) -> int:
+        return 1 << self.fork_bits
 
 
 def tokens(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -50,35 +74,45 @@ def tokens(arr: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         yield i, j, np.insert(words, at[1:], END), at + np.arange(len(at))
 
 
-def _add_arrays(rows: DataFrame, per_task: Callable, length: int, pieces: int = 16, fan_in: int = 32) -> np.ndarray:
-    """Sum over tasks of an array of doubles of a fixed length, which each task makes of its rows.
+def _add_arrays(rows: DataFrame, tasks: int, per_task: Callable, length: int, kind: type = np.float32, fan_in: int = 32) -> np.ndarray:
+    """Sum over ``tasks`` tasks of an array of a fixed length, which each task makes of its rows and sends as ``kind``.
 
-    Arrays are cut in pieces and added up in two steps, so that no task reads a
-    piece of every task: first within groups of tasks, then over the groups.
+    Arrays are cut in pieces of about a megabyte and added up in as many steps as it
+    takes for no task to read a piece of more than ``fan_in`` others.
     """
     ddl, names = "piece int, turn int, total binary", ["piece", "turn", "total"]
+    pieces = min(256, max(1, length >> 18))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = per_task(batches)
         if made is not None:
             turn = TaskContext.get().partitionId() // fan_in
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces), pa.int32()), pa.array([turn] * pieces, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in np.array_split(made, pieces)], pa.binary())], names=names)
+            for p, x in enumerate(np.array_split(made, pieces)):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([turn], pa.int32()), pa.array([x.astype(kind).tobytes()], pa.binary())], names=names)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, x in zip(batch.column("piece").to_pylist(), batch.column("total")):
-                part = np.frombuffer(x.as_buffer(), np.float32)
-                if p in total:
-                    total[p] += part
-                else:
-                    total[p] = part.astype(np.float64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=names)
-
-    spread = max(pieces, partitions_for(rows.sparkSession))
-    grouped = rows.mapInArrow(make, ddl).repartition(spread, "piece", "turn").mapInArrow(add, ddl)
-    got = grouped.repartition(pieces, "piece").mapInArrow(add, ddl).toArrow()
+    def add(kind: type):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int], np.ndarray] = {}
+            for batch in batches:
+                for p, t, x in zip(batch.column("piece").to_pylist(), batch.column("turn").to_pylist(), batch.column("total")):
+                    part = np.frombuffer(x.as_buffer(), kind)
+                    if (p, t) in total:
+                        total[p, t] += part
+                    else:
+                        total[p, t] = part.astype(np.float64)
+            for (p, t), x in total.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([t // fan_in], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=names)
+
+        return run
+
+    summed, groups = rows.coalesce(tasks).mapInArrow(make, ddl), -(-tasks // fan_in)
+    spread = partitions_for(rows.sparkSession)
+    while True:
+        summed = summed.repartition(max(1, min(spread, pieces * groups)), "piece", "turn").mapInArrow(add(kind), ddl)
+        if groups == 1:
+            break
+        groups, kind = -(-groups // fan_in), np.float32
+    got = summed.toArrow()
     out = [np.zeros(len(x)) for x in np.array_split(np.zeros(length), pieces)]
     for p, x in zip(got.column("piece").to_pylist(), got.column("total").to_pylist()):
         out[p] += np.frombuffer(x, np.float32)
@@ -88,93 +122,21 @@ def _add_arrays(rows: DataFrame, per_task: Callable, length: int, pieces: int =
 # counts
 
 
-def _by_part(keys: np.ndarray, values: np.ndarray, parts: int) -> Iterator[tuple[int, bytes, bytes]]:
-    part = ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    keys, values, ends = keys[order], values[order], np.cumsum(np.bincount(part, minlength=parts))
-    for p, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
-        if b > a:
-            yield p, keys[a:b].tobytes(), values[a:b].tobytes()
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    new = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[new], np.add.reduceat(c, new)
-
-
-def _count(parts: int, flush: int = 1 << 19):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-
-        def out() -> pa.RecordBatch:
-            rows = list(_by_part(*_summed(keys, counts), parts))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "counts"])
-
-        for batch in batches:
-            for _, _, t, _ in tokens(batch.column(0)):
-                if len(t):
-                    k, c = np.unique(t, return_counts=True)
-                    keys.append(k)
-                    counts.append(c.astype(np.int64))
-                    held += len(k)
-                if held > flush:
-                    k, c = _summed(keys, counts)
-                    keys, counts, held = [k], [c], len(k)
-                    if held > flush // 2:
-                        yield out()
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield out()
-
-    return run
-
-
-def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of part to one row a part."""
-    part, keys, counts = None, [], []
-
-    def out() -> pa.RecordBatch:
-        k, c = _summed(keys, counts)
-        sizes = np.bincount(np.minimum(np.log2(c) * 4, 255).astype(np.int64), minlength=256)
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary()), pa.array([int(c.sum())]), pa.array([len(k)]), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["part", "keys", "counts", "n", "v", "sizes"])
-
-    for batch in batches:
-        for p, k, c in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "counts"))):
-            if p != part and keys:
-                yield out()
-                keys, counts = [], []
-            part = p
-            keys.append(np.frombuffer(k, np.uint64))
-            counts.append(np.frombuffer(c, np.int64))
-    if keys:
-        yield out()
-
-
-def count_tokens(train: DataFrame, parts: int) -> DataFrame:
-    """(part, keys, counts, n, v, sizes): all tokens' counts, packed by hash part."""
-    spread = train.mapInArrow(_count(parts), "part int, keys binary, counts binary")
-    joined = spread.repartition(partitions_for(train.sparkSession), "part").sortWithinPartitions("part")
-    return kept(joined.mapInArrow(_total, "part int, keys binary, counts binary, n long, v long, sizes array<long>"))
+def _tokens_alone(arr: pa.Array) -> Iterator[np.ndarray]:
+    for _, _, t, _ in tokens(arr):
+        yield t
 
 
 def most_frequent(counted: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(keys, counts, N, V): the at most ``at_most`` tokens above a count, by falling count."""
-    n, v, sizes = 0, 0, np.zeros(256, np.int64)
-    per_bin = counted.select("n", "v", F.posexplode("sizes").alias("bin", "held")).groupBy("bin").agg(F.sum("held"), F.sum("n"), F.sum("v")).collect()
-    for b, held, total, words in per_bin:
-        sizes[b] = held
-        n, v = total, words
-    above = np.cumsum(sizes[::-1])[::-1]
-    first_bin = int(np.argmax(above <= at_most)) if (above <= at_most).any() else 256
+    n, v, sizes = histogram(counted)
+    least = first_bin(sizes, at_most)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, np.int64)
-                top = np.minimum(np.log2(counts) * 4, 255).astype(np.int64) >= first_bin
+                top = bin_of(counts) >= least
                 yield pa.RecordBatch.from_arrays([pa.array([keys[top].tobytes()], pa.binary()), pa.array([counts[top].tobytes()], pa.binary())], names=["keys", "counts"])
 
     got = counted.select("keys", "counts").mapInArrow(pick, "keys binary, counts binary").toArrow()  # at_most entries
@@ -187,7 +149,7 @@ def most_frequent(counted: DataFrame, at_most: int) -> tuple[np.ndarray, np.ndar
 # classes
 
 
-def company(train: DataFrame, keys: np.ndarray, anchors: int) -> np.ndarray:
+def company(train: DataFrame, tasks: int, keys: np.ndarray, anchors: int) -> np.ndarray:
     """For each of ``keys``, by falling count, the summed profiles of the texts that hold it; a profile is a text's shares of the ``anchors`` first keys."""
     held = train.sparkSession.sparkContext.broadcast(keys)  # a bounded table
 
@@ -205,7 +167,7 @@ def company(train: DataFrame, keys: np.ndarray, anchors: int) -> np.ndarray:
                         out[np.unique(own[own >= 0])] += profile / total
         return out.ravel()
 
-    return _add_arrays(train, per_task, len(keys) * anchors).reshape(len(keys), anchors)
+    return _add_arrays(train, tasks, per_task, len(keys) * anchors).reshape(len(keys), anchors)
 
 
 def _clusters(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
@@ -238,61 +200,70 @@ class Forks:
     """For each class a binary tree over its words, by falling count, that halves their mass at each fork."""
 
     bias: np.ndarray  # by fork, log odds of its right side
-    steps: np.ndarray  # 2 * fork + side, along the path of one word after the other
-    at: np.ndarray  # where the paths begin
+    steps: np.ndarray  # (words, depth): 2 * fork + side down a word's path, -1 beyond its end
+    rest: np.ndarray  # log10 of a word's share of the mass below its last step
 
     @classmethod
-    def build(cls, classes: np.ndarray, counts: np.ndarray) -> Forks:
+    def build(cls, classes: np.ndarray, counts: np.ndarray, depth: int) -> Forks:
         n, order = len(classes), np.argsort(classes, kind="stable")
         mass = np.r_[0, np.cumsum(counts[order] + ADD)]
         ends = np.cumsum(np.bincount(classes)) if n else np.zeros(0, np.int64)
-        low, high = np.r_[0, ends[:-1]][classes[order]] if n else ends, ends[classes[order]]
-        bias, words, steps = np.zeros(n + 1, np.float32), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        left = np.flatnonzero(high - low > 1)
-        while len(left):
+        low, high = (np.r_[0, ends[:-1]][classes[order]], ends[classes[order]]) if n else (ends, ends)
+        bias, steps = np.zeros(n + 1, np.float32), np.full((n, depth), -1, np.int32)
+        for d in range(depth):
+            left = np.flatnonzero(high - low > 1)
             a, b = low[left], high[left]
             fork = np.clip(np.searchsorted(mass, (mass[a] + mass[b]) / 2), a + 1, b - 1)  # the place of the cut, unlike any other's
             right = left >= fork
             bias[fork] = np.log((mass[b] - mass[fork]) / (mass[fork] - mass[a]))
-            words.append(order[left])
-            steps.append(2 * fork + right)
+            steps[order[left], d] = 2 * fork + right
             low[left], high[left] = np.where(right, fork, a), np.where(right, b, fork)
-            left = left[high[left] - low[left] > 1]
-        word = np.concatenate(words)
-        return cls(bias, np.concatenate(steps)[np.argsort(word, kind="stable")].astype(np.int32), np.r_[0, np.cumsum(np.bincount(word, minlength=n))])
+        rest = np.zeros(n)
+        rest[order] = np.log10((counts[order] + ADD) / (mass[high] - mass[low]))
+        return cls(bias, steps, rest)
 
-    def walk(self, found: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token, fork, side, cells) of each step of the tokens' paths; unknown ones (-1) take none. cells: (4, steps)."""
+    def walk(self, found: np.ndarray, context: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(token, fork, side, cells by feature) of each step of the tokens' paths; unknown ones (-1) take none."""
         if not hasattr(self, "_hash"):
             self._hash = (mix(np.arange(len(self.bias), dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-        token = np.flatnonzero(found >= 0)
-        first = self.at[found[token]]
-        n = self.at[found[token] + 1] - first
-        step = self.steps[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
-        token, fork = np.repeat(token, n), step >> 1
-        cells = ((context[:, token] ^ self._hash[fork]) * np.uint32(0x9E3779B1) >> np.uint32(32 - FORK_BITS)).astype(np.int64)
+        known = np.flatnonzero(found >= 0)
+        paths = self.steps.take(found[known], axis=0).ravel()
+        taken = np.flatnonzero(paths >= 0)
+        step, token = paths[taken], known[taken // max(self.steps.shape[1], 1)]
+        fork = step >> 1
+        own, cells = self._hash.take(fork), []
+        for k in FORK_FEATURES:
+            x = context[k].take(token)
+            x ^= own
+            x *= np.uint32(0x9E3779B1)
+            x >>= np.uint32(32 - bits)
+            cells.append(x.astype(np.int64))
         return token, fork, (step & 1).astype(np.float32), cells
 
-    def odds(self, weights: np.ndarray, fork: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        z = self.bias[fork]
+    def odds(self, weights: np.ndarray, fork: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
+        z = self.bias.take(fork)
         for c in cells:
-            z += weights[c]
-        return np.clip(z, -30, 30)
+            z += weights.take(c)
+        return np.clip(z, -30, 30, out=z)
 
-    def learn(self, weights: np.ndarray, squares: np.ndarray, found: np.ndarray, context: np.ndarray, rate: float) -> None:
-        _, fork, side, cells = self.walk(found, context)
+    def learn(self, weights: np.ndarray, squares: np.ndarray, found: np.ndarray, context: np.ndarray, bits: int, rate: float) -> None:
+        _, fork, side, cells = self.walk(found, context, bits)
         g = 1 / (1 + np.exp(-self.odds(weights, fork, cells))) - side
         square = g * g
         for c in cells:
             np.add.at(squares, c, square)
+        g *= -rate
         for c in cells:
-            np.add.at(weights, c, -rate * g / np.sqrt(squares[c]))
+            np.add.at(weights, c, g / np.sqrt(squares.take(c)))
 
-    def log_share(self, weights: np.ndarray, found: np.ndarray, context: np.ndarray) -> np.ndarray:
+    def log_share(self, weights: np.ndarray, found: np.ndarray, context: np.ndarray, bits: int) -> np.ndarray:
         """log10 P(word | class, context) of each token, 0 for unknown ones."""
-        token, fork, side, cells = self.walk(found, context)
+        token, fork, side, cells = self.walk(found, context, bits)
         z = self.odds(weights, fork, cells)
-        return np.bincount(token, weights=np.log1p(np.exp(np.where(side > 0, -z, z))), minlength=len(found)) / -np.log(10)
+        out = np.bincount(token, weights=np.log1p(np.exp(np.where(side > 0, -z, z))), minlength=len(found)) / -np.log(10)
+        known = found >= 0
+        out[known] += self.rest[found[known]]
+        return out
 
 
 @dataclass
@@ -303,7 +274,6 @@ class Vocabulary:
     classes: np.ndarray
     n_classes: int
     log_count: np.ndarray  # log10 of count + 0.1
-    log_in_class: np.ndarray  # log10 P(word | class) by counts alone
     tail_mass: float  # its count, and 0.1 for each of its words and the unknown one
     n: int
     v: int
@@ -311,7 +281,7 @@ class Vocabulary:
     forks: Forks
 
     @classmethod
-    def build(cls, keys: np.ndarray, counts: np.ndarray, n: int, v: int, groups: np.ndarray, n_classes: int) -> Vocabulary:
+    def build(cls, keys: np.ndarray, counts: np.ndarray, n: int, v: int, groups: np.ndarray, n_classes: int, depth: int = 8) -> Vocabulary:
         """``groups``: of the first words; the other known ones get classes by frequency alone."""
         classes = np.zeros(len(keys), np.int64)
         first, total, used = len(groups), max(int(counts.sum()), 1), 0
@@ -324,8 +294,7 @@ class Vocabulary:
         mass = np.bincount(classes, weights=counts + ADD, minlength=used + 1)
         tail = n - int(counts.sum()) + ADD * (v - len(keys) + 1)
         mass[used] = tail
-        log = np.log10(counts + ADD)
-        return cls(keys, classes, used + 1, log, log - np.log10(mass[classes]), tail, n, v, mass, Forks.build(classes, counts))
+        return cls(keys, classes, used + 1, np.log10(counts + ADD), tail, n, v, mass, Forks.build(classes, counts, depth))
 
 
 # model
@@ -344,11 +313,11 @@ def contexts(t: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.stack([mix(x + np.uint64(k)) for k, x in enumerate((*before, pair))])
 
 
-def feature_rows(context: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token: (tokens, 4)."""
-    out, first = np.empty((context.shape[1], 4), np.int64), 0
-    for k, (x, size) in enumerate(zip(context, REGIONS)):
-        out[:, k] = first + (x % np.uint64(size)).astype(np.int64)
+def feature_rows(context: np.ndarray, tables: Tables) -> np.ndarray:
+    """Rows of the classes' table for each feature and token: (4, tokens)."""
+    out, first = np.empty(context.shape, np.uint16 if tables.rows <= 1 << 16 else np.uint32), 0
+    for k, (x, size) in enumerate(zip(context, tables.regions)):
+        out[k] = (x % np.uint64(size)).astype(np.uint32) + np.uint32(first)
         first += size
     return out
 
@@ -357,34 +326,42 @@ def fork_contexts(context: np.ndarray) -> np.ndarray:
     return (context >> np.uint64(32)).astype(np.uint32)
 
 
-def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]] + weights[rows[:, 1]]
-    z += weights[rows[:, 2]]
-    z += weights[rows[:, 3]]
+def _summed_rows(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Classes' scores for each token, the largest 0."""
+    z = weights.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0)
     z += bias
     z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax(bias: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z = _summed_rows(bias, weights, rows)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
 def _step(bias: np.ndarray, weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, y: np.ndarray, rate: float) -> None:
-    g = np.exp(_log_softmax(bias, weights, rows))
+    g = _summed_rows(bias, weights, rows)
+    np.exp(g, out=g)
+    g /= g.sum(axis=1, keepdims=True)
     g[np.arange(len(y)), y] -= 1
-    for k in range(rows.shape[1]):
-        order = np.argsort(rows[:, k], kind="stable")
-        r = rows[order, k]
+    for r in rows:
+        order = np.argsort(r, kind="stable")
+        r = r[order]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        s, r = np.add.reduceat(g[order], first, axis=0), r[first]
+        s, r = np.add.reduceat(g.take(order, axis=0), first, axis=0), r[first]
         squares[r] += s * s
         weights[r] -= rate * s / np.sqrt(squares[r])
 
 
-def train_weights(train: DataFrame, share: Callable[[int], DataFrame], words: Vocabulary, rounds: int, rate: float, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train_weights(train: DataFrame, share: Callable[[int], DataFrame], tasks: int, words: Vocabulary, tables: Tables, rounds: int, rate: float, fork_rate: float, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bias, weights, weights of forks) after each round's share of the training texts."""
     context = train.sparkSession.sparkContext
     bias = np.log(np.maximum(words.class_mass, 1e-9) / max(words.class_mass.sum(), 1e-9)).astype(np.float32)
-    shape = (ROWS, words.n_classes)
-    weights, forks = np.zeros(shape, np.float32), np.zeros(1 << FORK_BITS, np.float32)
+    shape, cells = (tables.rows, words.n_classes), tables.cells
+    weights, forks = np.zeros(shape, np.float32), np.zeros(cells, np.float32)
     held_words = context.broadcast(words)
     for r in range(rounds):
         held = context.broadcast((weights, forks))
@@ -392,27 +369,31 @@ def train_weights(train: DataFrame, share: Callable[[int], DataFrame], words: Vo
         def per_task(batches: Iterator[pa.RecordBatch], held=held) -> np.ndarray | None:
             words = held_words.value
             index = HashIndex(words.keys)
-            own, own_forks = (x.copy() for x in held.value)
-            squares, fork_squares, seen = np.full(shape, 1.0, np.float32), np.full(len(own_forks), 1.0, np.float32), 0
+            before, forks_before = held.value
+            own, own_forks = before.copy(), forks_before.copy()
+            squares, fork_squares, seen = np.ones(shape, np.float32), np.ones(cells, np.float32), 0
             for batch in batches:
                 for _, _, t, at in tokens(batch.column(0)):
                     found = index.find(t)
                     features = contexts(t, at, found >= 0)
-                    rows, features = feature_rows(features), fork_contexts(features)
+                    rows, features = feature_rows(features, tables), fork_contexts(features)
                     y = np.where(found >= 0, words.classes[np.maximum(found, 0)] if len(words.classes) else 0, words.n_classes - 1)
                     for a in range(0, len(t), step):
-                        _step(bias, own, squares, rows[a : a + step], y[a : a + step], rate)
-                        words.forks.learn(own_forks, fork_squares, found[a : a + step], features[:, a : a + step], rate)
+                        _step(bias, own, squares, rows[:, a : a + step], y[a : a + step], rate)
+                        words.forks.learn(own_forks, fork_squares, found[a : a + step], features[:, a : a + step], tables.fork_bits, fork_rate)
                     seen += len(t)
-            fork_squares -= 1
-            return np.concatenate([own.ravel() * seen, own_forks * fork_squares, fork_squares, [seen]]) if seen else None
-
-        cells = 1 << FORK_BITS
-        total = _add_arrays(share(r), per_task, ROWS * words.n_classes + 2 * cells + 1)
+            if not seen:
+                return None
+            seen /= 1 << 20  # sums stay in the range of half precision
+            own -= before
+            mass = np.sqrt(fork_squares - 1)
+            return np.concatenate([own.ravel() * np.float32(seen), (own_forks - forks_before) * mass, mass, np.array([seen], np.float32)])
+
+        total = _add_arrays(share(r), tasks, per_task, weights.size + 2 * cells + 1, np.float16)
         if total[-1] > 0:
-            weights = (total[: -2 * cells - 1] / total[-1]).reshape(shape).astype(np.float32)
-            moved, mass = total[-2 * cells - 1 : -cells - 1], total[-cells - 1 : -1]
-            forks = np.where(mass > 0, moved / np.maximum(mass, 1e-30), forks).astype(np.float32)
+            weights = weights + (total[: weights.size] / total[-1]).reshape(shape).astype(np.float32)
+            moved, mass = total[weights.size : weights.size + cells], total[weights.size + cells : -1]
+            forks = (forks + moved / np.maximum(mass, 1e-6)).astype(np.float32)
         held.unpersist()
     return bias, weights, forks
 
@@ -429,7 +410,7 @@ def _score(words, parts: int):
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, bias, weights, forks = words.value
+        vocabulary, tables, bias, weights, forks = words.value
         index = HashIndex(vocabulary.keys)
         per_token = np.log10(vocabulary.n + ADD * (vocabulary.v + 1))
         uid = TaskContext.get().partitionId() << 33
@@ -443,14 +424,14 @@ def _score(words, parts: int):
                 known = found >= 0
                 y = np.where(known, vocabulary.classes[np.maximum(found, 0)] if len(vocabulary.classes) else 0, tail_class)
                 features = contexts(t, at, known)
-                where, features = feature_rows(features), fork_contexts(features)
+                where, features = feature_rows(features, tables), fork_contexts(features)
                 model = np.empty(len(t))
                 for a in range(0, len(t), 1 << 14):
-                    z = _log_softmax(bias, weights, where[a : a + (1 << 14)])
+                    z = _log_softmax(bias, weights, where[:, a : a + (1 << 14)])
                     model[a : a + (1 << 14)] = z[np.arange(len(z)), y[a : a + (1 << 14)]]
                 model /= np.log(10)
                 for a in range(0, len(t), 1 << 14):
-                    model[a : a + (1 << 14)] += vocabulary.forks.log_share(forks, found[a : a + (1 << 14)], features[:, a : a + (1 << 14)])
+                    model[a : a + (1 << 14)] += vocabulary.forks.log_share(forks, found[a : a + (1 << 14)], features[:, a : a + (1 << 14)], tables.fork_bits)
                 model[~known] -= np.log10(vocabulary.tail_mass)
                 base = np.where(known, vocabulary.log_count[np.maximum(found, 0)] if len(vocabulary.keys) else 0.0, 0.0) - per_token
                 out[:, i:j] = [np.diff(at), np.add.reduceat(known, at[:-1]), np.add.reduceat(base, at[:-1]), np.add.reduceat(model, at[:-1])]
@@ -467,7 +448,7 @@ def _score(words, parts: int):
             yield from tail(keys, values)
 
     def tail(keys: list, values: list) -> Iterator[pa.RecordBatch]:
-        got = list(_by_part(np.concatenate(keys), np.concatenate(values).astype(np.int64), parts))
+        got = list(by_part(np.concatenate(keys), np.concatenate(values).astype(np.int64), parts))
         yield rows(len(got), part=pa.array([r[0] for r in got], pa.int32()), kind=pa.array([1] * len(got), pa.int32()), keys=pa.array([r[1] for r in got], pa.binary()), values=pa.array([r[2] for r in got], pa.binary()))
 
     return run, schema
@@ -498,7 +479,10 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.bool_()), zeros, pa.array(np.bincount(inverse, weights=known).astype(np.int64)), total, total], schema=schema)
 
 
-def score_texts(docs: DataFrame, held_out, table_size: int = 1 << 18, grouped: int = 1 << 15, anchors: int = 48, groups: int = 8, n_classes: int = 32, rounds: int = 2, rate: float = 0.1, step: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(
+    docs: DataFrame, held_out, table_size: int = 1 << 18, grouped: int = 1 << 15, anchors: int = 48, groups: int = 8, n_classes: int = 32, depth: int = 8, max_row_bits: int = 14, max_fork_bits: int = 21,
+    rounds: int = 2, rate: float = 0.15, fork_rate: float = 0.2, step: int = 4096, task_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """Base and model log10 probabilities of each whole text.
 
     ``held_out``, a condition on ``docs``, marks texts not learned from (null:
@@ -506,20 +490,26 @@ def score_texts(docs: DataFrame, held_out, table_size: int = 1 << 18, grouped: i
     base_score and score, one row for each row of ``docs``, repeated ones too. A
     null text is empty and has the end mark alone. If nothing is learned, all
     tokens are unknown. An empty table gives an empty result.
+
+    Bounds that don't depend on the data: ``table_size`` words with a class of
+    their own, ``max_row_bits`` and ``max_fork_bits`` of the weight tables. A
+    training task reads about ``task_tokens`` tokens a round, or fewer where that
+    would leave cores idle, so that the weights it sends are small beside its texts.
     """
     spark = docs.sparkSession
     parts = 2 * partitions_for(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     learned = rows.where(~F.col("held_out"))
     train = learned.select("text")
-    counted = count_tokens(train, parts)
+    counted = count_words(train, _tokens_alone, parts)
     keys, counts, n, v = most_frequent(counted, table_size)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // (rounds * task_tokens)))
     top = min(grouped, len(keys))
-    own = _clusters(company(train, keys[:top], min(anchors, top)), counts[:top].astype(float), groups) if top else np.zeros(0, np.int64)
-    words = Vocabulary.build(keys, counts, n, v, own, n_classes)
+    own = _clusters(company(train, tasks, keys[:top], min(anchors, top)), counts[:top].astype(float), groups) if top else np.zeros(0, np.int64)
+    words, tables = Vocabulary.build(keys, counts, n, v, own, n_classes, depth), Tables.of(v, max_row_bits, max_fork_bits)
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
-    bias, weights, forks = train_weights(train, lambda r: learned.where(turn == r).select("text"), words, rounds, rate, step)
-    run, schema = _score(spark.sparkContext.broadcast((words, bias, weights, forks)), parts)
+    bias, weights, forks = train_weights(train, lambda r: learned.where(turn == r).select("text"), tasks, words, tables, rounds, rate, fork_rate, step)
+    run, schema = _score(spark.sparkContext.broadcast((words, tables, bias, weights, forks)), parts)
     ddl = ", ".join(f"{f.name} {({pa.int32(): 'int', pa.binary(): 'binary', pa.int64(): 'long', pa.bool_(): 'boolean', pa.float64(): 'double'})[f.type]}" for f in schema)
     scored = rows.mapInArrow(run, ddl)
     known = counted.select("part", F.lit(0).alias("kind"), "keys", F.col("counts").alias("values"), *[F.lit(None).cast(k).alias(c) for c, k in _PASS])
