@@ -44,8 +44,8 @@ def brute_links(texts, n, percent):
     return [len(s) for s in sets], [root(i) for i in range(len(sets))], links
 
 
-@pytest.mark.parametrize("n, percent, block", [(4, 85, 1 << 19), (5, 80, 1 << 19), (4, 85, 300), (3, 60, 1 << 19)])
-def test_jaccard_join(spark, n, percent, block):
+@pytest.mark.parametrize("n, percent, how", [(4, 85, {}), (5, 80, {}), (4, 85, {"block_sets": 3}), (5, 80, {"block_sets": 1, "most_blocks": 4}), (4, 85, {"block_shingles": 300}), (3, 60, {}), (2, 35, {"block_sets": 2})])
+def test_jaccard_join(spark, n, percent, how):
     rng = random.Random(n * percent)
     vocabulary = [f"w{i}" for i in range(400)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
@@ -58,10 +58,13 @@ def test_jaccard_join(spark, n, percent, block):
             for _ in range(rng.randint(0, max(1, len(copy) // 30))):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy))
+    for size in (20, 60, 90):  # one inside another, two size bands apart
+        base = [rng.choice(vocabulary) for _ in range(160)]
+        texts += [" ".join(base[:size]), " ".join(base[: int(size * 1.6)])]
     texts += [" ".join([*passage, *(rng.choice(vocabulary) for _ in range(80))]) for _ in range(30)]
     rows = spark.createDataFrame([(i, t, "c", 0) for i, t in enumerate(texts)] + [(None, "one two", "c", 0)], "doc_id long, text string, comp string, n long")
     rows = rows.union(rows.where("doc_id in (5, 6, 12, 15)"))  # repeated rows change nothing
-    got = jaccard_join.ngram_jaccard_join(rows.repartition(3), n, percent, block_shingles=block).collect()
+    got = jaccard_join.ngram_jaccard_join(rows.repartition(3), n, percent, **how).collect()
     size, label, links = brute_links(texts, n, percent)
     by_id = {r["doc_id"]: r for r in got}
     assert len(got) == len(texts) + 5 and by_id.pop(None)["component_id"] is None

@@ -5,8 +5,8 @@ their symmetric difference is at most (100-p)(x+y)/(100+p). Sets fall into size
 bands; within a band whose largest size is r, a similar pair differs in at most
 k = 2(100-p)r/(100+p) elements. The feature domain is cut into n > k partitions
 by hash, so a similar pair agrees on at least n - k of them: each partition's
-content, hashed, is one signature. A set near the top of its band signs for the
-next band, too, as a similar larger set may lie there. Partitions that are empty
+content, hashed, is one signature. A set signs for every later band, too, in which
+a similar larger set may lie (for percent from 67 on that is the next at most). Partitions that are empty
 in both sets agree without meaning: n has a slack above k, a set with no more
 empty partitions than the slack leaves them out, one with more signs them.
 
@@ -20,10 +20,10 @@ only the smallest holder of a signature is sent on, so that a signature that a
 third of all documents share arrives as one entry per task. Holders of shared
 signatures, edges to a signature's smallest holder and components of these give
 candidate groups; only documents of these are read again, once per distinct set,
-and a group's true links are counted on the sets themselves. Groups with more
-than ``block_shingles`` elements are resolved as pairs of blocks, each of
-bounded size. No pair is emitted: tasks return a forest and each document's
-links.
+and a group's true links are counted on the sets themselves, taken as symmetric
+differences from one of them, which for near copies are short. Groups of many sets
+travel as such differences and are resolved as pairs of blocks, each of bounded
+size. No pair is emitted: tasks return a forest and each document's links.
 """
 
 from __future__ import annotations
@@ -69,20 +69,21 @@ def _thick(raw: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def signatures(elements: np.ndarray, percent: int, table: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, int, int, int]:
+def signatures(elements: np.ndarray, percent: int, table: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, int, list[int]]:
     """All PartEnum signatures of one set of distinct 64-bit hashes, their low bits the band.
 
-    Also its band and the least number of them that a set with a partner
-    shares with others, in its band and in the next.
+    Also its band, and for that and each later band it signs for the least number
+    of signatures there that a set with a partner shares with others. ``table``
+    must reach the band of the largest partner.
     """
     size = len(elements)
     if not size:
-        return np.zeros(0, np.uint64), 0, 1, 1
+        return np.zeros(0, np.uint64), 0, []
     b = int(np.searchsorted(np.array([t[1] for t in table]), size))
-    found, least = [], [1, 1]
-    for level in (b, b + 1):
-        if level > b and 100 * size < percent * (table[b][1] + 1):
-            break  # the smallest set of the next band is already too large
+    found, least = [], []
+    for level in range(b, len(table)):
+        if level > b and 100 * size < percent * (table[level - 1][1] + 1):
+            break  # the smallest set of this band is already too large
         slack, n = table[level][2:]
         part = (elements % np.uint64(n)).astype(np.int64)
         order = np.argsort(part, kind="stable")
@@ -96,8 +97,8 @@ def signatures(elements: np.ndarray, percent: int, table: list[tuple[int, int, i
         signed = (signed >> np.uint64(LEVEL_BITS) << np.uint64(LEVEL_BITS) | np.uint64(level)) & np.uint64((1 << 8 * WIDTH) - 1)
         empty = n - int(held.sum())
         found.append(signed[held] if empty <= slack else signed)
-        least[level - b] = max(1, slack + 1 - empty)
-    return np.concatenate(found), b, *least
+        least.append(max(1, slack + 1 - empty))
+    return np.concatenate(found), b, least
 
 
 def _grouped(sig: np.ndarray, doc: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,10 +122,10 @@ def _distinct(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u[keep], v[keep]
 
 
-_DOC = pa.schema([(c, pa.int64()) for c in ("doc_id", "n", "fp", "fp2", "band", "least", "least_next")])
+_DOC = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "fp", "fp2", "band")), ("least", pa.list_(pa.int64()))])
 _SIGNED = pa.schema([("part", pa.int32()), *_DOC, ("sigs", pa.binary()), ("docs", pa.binary()), ("more", pa.binary())])
 _MET = pa.schema([*_DOC, ("sig", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
-_SPARK = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+_SPARK = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -161,21 +162,21 @@ def _sign(n_words: int, percent: int, parts: int):
         sigs, docs, held = [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            of = {c: np.zeros(len(ids), np.int64) for c in _DOC.names[1:]}
-            copies = []
+            of = {c: np.zeros(len(ids), np.int64) for c in _DOC.names[1:-1]}
+            copies, least = [], [[] for _ in range(len(ids))]
             for i, s in enumerate(shingle_sets(batch.column(1), n_words)):
                 of["n"][i] = len(s)
                 if not len(s):
                     continue
-                if len(s) > table[-2][1]:
-                    table = bands(percent, 2 * len(s))
+                if 100 * len(s) > percent * table[-1][1]:
+                    table = bands(percent, 200 * len(s) // percent)
                 key = (int(mix(s).sum()), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()))
                 of["fp"][i], of["fp2"][i] = np.array(key, np.uint64).view(np.int64)
                 seen = first.setdefault(key, ids[i])
                 if seen != ids[i]:
                     copies.append((ids[i], seen))
                     continue
-                got, of["band"][i], of["least"][i], of["least_next"][i] = signatures(s, percent, table)
+                got, of["band"][i], least[i] = signatures(s, percent, table)
                 sigs.append(got)
                 docs.append(np.full(len(got), ids[i], np.int64))
                 held += len(got)
@@ -185,7 +186,7 @@ def _sign(n_words: int, percent: int, parts: int):
             if len(first) > FLUSH:
                 first.clear()
             spread = pa.array(ids % parts, pa.int32())
-            yield _rows(_SIGNED, len(ids), part=spread, doc_id=pa.array(ids, pa.int64()), **{c: pa.array(v) for c, v in of.items()})
+            yield _rows(_SIGNED, len(ids), part=spread, doc_id=pa.array(ids, pa.int64()), least=pa.array(least, pa.list_(pa.int64())), **{c: pa.array(v) for c, v in of.items()})
             if copies:
                 pairs = np.array(copies, np.int64)
                 yield _rows(_SIGNED, 1, part=pa.array([int(pairs[0, 0] % parts)], pa.int32()), sigs=pa.array([pairs.tobytes()], pa.binary()))
@@ -229,14 +230,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from close()
 
 
-def link_sets(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def link_sets(sets: list[np.ndarray], sizes: np.ndarray, coded: bool, weight: np.ndarray, side: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """True links among the sets of one group: (label, the smallest index in reach; number of links by weight).
 
-    ``side`` restricts links to sets of different sides. Cost: the postings that sets share.
+    ``sizes`` are those of the sets; where ``coded``, ``sets`` are their symmetric
+    differences from one pivot, and |X and Y| = (|X| + |Y| - |dX| - |dY|) / 2 + |dX and dY|.
+    ``side`` restricts links to sets of different sides. Cost: the postings that
+    ``sets`` share, which for near copies are few in differences.
     """
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(m), sizes)
+    held = np.array([len(s) for s in sets], np.int64)
+    base = sizes - held if coded else np.zeros(m, np.int64)
+    owner = np.repeat(np.arange(m), held)
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     ranked, posting = flat[order], owner[order]
@@ -246,7 +251,7 @@ def link_sets(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | Non
     end = np.r_[begin[1:], len(flat)]
     element = np.empty(len(flat), np.int64)
     element[order] = np.cumsum(new) - 1
-    at = np.r_[0, np.cumsum(sizes)]
+    at = np.r_[0, np.cumsum(held)]
     label, links = np.arange(m), np.zeros(m, np.int64)
 
     def root(i: int) -> int:
@@ -258,55 +263,83 @@ def link_sets(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | Non
     for x in range(m - 1):
         mine = element[at[x] : at[x + 1]]
         b, count = begin[mine], (end - begin)[mine]
-        shared = count > 1
-        b, count = b[shared], count[shared]
-        if not len(b):
+        b, count = b[count > 1], count[count > 1]
+        if len(b):
+            spots = np.repeat(b - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+            common = np.bincount(posting[spots], minlength=m)[x + 1 :]
+        elif coded:
+            common = np.zeros(m - x - 1, np.int64)
+        else:
             continue
-        spots = np.repeat(b - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        common = np.bincount(posting[spots], minlength=m)[x + 1 :]
+        if coded:
+            common = (base[x] + base[x + 1 :]) // 2 + common
         good = 100 * common >= percent * (sizes[x] + sizes[x + 1 :] - common)
         if side is not None:
             good &= side[x + 1 :] != side[x]
-        for y in np.flatnonzero(good) + x + 1:
-            links[x] += weight[y]
-            links[y] += weight[x]
+        linked = np.flatnonzero(good) + x + 1
+        links[x] += weight[linked].sum()
+        links[linked] += weight[x]
+        for y in linked:
             a, c = root(x), root(y)
             if a != c:
                 label[max(a, c)] = min(a, c)
     return np.array([root(i) for i in range(m)], np.int64), links
 
 
+_GROUPED = "doc_id long, comp long, blocks int, block int, copies long, pivot boolean, size long, elements binary"
+
+
 def _sets(n_words: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("comp", pa.int64()), ("blocks", pa.int32()), ("block", pa.int32()), ("copies", pa.int64()), ("elements", pa.binary())])
+    """(doc_id, text, comp, blocks, block, copies, pivot) to rows with the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = pa.array([s.tobytes() for s in shingle_sets(batch.column(1), n_words)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:6], sets], schema=schema)
+            sets = list(shingle_sets(batch.column(1), n_words))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *batch.columns[2:7], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=[c.split()[0] for c in _GROUPED.split(", ")],
+            )
 
     return run
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with sets and, last, their group's pivot set: the sets as differences from it."""
+    for batch in batches:
+        made, raw, pivot = [], None, np.zeros(0, np.uint64)
+        for own, other in zip(batch.column("elements"), batch.column("other")):
+            if (other := other.as_py()) != raw:
+                raw, pivot = other, np.frombuffer(other, np.uint64)
+            made.append(np.setxor1d(np.frombuffer(own.as_buffer(), np.uint64), pivot, assume_unique=True).tobytes())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(made, pa.binary())], names=batch.schema.names[:-1])
+
+
 def _resolve(percent: int):
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
     def solved(rows: list) -> pa.RecordBatch:
         rows = [next(same) for _, same in groupby(sorted(rows, key=lambda r: r[0]), key=lambda r: r[0])]  # a repeated row once
         sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        side = None if rows[0][4] else np.array([r[3] for r in rows])
-        label, links = link_sets(sets, np.array([r[2] for r in rows]), side, percent)
+        _, _, _, block, size, i, j, blocks = zip(*rows)
+        coded = blocks[0] > 1
+        if not coded and len(rows) > 2:
+            other = [np.setxor1d(s, sets[0], assume_unique=True) for s in sets]
+            if sum(map(len, other)) < sum(map(len, sets)):
+                sets, coded = other, True
+        side = None if i[0] == j[0] else np.array(block)
+        label, links = link_sets(sets, np.array(size, np.int64), coded, np.array([r[2] for r in rows]), side, percent)
         ids = np.array([r[0] for r in rows], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label]), pa.array(links)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            for comp, i, j, doc, block, copies, elements in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "doc_id", "block", "copies", "elements"))):
+            for comp, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "doc_id", "elements", "copies", "block", "size", "i", "j", "blocks"))):
                 if (comp, i, j) != key:
                     if len(rows) > 1:
                         yield solved(rows)
                     key, rows = (comp, i, j), []
-                rows.append((doc, elements, copies, block, i == j))
+                rows.append(tuple(row))
         if len(rows) > 1:
             yield solved(rows)
 
@@ -314,7 +347,7 @@ def _resolve(percent: int):
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = 1 << 16
+    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 128, most_blocks: int = 64, block_shingles: int = 1 << 22
 ) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of at least ``percent`` / 100.
 
@@ -326,7 +359,13 @@ def ngram_jaccard_join(
     come back once per row and count as one document, by one of their texts if
     these differ.
     Other columns are ignored. An empty table gives an empty result.
+
+    Candidate groups of more than ``block_sets`` distinct sets are resolved as pairs
+    of blocks of about that many sets, in at most ``most_blocks`` blocks unless a
+    block would then hold more than ``block_shingles`` shingles.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
     rows = text_rows(docs, id_col, text_col)
     ids = rows.where("doc_id is not null")
@@ -339,7 +378,8 @@ def ngram_jaccard_join(
         "partenum",
     )
     summary = met.where("doc_id is not null").select("doc_id", "n", "fp", "fp2")
-    least = met.where("doc_id is not null and n > 0").selectExpr("doc_id as u", "stack(2, band, least, band + 1, least_next) as (level, least)")
+    levels = F.posexplode("least").alias("above", "least")
+    least = met.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("u"), "band", levels).select("u", (F.col("band") + F.col("above")).alias("level"), "least")
     shared = met.where("sig is not null").select("sig", "u", F.col("sig").bitwiseAND((1 << LEVEL_BITS) - 1).alias("level"))
     counted = shared.withColumn("count", F.count("*").over(Window.partitionBy("u", "level")))  # a document's own signatures
     holders = counted.join(least, ["u", "level"]).where("count >= least").select("sig", "u")
@@ -352,18 +392,21 @@ def ngram_jaccard_join(
     classes = kept(
         summary.join(groups, "doc_id").groupBy("comp", "fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.min("n").alias("n"))
     )
-    open_groups = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
+    open_groups = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("rep").alias("first")).where("m > 1")
+    blocks = F.greatest(F.least(F.ceil(F.col("m") / block_sets), F.lit(most_blocks)), F.ceil(F.col("total") / block_shingles))
     todo = (
         classes.join(open_groups, "comp")
-        .withColumn("blocks", F.ceil(F.col("total") / block_shingles).cast("int"))
-        .select(F.col("rep").alias("doc_id"), "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "copies")
-    )
-    sets = ids.join(todo.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "comp", "blocks", "block", "copies").mapInArrow(
-        _sets(n_words), "doc_id long, comp long, blocks int, block int, copies long, elements binary"
+        .withColumn("blocks", blocks.cast("int"))
+        .select(F.col("rep").alias("doc_id"), "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "copies", (F.col("rep") == F.col("first")).alias("pivot"))
     )
+    sets = kept(ids.join(todo.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "comp", "blocks", "block", "copies", "pivot").mapInArrow(_sets(n_words), _GROUPED))
+    # large groups travel as differences from their pivot
+    pivots = sets.where("pivot and blocks > 1").groupBy("comp").agg(F.min("elements").alias("other"))
+    large = sets.where("blocks > 1").join(apart(pivots, "comp"), "comp").select(*(c.split()[0] for c in _GROUPED.split(", ")), "other").mapInArrow(_differences, _GROUPED)
     paired = (
-        sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+        sets.where("blocks = 1").unionByName(large)
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
         .repartition(parts, "comp", "i", "j")
         .sortWithinPartitions("comp", "i", "j")
     )
