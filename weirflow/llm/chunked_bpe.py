@@ -10,6 +10,7 @@ held and forgets the others, which bounds its memory.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -31,7 +32,7 @@ _WORD = f"[{_LETTERS}]++(?![^{WHITE}{_SIGNS}])"
 _MARKS = f"[{_SIGNS}]++(?![^{WHITE}{_LETTERS}])"
 #: Letters before white space or signs; signs before white space or letters; any other rest of a word; each with the white space before it, and white space that ends a text.
 LED = re.compile(f"[{WHITE}]*+(?:{_WORD}|{_MARKS}|[^{WHITE}]+)|[{WHITE}]+")
-_WORDS_ONLY = re.compile(f"[{_LETTERS}]+")
+_WORDS_ONLY = re.compile(f"[{_LETTERS}]+")  # and as they are in lower case
 
 
 class _Numbers(dict):
@@ -159,16 +160,26 @@ class WordEncoder(_Store):
         self.ends[[i for t, i in vocabulary.items() if t.endswith(word_end)]] = True
         added = tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
+        self.letters = self._alone()
         self.whole = any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added)  # matched in other ways than as they are
 
+    def _alone(self) -> Tokenizer:
+        """The tokenizer for words of lower-case Latin letters: neither its normalizer nor its splitter changes these, so they are left out."""
+        spec = json.loads(self.tokenizer.to_str())
+        stages = spec["pre_tokenizer"] or {}
+        stages = stages["pretokenizers"] if stages.get("type") == "Sequence" else [stages]
+        spec["normalizer"], spec["added_tokens"], spec["post_processor"] = None, [], None
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *(x for x in stages if x.get("type") == "ByteLevel")]}
+        return Tokenizer.from_str(json.dumps(spec))
+
     def _ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths = [], np.zeros(len(stretches), np.int64)
-        plain = [k for k, s in enumerate(stretches) if _WORDS_ONLY.fullmatch(s)]
+        plain = [k for k, s in enumerate(stretches) if _WORDS_ONLY.fullmatch(s) and s == s.lower()]
         together = np.zeros(len(stretches), bool)
         together[plain] = True
         # words of letters go in by the hundred: each ends with its one marked token
         lines = [" ".join([stretches[k] for k in plain[i : i + 100]]) for i in range(0, len(plain), 100)]
-        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        got = [np.array(e.ids, np.uint32) for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)]
         words = np.concatenate(got) if got else np.zeros(0, np.uint32)
         last = np.flatnonzero(self.ends[words])
         if len(last) != len(plain):
