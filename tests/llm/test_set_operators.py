@@ -239,6 +239,40 @@ def test_pipeline_keeps_one_of_each_group(spark, tmp_path):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_keeps_columns_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    own = {"score": F.lit(-7), "lang_pred": F.lit("mine"), "n_lines": F.lit(-3), "n_dropped": F.lit(-4), "component_id": F.lit(-5), "text_2": F.lit(None).cast("string")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns(own)
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang")))
+    some = docs.where("doc_id % 7 = 0").limit(3)
+    docs = docs.union(some).union(some.withColumn("doc_id", F.lit(None).cast("long")))  # repeated rows, and null ids
+    docs = docs.union(some.withColumns({"doc_id": F.col("doc_id") + 10**6, "text": F.lit(None).cast("string"), "source": F.lit(None).cast("string"), "n_chars": F.lit(None).cast("long")}))
+    docs.write.parquet(f"{tmp_path}/in")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0, name
+        assert out.where("score <> -7 or lang_pred <> 'mine' or n_lines <> -3 or n_dropped <> -4 or component_id <> -5 or text_2 is not null").isEmpty(), name
+        if name == "language":
+            assert out.where("lang is null or text is null").isEmpty() and out.where("doc_id is null").count() > 0
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.columns == docs.columns and empty.count() == 0
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    counts = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1")
+    assert counts.where("count <> 2").isEmpty()
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, docs, SF).where("start = 0").count() == docs.count() and pack(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_without_languages_keeps_all(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, docs, SF).count() == docs.count()
+
+
 def test_pipeline_rejects_texts_in_no_learned_language(spark):
     import corpus_pipeline
 
