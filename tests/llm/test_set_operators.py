@@ -294,12 +294,12 @@ def test_registered(spark):
     assert set(entry.oracle_sql()) <= set(names)
 
 
-def test_op2_and_op10_against_sql(spark):
+def test_queries_against_sql(spark):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
     for t in ("documents", "embeddings"):
         db.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
-    for name in ("op2_line_dedup", "op10_exact_topk"):
+    for name in ("op2_line_dedup", "op8_ngram_jaccard_join", "op10_exact_topk"):
         want = db.execute(entry.oracle_sql()[name])
         columns = [c[0] for c in want.description]
         got = entry.queries()[name](spark, SF).select(*columns)

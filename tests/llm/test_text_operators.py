@@ -193,19 +193,27 @@ def test_byte_bpe(spark):
     rng = random.Random(6)
     alphabet = "ab  \n\t\r\x0b\x1c\x85\xa0 é漢字🙂é'sS'lL019!?.,<|endoftext|>​\x00Σ_-"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 20))) for _ in range(3000)] + [t for t in ODD if t]
-    codec = byte_bpe.ByteCodec(byte_bpe.tokenizer_json(ranks, P.PATTERN), ranks)
+    codec = byte_bpe.ByteCodec(byte_bpe.tokenizer_json(ranks, P.PATTERN))
     ids, cuts = codec.encode(texts)
     parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
     assert [p.tolist() for p in parts] == [other.encode_ordinary(t) for t in texts]
     assert [codec.decode(p) for p in parts] == texts
-    spans = codec.offsets("a 🙂b")  # an emoji of several tokens has one span
-    assert spans[0][1:] == (0, 1) and spans[-1][1:] == (3, 4) and len({s[1:] for s in spans[1:-1]}) <= 2
+    assert codec.bytes_of == [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+    _, first, ends = codec.encode_with_offsets("a 🙂b")  # an emoji of several tokens has one span
+    assert (first[0], ends[0], first[-1], ends[-1]) == (0, 1, 3, 4) and len(set(zip(first[1:-1], ends[1:-1]))) <= 2
+    for t in texts[:400]:
+        own, first, ends = codec.encode_with_offsets(t)
+        assert own == other.encode_ordinary(t) and first == sorted(first) and all(0 <= a < b <= len(t) for a, b in zip(first, ends))
+        assert set(range(len(t))) == {k for a, b in zip(first, ends) for k in range(a, b)}
+        assert all(codec.bytes_of[i] == t[a:b].encode() for i, a, b in zip(own, first, ends) if len(codec.bytes_of[i]) == len(t[a:b].encode()))
     frame = docs(spark, ODD)
     got = {r["doc_id"]: r for r in byte_bpe.round_trip(frame, path, P.PATTERN).collect()}
     for i, t in enumerate(ODD):
         own = np.array(other.encode_ordinary(t or ""), "<u4")
         assert got[i]["n_tokens"] == len(own) and got[i]["ids_sha256"] == hashlib.sha256(own.tobytes()).hexdigest()
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    spans = {r["doc_id"]: r for r in byte_bpe.encode_documents(frame, path, P.PATTERN).collect()}
+    assert all(len(r["ids"]) == len(r["starts"]) == len(r["ends"]) == got[i]["n_tokens"] for i, r in spans.items())
     back = byte_bpe.decode_documents(byte_bpe.encode_documents(frame, path, P.PATTERN), path, P.PATTERN)
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(ODD)}
     assert byte_bpe.round_trip(frame.limit(0), path, P.PATTERN).count() == 0

@@ -4,8 +4,9 @@ A rank file becomes a tokenizer whose alphabet writes each byte as one printable
 character. Merges come from the ranks: every way to cut a token in two known
 tokens is a merge, in the order of the token's rank, since the lowest rank is
 merged first whichever its halves are; a stretch that is itself a token is taken
-whole. Decoding reads ids back through the byte table; as ids may end in the
-middle of a character, bytes are only read as text once all are together.
+whole. Decoding writes each id's token in the alphabet and reads its characters back
+through the reversed byte table; as ids may end in the middle of a character, bytes
+are only read as text once all are together.
 """
 
 from __future__ import annotations
@@ -61,21 +62,28 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
 class ByteCodec:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, spec: str, ranks: dict[bytes, int]):
+    def __init__(self, spec: str):
         self.encoder = ChunkedEncoder(Tokenizer.from_str(spec), LED)
-        top = max(ranks.values()) + 1
-        self.bytes_of = [b""] * top
-        for token, rank in ranks.items():
-            self.bytes_of[rank] = token
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        vocabulary = self.encoder.tokenizer.get_vocab()
+        self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
+        for written, i in vocabulary.items():
+            self.bytes_of[i] = bytes(map(byte_of.__getitem__, written))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array of unsigned 32-bit integers, and where each text's begin in it."""
         return self.encoder.encode_batch(texts)
 
-    def offsets(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, first character, end) of each token; a token of part of a character has that character's span."""
-        got = self.encoder.tokenizer.encode(text, add_special_tokens=False)
-        return [(i, a, b) for i, (a, b) in zip(got.ids, got.offsets)]
+    def encode_with_offsets(self, text: str) -> tuple[list[int], list[int], list[int]]:
+        """(ids, first characters, ends) of a text's tokens; a token of part of a character has that character's span. Stretches go in one after another, so memory is theirs."""
+        ids, first, ends, at = [], [], [], 0
+        for stretch in self.encoder.stretch.findall(text):
+            got = self.encoder.tokenizer.encode(stretch, add_special_tokens=False)
+            ids += got.ids
+            first += [at + a for a, _ in got.offsets]
+            ends += [at + b for _, b in got.offsets]
+            at += len(stretch)
+        return ids, first, ends
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -91,24 +99,28 @@ _codecs: dict[tuple[str, str], ByteCodec] = {}
 def codec(path: str, pattern: str, spec: str | None = None) -> ByteCodec:
     """The worker's codec of a rank file, built once."""
     if (path, pattern) not in _codecs:
-        ranks = read_ranks(path)
-        _codecs[path, pattern] = ByteCodec(spec or tokenizer_json(ranks, pattern), ranks)
+        _codecs[path, pattern] = ByteCodec(spec or tokenizer_json(read_ranks(path), pattern))
     return _codecs[path, pattern]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids, an array of ints, of each whole text; null is empty and has no ids."""
+    """doc_id, ids, and where each token begins and ends (``starts``, ``ends``, in code points) of each whole text.
+
+    Null is empty and has no ids. Repeated rows are encoded each; other columns are
+    ignored. An empty table gives an empty result.
+    """
     rows = text_rows(docs, id_col, text_col)
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(path), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern, spec.value)
-        for batch in batches:
-            got, cuts = c.encode(batch.column(1).to_pylist())
-            ids = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(got.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
+                got = [c.encode_with_offsets(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[k] for g in got], pa.list_(pa.int32())) for k in range(3))], names=["doc_id", "ids", "starts", "ends"])
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -83,6 +83,26 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n_words=4, percent=85)
 
 
+OP8_SQL = """
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE [array_to_string(words[i : i + 3], ' ') FOR i IN range(1, len(words) - 2)] END) AS shingle FROM texts
+), sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON r.other = l.u
+)
+SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_id,
+  coalesce((SELECT count(*) FROM links l WHERE l.u = r.doc_id), 0) AS n_links
+FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
 
@@ -121,5 +141,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_line_dedup": OP2_SQL,
+    "op8_ngram_jaccard_join": OP8_SQL,
     "op10_exact_topk": OP10_SQL,
 }
