@@ -154,7 +154,7 @@ def test_runs_know_what_is_new(spark):
     run = store.ingest(frame("xad", 0))
     assert [len(level) for level in store.levels] == [0, 0, 1] and fresh(store.runs()[0]) == set("abcdex")
     assert {tuple(r) for r in store.totals().collect()} == {("a", 2, 1), ("b", 2, 2), ("c", 2, 2), ("d", 3, 3), ("e", 1, 3), ("x", 2, 3)}
-    store.drop()
+    store.forget()
 
 
 def test_runs_merge_without_a_shuffle(spark):
@@ -166,7 +166,7 @@ def test_runs_merge_without_a_shuffle(spark):
         plan = told._jdf.queryExecution().executedPlan().toString()
         assert plan.count("LeftAnti") == 3 and plan.count("SortMergeJoin") == 4 and "Exchange" not in plan and "Sort [" not in plan
         assert "Exchange" not in store.totals()._jdf.queryExecution().executedPlan().toString()
-    store.drop()
+    store.forget()
 
 
 def test_extraction(spark):

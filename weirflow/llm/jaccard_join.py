@@ -13,7 +13,10 @@ empty partitions than the slack leaves them out, one with more signs them.
 The slack is half of k, so that a set of a similar pair shares not one but at
 least slack + 1 - (its empty partitions) signatures with others. Sets that share
 fewer can have no partner and drop out; that removes documents that have only a
-passage in common. Signatures are exact: no similar pair is missed.
+passage in common. Others keep, of the signatures they share, all but the most
+frequent ones, as many as they need at least less one: two sets that share so many
+still have one in common, and passages of many documents join no groups any more.
+Signatures are exact: no similar pair is missed.
 
 They are shuffled as packed arrays, one row per task and part, and within a task
 only the smallest holder of a signature is sent on, so that a signature that a
@@ -286,17 +289,17 @@ def link_sets(sets: list[np.ndarray], sizes: np.ndarray, coded: bool, weight: np
     return np.array([root(i) for i in range(m)], np.int64), links
 
 
-_GROUPED = "doc_id long, comp long, blocks int, block int, copies long, pivot boolean, size long, elements binary"
+_GROUPED = "doc_id long, comp long, blocks int, block int, copies long, coded boolean, pivot boolean, size long, elements binary"
 
 
 def _sets(n_words: int):
-    """(doc_id, text, comp, blocks, block, copies, pivot) to rows with the sets."""
+    """(doc_id, text, comp, blocks, block, copies, coded, pivot) to rows with the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), n_words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *batch.columns[2:7], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [batch.column(0), *batch.columns[2:8], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=[c.split()[0] for c in _GROUPED.split(", ")],
             )
 
@@ -320,8 +323,8 @@ def _resolve(percent: int):
     def solved(rows: list) -> pa.RecordBatch:
         rows = [next(same) for _, same in groupby(sorted(rows, key=lambda r: r[0]), key=lambda r: r[0])]  # a repeated row once
         sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        _, _, _, block, size, i, j, blocks = zip(*rows)
-        coded = blocks[0] > 1
+        _, _, _, block, size, i, j, coded = zip(*rows)
+        coded = coded[0]
         if not coded and len(rows) > 2:
             other = [np.setxor1d(s, sets[0], assume_unique=True) for s in sets]
             if sum(map(len, other)) < sum(map(len, sets)):
@@ -334,7 +337,7 @@ def _resolve(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         for batch in batches:
-            for comp, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "doc_id", "elements", "copies", "block", "size", "i", "j", "blocks"))):
+            for comp, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("comp", "i", "j", "doc_id", "elements", "copies", "block", "size", "i", "j", "coded"))):
                 if (comp, i, j) != key:
                     if len(rows) > 1:
                         yield solved(rows)
@@ -347,7 +350,7 @@ def _resolve(percent: int):
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 128, most_blocks: int = 64, block_shingles: int = 1 << 22
+    docs: DataFrame, n_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_sets: int = 128, most_blocks: int = 64, block_shingles: int = 1 << 20
 ) -> DataFrame:
     """Documents whose sets of word n-grams have a Jaccard similarity of at least ``percent`` / 100.
 
@@ -360,9 +363,10 @@ def ngram_jaccard_join(
     these differ.
     Other columns are ignored. An empty table gives an empty result.
 
-    Candidate groups of more than ``block_sets`` distinct sets are resolved as pairs
-    of blocks of about that many sets, in at most ``most_blocks`` blocks unless a
-    block would then hold more than ``block_shingles`` shingles.
+    Candidate groups of more than ``block_shingles`` shingles are resolved as pairs
+    of blocks of about so many; groups of sets of like sizes, as copies are, in
+    blocks of ``block_sets`` distinct sets or, beyond ``most_blocks`` of these, larger
+    ones.
     """
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
@@ -381,8 +385,10 @@ def ngram_jaccard_join(
     levels = F.posexplode("least").alias("above", "least")
     least = met.where("doc_id is not null and n > 0").select(F.col("doc_id").alias("u"), "band", levels).select("u", (F.col("band") + F.col("above")).alias("level"), "least")
     shared = met.where("sig is not null").select("sig", "u", F.col("sig").bitwiseAND((1 << LEVEL_BITS) - 1).alias("level"))
-    counted = shared.withColumn("count", F.count("*").over(Window.partitionBy("u", "level")))  # a document's own signatures
-    holders = counted.join(least, ["u", "level"]).where("count >= least").select("sig", "u")
+    frequency = shared.groupBy("sig").agg(F.count("*").alias("often"))
+    own = Window.partitionBy("u", "level")  # a document's own signatures
+    ranked = shared.join(apart(frequency, "sig"), "sig").withColumns({"count": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("often", "sig"))})
+    holders = ranked.join(least, ["u", "level"]).where("rank <= count - least + 1").select("sig", "u")
     heads = holders.groupBy("sig").agg(F.min("u").alias("v"), F.max("u").alias("top")).where("v < top").select("sig", "v")
     edges = holders.join(apart(heads, "sig"), "sig").where("u <> v").select("u", "v").distinct()
     edges = edges.union(met.where("v is not null").select("u", "v"))
@@ -392,19 +398,20 @@ def ngram_jaccard_join(
     classes = kept(
         summary.join(groups, "doc_id").groupBy("comp", "fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"), F.min("n").alias("n"))
     )
-    open_groups = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("rep").alias("first")).where("m > 1")
-    blocks = F.greatest(F.least(F.ceil(F.col("m") / block_sets), F.lit(most_blocks)), F.ceil(F.col("total") / block_shingles))
+    open_groups = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("rep").alias("first"), (2 * F.max("n") <= 3 * F.min("n")).alias("alike")).where("m > 1")
+    in_sets = F.when(F.col("alike"), F.least(F.ceil(F.col("m") / block_sets), F.lit(most_blocks))).otherwise(1)
     todo = (
         classes.join(open_groups, "comp")
-        .withColumn("blocks", blocks.cast("int"))
-        .select(F.col("rep").alias("doc_id"), "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "copies", (F.col("rep") == F.col("first")).alias("pivot"))
+        .withColumn("blocks", F.greatest(in_sets, F.ceil(F.col("total") / block_shingles)).cast("int"))
+        .withColumn("coded", F.col("alike") & (F.col("blocks") > 1))
+        .select(F.col("rep").alias("doc_id"), "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "copies", "coded", (F.col("rep") == F.col("first")).alias("pivot"))
     )
-    sets = kept(ids.join(todo.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "comp", "blocks", "block", "copies", "pivot").mapInArrow(_sets(n_words), _GROUPED))
-    # large groups travel as differences from their pivot
-    pivots = sets.where("pivot and blocks > 1").groupBy("comp").agg(F.min("elements").alias("other"))
-    large = sets.where("blocks > 1").join(apart(pivots, "comp"), "comp").select(*(c.split()[0] for c in _GROUPED.split(", ")), "other").mapInArrow(_differences, _GROUPED)
+    sets = kept(ids.join(todo.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "comp", "blocks", "block", "copies", "coded", "pivot").mapInArrow(_sets(n_words), _GROUPED))
+    # large groups of sets of like sizes travel as differences from their pivot
+    pivots = sets.where("pivot and coded").groupBy("comp").agg(F.min("elements").alias("other"))
+    large = sets.where("coded").join(apart(pivots, "comp"), "comp").select(*(c.split()[0] for c in _GROUPED.split(", ")), "other").mapInArrow(_differences, _GROUPED)
     paired = (
-        sets.where("blocks = 1").unionByName(large)
+        sets.where("not coded").unionByName(large)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
         .repartition(parts, "comp", "i", "j")

@@ -3,11 +3,11 @@
 The store holds runs: tables of (key, docs, last, fresh) in buckets by key, sorted
 by it within each bucket. A key is a 128-bit line hash, docs the number of documents
 of the run's batches that hold the line and last the largest id among them. A new
-batch of documents is reduced to its own keys and written as a sorted run, which is
-merge-anti-joined with the fresh entries of all runs: keys that none has are fresh
-entries of the batch's run, the others only add to what an earlier run holds. So a
-key has one fresh entry in all runs. As batch and runs are bucketed and sorted
-alike, these joins neither shuffle nor sort. When a level has ``fanout`` runs, a
+batch of documents is reduced to its own keys, which the one shuffle deals to the
+buckets, and merge-anti-joined with the fresh entries of all runs: keys that none has
+are fresh entries of the batch's run, the others only add to what an earlier run
+holds. So a key has one fresh entry in all runs. The runs are read as they lie,
+neither shuffled nor sorted. When a level has ``fanout`` runs, a
 merge, again without a shuffle, compacts them to one run of the next level, so that
 a key is rewritten a logarithmic number of times however many batches come. A key's
 total is its fresh entry and what later batches added, if any did.
@@ -23,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import delete_path, kept, new_path, partitions_for, stored
+from .common import delete_path, kept, new_path, partitions_for
 
 #: `[\x20\x09-\x0D]`
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -106,12 +106,7 @@ class LineRuns:
         batch = occurrences.groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
         earlier = self.runs()
         with _sorted_buckets(self.spark):
-            if earlier:
-                own = self._written(batch)
-                run = self._written(self.told_apart(own.frame, earlier))
-                own.drop()
-            else:
-                run = self._written(batch.withColumn("fresh", F.lit(True)))
+            run = self._written(self.told_apart(batch, earlier) if earlier else batch.withColumn("fresh", F.lit(True)))
             self._add(0, run)
         return run
 
@@ -144,9 +139,10 @@ class LineRuns:
         both = every.where("fresh").select("key", "docs", "last").join(added.hint("merge"), "key", "left")
         return both.select("key", (F.col("docs") + F.coalesce("more", F.lit(0))).alias("docs"), F.greatest("last", "later").alias("last"))
 
-    def drop(self) -> None:
+    def forget(self) -> None:
+        """Take the runs' names out of the catalog; frames made of them still read the files."""
         for r in self.runs():
-            r.drop()
+            self.spark.sql(f"DROP TABLE IF EXISTS {r.name}")
         self.levels = []
 
 
@@ -179,9 +175,8 @@ def dedup_lines(
     store = LineRuns(spark, fanout)
     for b in range(batches):
         store.ingest(seen.where(F.col("batch") == b))
-    with _sorted_buckets(spark):
-        repeated = stored(store.totals().where(F.col("docs") >= min_docs), "repeated")
-    store.drop()
+    repeated = store.totals().where(F.col("docs") >= min_docs)
+    store.forget()
     # the key as an expression: the join shuffles this side anew, and adaptive execution can split a hot line
     repeated = repeated.withColumn("key", F.substring("key", 1, 16))
     doomed = seen.join(repeated, "key").where(~F.col("doc_id").eqNullSafe(F.col("last")))
