@@ -401,7 +401,7 @@ def ngram_jaccard_join(
     open_groups = classes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.min("rep").alias("first"), (2 * F.max("n") <= 3 * F.min("n")).alias("alike")).where("m > 1")
     in_sets = F.when(F.col("alike"), F.least(F.ceil(F.col("m") / block_sets), F.lit(most_blocks))).otherwise(1)
     todo = (
-        classes.join(open_groups, "comp")
+        classes.join(apart(open_groups, "comp"), "comp")
         .withColumn("blocks", F.greatest(in_sets, F.ceil(F.col("total") / block_shingles)).cast("int"))
         .withColumn("coded", F.col("alike") & (F.col("blocks") > 1))
         .select(F.col("rep").alias("doc_id"), "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "copies", "coded", (F.col("rep") == F.col("first")).alias("pivot"))
