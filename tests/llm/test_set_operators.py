@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from weirflow.llm import html_extraction, jaccard_join, line_dedup, va_search
+from weirflow.llm import html_blocks, html_extraction, jaccard_join, line_dedup, va_search
 from weirflow.llm.components import connected_components
 from weirflow.llm.html_blocks import blocks
 
@@ -187,6 +188,65 @@ def test_extraction(spark):
     assert html_extraction.extract_main_text(rows.limit(0), model).count() == 0
 
 
+def test_labels_and_gradients_by_enumeration():
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 5, 8):
+        emissions, moves, y = rng.normal(size=(n, 2)), rng.normal(size=(2, 2)), rng.integers(0, 2, n)
+        paths = list(itertools.product((0, 1), repeat=n))
+        score = lambda p: sum(emissions[i, a] for i, a in enumerate(p)) + sum(moves[a, b] for a, b in zip(p, p[1:]))
+        total = math.log(sum(math.exp(score(p)) for p in paths))
+        loss, by_block, by_move = html_extraction.loss_and_gradients(emissions, moves, y)
+        assert math.isclose(loss, total - score(y))
+        for target, gradient in ((emissions, by_block), (moves, by_move)):
+            for at in np.ndindex(*target.shape):
+                target[at] += 1e-5
+                up = html_extraction.loss_and_gradients(emissions, moves, y)[0]
+                target[at] -= 2e-5
+                down = html_extraction.loss_and_gradients(emissions, moves, y)[0]
+                target[at] += 1e-5
+                assert abs((up - down) / 2e-5 - gradient[at]) < 1e-5
+        # the decoder on blocks whose only weighted features are their innermost names
+        html = "".join(f"<p><b{i}x>t {i}</b{i}x></p>" for i in range(n)).replace("<p>", "<div>").replace("</p>", "</div>")
+        found = blocks(re.sub(r"</?b(\d)x>", "", html).replace("<div>", "<div class='zq'>"))
+        weights = {f: tuple(rng.normal(size=2)) for own in html_blocks.features(found) for f in own}
+        model = html_extraction.Extractor(weights, moves.tolist())
+        emissions = np.array([np.sum([weights[f] for f in own], axis=0) for own in html_blocks.features(found)])
+        assert tuple(model.labels(found)) == max(paths, key=score)
+
+
+def test_extraction_at_any_depth_and_with_many_names():
+    model = html_extraction.fit_extractor(html_extraction.training_pages())
+    prose = "This is a sentence of the article, long enough to be told from a menu. "
+    for depth in (0, 1, 25, 45, 120, 500):
+        for names in (1, 9, 40):
+            wrappers = "".join("<div class='" + " ".join(f"u{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]}{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'abcdefghijklmnopqrstuvwxyz'[i // 26]}" for k in range(names)) + "'>" for i in range(depth))
+            page = f"<html><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul></nav>{wrappers}<article><h1>A title</h1><p>{prose * 3}</p><p>{prose * 2}</p></article>{'</div>' * depth}<footer>&copy; 2020 Someone</footer></body></html>"
+            assert model.text(page) == f"A title {(prose * 3).strip()} {(prose * 2).strip()}", (depth, names)
+
+
+def test_extraction_on_pages_of_another_kind():
+    """English pages in mark-up that the training pages don't use."""
+    rng = random.Random(12)
+    model = html_extraction.fit_extractor(html_extraction.training_pages())
+    lexicon = "the of market and report river a in new said year people city after more over water when two from light which house long other into only time could world".split()
+    sentence = lambda: " ".join(rng.choices(lexicon, k=rng.randint(7, 22))).capitalize() + "."
+    right = total = 0
+    for _ in range(60):
+        paragraphs = [" ".join(sentence() for _ in range(rng.randint(2, 5))) for _ in range(rng.randint(2, 8))]
+        links = lambda n: "".join(f'<li class="nav-item"><a class="nav-link" href="#{k}">{rng.choice(lexicon).title()}</a></li>' for k in range(n))
+        body = "".join(f'\n  <p class="lead-{k}">{p}</p>' for k, p in enumerate(paragraphs))
+        page = f"""<!doctype html><html><head><title>x</title></head><body class="page home">
+        <header id="top"><div class="container"><a href="/">Daily {rng.choice(lexicon)}</a><nav><ul class="navbar-nav">{links(6)}</ul></nav></div></header>
+        <div class="container"><div class="row"><main class="col-md-8"><article class="post"><h1>{sentence()[:-1]}</h1>{body}</article></main>
+        <aside class="col-md-4"><h4>Related</h4><ul>{links(5)}</ul></aside></div></div>
+        <footer class="footer"><p>&copy; 2021 Daily. All rights reserved.</p><ul>{links(3)}</ul></footer></body></html>"""
+        text = model.text(page)
+        total += len(paragraphs)
+        right += sum(p in text for p in paragraphs)
+        assert "Related" not in text and "rights reserved" not in text
+    assert right >= 0.98 * total
+
+
 def test_search(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8).round(1)]) for i in range(300)]

@@ -65,6 +65,43 @@ def test_quality(spark):
         assert alone.select("score").distinct().count() == 1
 
 
+def test_log_count_ratios():
+    rows, good = [np.array([0, 2]), np.array([0]), np.array([2, 3]), np.array([], int)], np.array([True, True, False, False])
+    got = quality.log_count_ratios(rows, good, 2, 1.0)
+    for feature in range(4):
+        share = [(1 + sum(feature in r for r, g in zip(rows, good) if g == label)) / (4 + sum(len(r) for r, g in zip(rows, good) if g == label)) for label in (True, False)]
+        assert math.isclose(got[feature], math.log(share[0] / share[1]))
+
+
+def test_dual_descent_reaches_the_optimum():
+    rng = np.random.default_rng(4)
+    rows = [np.sort(rng.choice(40, rng.integers(1, 12), replace=False)) for _ in range(30)]
+    y, ratio, cost = np.where(rng.random(30) < 0.4, 1, -1), rng.normal(size=40), 0.7
+    x = np.zeros((30, 41))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt(len(r))
+    x[:, 40] = 1  # the bias
+    upper = cost * np.array([30 / (2 * (y == s).sum()) for s in y])
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, rate = np.zeros(30), 1 / np.linalg.eigvalsh(q).max()
+    for _ in range(100_000):  # the same dual by projected gradient
+        alpha = np.clip(alpha + rate * (1 - q @ alpha), 0, upper)
+    want = (alpha * y) @ x
+    w, bias = quality._descend(rows, y, ratio, cost, 3000)
+    assert np.allclose(np.r_[w, bias], want, atol=5e-3)
+
+
+def test_fits_are_bounded_by_rows(spark, monkeypatch):
+    rows = spark.range(0, 400).selectExpr("if(id < 300, 7, id) as doc_id", "concat('text ', id) as text", "if(id % 2 = 0, 'a', 'b') as lang").repartition(9)
+    seen = []
+    monkeypatch.setattr(quality, "fit_rows", lambda r, good, bits: seen.append(len(r)))
+    quality.fit_quality(rows, rows.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality").distinct(), max_rows=50)
+    assert seen == [50]
+    sample = ppm_language._sample(rows, 20, "doc_id", "text", "lang")
+    assert {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()} == {"a": 20, "b": 20}
+    assert "Coalesce" not in sample._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ppm_code_lengths():
     texts = {"a": [b"abcabc", b"abx"], "b": [b"zzz", b"abq"]}
 

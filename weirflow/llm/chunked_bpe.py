@@ -21,7 +21,7 @@ import pyarrow as pa  # noqa: E402
 import pyarrow.compute as pc  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-HELD, POOL = 600_000, 1 << 22
+HELD, POOL = 300_000, 1 << 22
 LONG = 64  # longer stretches are not kept
 
 #: What the pattern languages of both tokenizer libraries call white space.

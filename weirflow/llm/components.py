@@ -11,7 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, partitions_for, stored
+
+#: A round's table has a task and a file for so many edges.
+EDGES_A_FILE = 100_000
 
 
 def apart(low: DataFrame, key: str = "u") -> DataFrame:
@@ -45,13 +48,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     e = stored(e, "edges")
     before = _state(e)
+    parts = partitions_for(edges.sparkSession)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(apart(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(apart(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "edges")
+        again = small.union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        after = stored(again.coalesce(min(parts, 4 + before[0] // EDGES_A_FILE)), "edges")  # no more edges than before
         now = _state(after)
         drop_stored(e.sparkSession, e)
         e = after

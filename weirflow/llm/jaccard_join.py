@@ -186,7 +186,7 @@ def _sign(n_words: int, percent: int, parts: int):
                 if held >= FLUSH:
                     yield from packed(sigs, docs)
                     sigs, docs, held = [], [], 0
-            if len(first) > FLUSH:
+            if len(first) > FLUSH // 4:
                 first.clear()
             spread = pa.array(ids % parts, pa.int32())
             yield _rows(_SIGNED, len(ids), part=spread, doc_id=pa.array(ids, pa.int64()), least=pa.array(least, pa.list_(pa.int64())), **{c: pa.array(v) for c, v in of.items()})
@@ -296,7 +296,7 @@ def _sets(n_words: int):
     """(doc_id, text, comp, blocks, block, copies, coded, pivot) to rows with the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             sets = list(shingle_sets(batch.column(1), n_words))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:8], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],

@@ -487,7 +487,7 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_texts(
-    docs: DataFrame, held_out, table_size: int = 1 << 18, grouped: int = 1 << 15, anchors: int = 48, groups: int = 8, n_classes: int = 16, depth: int = 9, max_row_bits: int = 14, max_fork_bits: int = 21,
+    docs: DataFrame, held_out, table_size: int = 1 << 18, grouped: int = 1 << 15, anchors: int = 48, groups: int = 8, n_classes: int = 16, depth: int = 9, max_row_bits: int = 13, max_fork_bits: int = 20,
     rounds: int = 2, rate: float = 0.15, fork_rate: float = 0.2, step: int = 8192, task_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Base and model log10 probabilities of each whole text.

@@ -120,6 +120,14 @@ def _sigmoid(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(theta[0]), float(theta[1])
 
 
+def log_count_ratios(rows: list[np.ndarray], good: np.ndarray, bits: int, smooth: float) -> np.ndarray:
+    """For each feature the log of its smoothed share in good rows over that in bad ones."""
+    counts = np.full((2, 1 << bits), smooth)
+    for row, label in zip(rows, good):
+        counts[int(label)][row] += 1
+    return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+
+
 def fit_rows(rows: list[np.ndarray], good: np.ndarray, bits: int, cost: float = 1.0, epochs: int = 20, smooth: float = 1.0) -> QualityModel:
     good = np.asarray(good, bool)
     if not len(rows) or good.all() or not good.any():  # nothing to tell apart: the smoothed share
@@ -127,11 +135,9 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray, bits: int, cost: float =
         return QualityModel(np.zeros(1 << bits, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))), bits)
 
     def once(which: np.ndarray) -> tuple[np.ndarray, float]:
-        counts = [np.full(1 << bits, smooth), np.full(1 << bits, smooth)]
-        for i in which:
-            counts[int(good[i])][rows[i]] += 1
-        ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-        w, bias = _descend([rows[i] for i in which], np.where(good[which], 1, -1), ratio, cost, epochs)
+        own = [rows[i] for i in which]
+        ratio = log_count_ratios(own, good[which], bits, smooth)
+        w, bias = _descend(own, np.where(good[which], 1, -1), ratio, cost, epochs)
         return w * ratio, bias
 
     fold, margin = np.zeros(len(rows), int), np.zeros(len(rows))
