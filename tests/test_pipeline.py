@@ -1,12 +1,16 @@
 """Verbs, windows and delivery on small fixtures with known results."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from weirflow.errors import PipelineError
+from weirflow.functions.callables import fold_global
 from weirflow.operators import DeliveryMode, Pipeline, WindowType
 from weirflow.plans.architectures import AdaptiveFlow, KappaFlow, LambdaFlow
 from weirflow.plans.flow import ArchitectureMode, Flow, RuntimeMode
+from weirflow.plans.prefix import numbered, ranged, running_sum
 from weirflow.sources import CollectionSource, DatagenSource, FileSink, FileSource, GeneratorSource, KafkaSink, KafkaSource
 from weirflow.streaming import LateRouter, WatermarkStrategy, WatermarkTracker
 from weirflow.types import Field, FieldType, Schema
@@ -192,7 +196,9 @@ def test_late_rows_go_aside(spark, tmp_path):
     for n, rows in enumerate(batches):
         router(spark.createDataFrame(rows, "ts long, v long").withColumn("ts", F.timestamp_seconds("ts")), n)
     assert (sorted(on_time), sorted(late), router.records_late) == ([1, 2, 4, 5], [3, 6], 2)
-    assert LateRouter("ts", 10, keep(on_time), note=note).largest == 120
+    again = LateRouter("ts", 10, keep(on_time), keep(late), note)  # after a restart the largest time is known
+    again(spark.createDataFrame([(90, 7), (130, 8)], "ts long, v long").withColumn("ts", F.timestamp_seconds("ts")), 3)
+    assert late[-1] == 7 and on_time[-1] == 8 and again.largest == 130
 
 
 def test_late_rows_of_a_stream(spark, tmp_path):
@@ -255,3 +261,96 @@ def test_socket_source_and_sink(spark, tmp_path):
         time.sleep(0.3)
     query.stop()
     assert sorted(r["value"] for r in spark.table("from_socket").collect()) == ["drei", "eins", "zwei"]
+
+
+def test_kafka_end_to_end(spark, tmp_path):
+    """The Kafka source and sink against a broker of the same shape."""
+    from broker import FolderBroker
+
+    from weirflow.sources import KafkaSink, KafkaSource
+
+    spark.dataSource.register(FolderBroker)
+    at = {"bootstrap_servers": str(tmp_path / "broker"), "fmt": FolderBroker.name()}
+    rows = spark.createDataFrame([("a", 1), ("b", None)], "k string, v long")
+    assert Pipeline(rows).sink_to(KafkaSink("t", key="k", **at)) is None
+    KafkaSink("t", **at).write(spark.createDataFrame([("plain",)], "value string"))
+    got = {(r["key"], r["value"]) for r in KafkaSource("t", **at).batch(spark).collect()}
+    assert got == {("a", '{"k":"a","v":1}'), ("b", '{"k":"b"}'), (None, "plain")}
+    parsed = KafkaSource("t", schema="k string, v long", **at).batch(spark).where("k is not null")
+    assert {(r["k"], r["v"], r["key"]) for r in parsed.collect()} == {("a", 1, "a"), ("b", None, "b")}
+    stream = Flow("f", RuntimeMode.STREAMING, spark=spark).from_source(KafkaSource("t", start_from="earliest", schema="k string, v long", **at))
+    query = stream.filter("v = 1").select("k", "v").sink_to(KafkaSink("out", key="k", **at), checkpoint=str(tmp_path / "cp"), trigger={"processingTime": "100 milliseconds"})
+    until = time.time() + 60
+    while KafkaSource("out", **at).batch(spark).count() < 1 and time.time() < until:
+        time.sleep(0.5)
+    query.stop()
+    assert [r["value"] for r in KafkaSource("out", **at).batch(spark).collect()] == ['{"k":"a","v":1}']
+
+
+def test_print_callback_and_insert_into(spark, tmp_path, capfd):
+    rows = Pipeline(spark.createDataFrame([(1, "x"), (2, None)], "a int, b string"))
+    rows.print()
+    out = capfd.readouterr().out
+    assert "|1  |x   |" in out and "|2  |NULL|" in out
+    got = []
+    rows.for_each(got.append)
+    assert got == [{"a": 1, "b": "x"}, {"a": 2, "b": None}]
+    rows.insert_into(FileSink(str(tmp_path / "json"), "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text('{"a": 3}\n')
+    stream = Pipeline(spark.readStream.schema("a int").json(str(tmp_path / "in")))
+    stream.for_each(got.append).awaitTermination()
+    assert got[-1] in ({"a": 3}, 3)
+    stream.insert_into(FileSink(str(tmp_path / "out"), "parquet")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_folds_keep_order_and_partitions(spark):
+    frame = spark.range(0, 1000, numPartitions=40).selectExpr("id", "cast(id as string) as s", "id % 3 as k")
+    assert fold_global(frame, lambda a, b: a + b, "id", fan_in=4).collect() == [(499500,)]
+    assert fold_global(frame.where("id < 100"), lambda a, b: f"{a},{b}", "s", fan_in=4).first()[0] == ",".join(map(str, range(100)))
+    assert fold_global(frame.limit(0), lambda a, b: a, "id").count() == 0
+    got = dict(Pipeline(frame).key_by("k").reduce(lambda a, b: a + b, "id", associative=True).collect())
+    assert got == {k: sum(range(k, 1000, 3)) for k in range(3)}
+    plan = fold_global(frame, max, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan
+
+
+def test_global_orders_need_no_single_task(spark):
+    rows = [(i * 37 % 500 if i % 5 else None, i) for i in range(1500)] + [(7, 2000 + i) for i in range(400)]  # a hot value, and nulls
+    frame = spark.createDataFrame(rows, "t long, id long").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = {r["id"]: r["offset"] for r in numbered(frame, ["t", "id"], start=10).collect()}
+    assert got == {r[1]: 10 + k for k, r in enumerate(order)}
+    held = ranged(frame, ["t", "id"], 8).groupBy("__range").count().collect()
+    assert len(held) == 8 and max(r["count"] for r in held) < 2 * len(rows) / 8  # the hot value is split, too
+    total, want = 0, {}
+    for _, i in order:
+        total += i
+        want[i] = total
+    run = running_sum(frame, ["t", "id"], "id")
+    assert {r["id"]: r["value"] for r in run.collect()} == want
+    assert "SinglePartition" not in run._jdf.queryExecution().executedPlan().toString()
+    names = spark.createDataFrame([(x,) for x in "delta alpha bravo charlie".split()], "s string")
+    assert [tuple(r) for r in numbered(names, ["s"], "n").orderBy("n").collect()] == [("alpha", 0), ("bravo", 1), ("charlie", 2), ("delta", 3)]
+
+
+@pytest.mark.parametrize("seed, gap", [(1, 3), (2, 10), (3, 40), (4, 100000)])
+def test_global_sessions_over_ranges(spark, seed, gap):
+    import random
+
+    rng = random.Random(seed)
+    times = [rng.choice((rng.randrange(3000), rng.randrange(40) * 100)) for _ in range(400)] + [None, 17, 17]
+    frame = spark.createDataFrame([(t, k) for k, t in enumerate(times)], "t long, v long").repartition(3)
+    got = Pipeline(frame).window(WindowType.session(gap, "t")).aggregate(F.count("*"))
+    rows = sorted((r["window_start"].timestamp(), r["window_end"].timestamp(), r["value"]) for r in got.collect())
+    want = []
+    for t in sorted(x for x in times if x is not None):
+        if want and t <= want[-1][1]:
+            want[-1] = (want[-1][0], t + gap, want[-1][2] + 1)
+        else:
+            want.append((t, t + gap, 1))
+    assert rows == want
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert Pipeline(frame.limit(0)).window(WindowType.session(gap, "t")).count().count() == 0

@@ -11,6 +11,7 @@ from weirflow.operators.eventlog import latest_by_key
 from weirflow.plans.architectures import AdaptiveFlow, KappaFlow, LambdaFlow
 from weirflow.streaming import AggregatingState, FlowMetrics, GranularityLevel, GranularityPolicy, JsonFileStateBackend, KeyedProcessFunction, ListState, MapState, ReducingState, StateConfig, ValueState, Viscosity, ViscosityController, ViscosityPolicy
 from weirflow.streaming.state import drive_keyed
+from weirflow.streaming.viscosity import place
 
 
 class Running(KeyedProcessFunction):
@@ -125,6 +126,85 @@ def test_compaction(spark, tmp_path):
         EventLog(spark, str(tmp_path / "none")).read()
 
 
+def test_log_survives_crashes(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = EventLog(spark, path, segment_size=4)
+    log.append_batch([{"i": i} for i in range(6)])
+    # files of an append that was never committed are not seen, and its offsets come again
+    spark.range(3).selectExpr("id as i", "id + 6 as offset", "1 as segment").write.partitionBy("segment").parquet(f"{path}/_staged-lost")
+    assert EventLog(spark, path, 4).offset == 6 and EventLog(spark, path, 4).frame().count() == 6
+    assert log.append({"i": 6}) == 6
+    # one that was committed but whose files were not moved is finished by whoever opens the log
+    other = EventLog(spark, path, 4)
+    other._settle = lambda staged: None
+    other.append_batch([{"i": 7}, {"i": 8}])
+    again = EventLog(spark, path, 4)
+    assert [r["i"] for r in again.read().collect()] == list(range(9)) and again.offset == 9
+    assert [r["i"] for r in EventLog(spark, path, 4).read().collect()] == list(range(9))
+    # a compaction that was not committed changes nothing
+    broken = EventLog(spark, path, 4)
+    broken._file.save = lambda state: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        broken.compact(lambda df: df.where("offset % 2 = 0"), 6)
+    assert EventLog(spark, path, 4).frame().count() == 9
+    log.compact(lambda df: df.where("offset % 2 = 0"), 6)
+    assert [r["offset"] for r in log.read().collect()] == [0, 2, 4, 6, 7, 8]
+    log.compact(lambda df: df.where("offset % 4 = 0"), 8)  # over the one before
+    assert [r["offset"] for r in log.read().collect()] == [0, 4, 8] and [r["i"] for r in log.read(4, 1).collect()] == [4]
+    assert log.truncate(4) == 1 and [r["offset"] for r in log.read().collect()] == [4, 8]
+    assert log.truncate(8) == 1 and [r["offset"] for r in log.read().collect()] == [8] and log.append({"i": 9, "new": "x"}) == 9
+    assert [(r["i"], r["new"]) for r in log.read().collect()] == [(8, None), (9, "x")]
+    # a torn state file is one that isn't there
+    assert not [n for n in log.folder.names("_state") if n.startswith("_part")]
+
+
+def test_log_lookups_need_no_job(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path / "log"))
+    log.append({"i": 0})
+    spark.sparkContext.setJobGroup("quiet", "no job")
+    began = time.perf_counter()
+    for k in range(5):
+        log.append_batch([{"i": k, "tags": {"a": "b"}, "many": [1, 2]}])
+    assert log.offset == 6 and (time.perf_counter() - began) < 10
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("quiet")
+    spark.sparkContext.setJobGroup("loud", "jobs")
+    assert [r["tags"] for r in log.read(1).collect()] == [{"a": "b"}] * 5
+
+
+def test_kappa_stream_is_logged_once_over_restarts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = lambda name, ids: (tmp_path / "in" / name).write_text("".join(f'{{"key": "a", "v": {i}}}\n' for i in ids))
+    rows("0.json", range(5))
+    df = spark.readStream.schema("key string, v long").json(str(tmp_path / "in"))
+    run = lambda: KappaFlow(spark, lambda x: x, str(tmp_path / "log"), order=["v"]).execute(df, str(tmp_path / "cp")).awaitTermination()
+    run()
+    rows("1.json", range(5, 9))
+    run()
+    # the query forgets that its last batch was done, as after a crash before its commit
+    (last,) = sorted((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))[-1:]
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    run()
+    assert sorted(r["v"] for r in KappaFlow(spark, lambda x: x, str(tmp_path / "log")).replay().collect()) == list(range(9))
+
+
+def test_serving_times_and_lookups(spark):
+    view = ServingView(["key"], MergeView.latest)
+    frame = lambda rows: spark.createDataFrame(rows, "key string, value long")
+    assert view.last_batch_time == view.last_speed_time == 0 and view.hold() and view.query("a") is None
+    before = time.time()
+    view.update_batch(frame([("a", 1), ("b", None)]))
+    assert before <= view.last_batch_time <= time.time() and view.last_speed_time == 0
+    assert view.query("a") == 1 and view.hold() and view.query("a") == 1 and view.query("b") is None
+    began = time.perf_counter()
+    for _ in range(1000):
+        view.query("a")
+    assert time.perf_counter() - began < 1  # a lookup takes less than a millisecond
+    view.update_speed(frame([("a", 2)]))  # the copy is gone with the update
+    assert view.query("a") == 2 and view.last_speed_time >= view.last_batch_time
+    assert not view.hold(at_most=1) and view.query("a") == 2
+
+
 def test_serving(spark):
     view = ServingView(["key"], MergeView.combine_sum)
     frame = lambda rows: spark.createDataFrame(rows, "key string, value long")
@@ -175,7 +255,7 @@ V = Viscosity
         (ViscosityPolicy.BALANCED, V.HONEYED, dict(arrival_rate=50000, queue_depth=8000, backlog_size=20000), None, V.SLUGGISH),
         (ViscosityPolicy.BALANCED, V.FLUID, dict(arrival_rate=5000, queue_depth=8000, backlog_size=15000, processing_latency_ms=5), None, V.HONEYED),
         (ViscosityPolicy.BALANCED, V.HONEYED, dict(arrival_rate=5000, queue_depth=5, backlog_size=5), None, V.HONEYED),
-        (ViscosityPolicy.BALANCED, V.HONEYED, dict(arrival_rate=1, queue_depth=5, backlog_size=20000, processing_latency_ms=600), None, V.FLUID),
+        (ViscosityPolicy.BALANCED, V.HONEYED, dict(arrival_rate=1, queue_depth=5, backlog_size=20000, processing_latency_ms=600), None, V.SLUGGISH),  # triggers that don't keep up
         (ViscosityPolicy.BALANCED, V.FROZEN, dict(error_rate=0.5, arrival_rate=1, queue_depth=2, backlog_size=5), None, V.SLUGGISH),
         (ViscosityPolicy.EFFICIENT, V.HONEYED, dict(arrival_rate=600, queue_depth=3000, backlog_size=6000), None, V.FROZEN),
         (ViscosityPolicy.EFFICIENT, V.VOLATILE, dict(arrival_rate=200, queue_depth=300, backlog_size=600), dict(high_arrival_rate=100, high_queue_depth=200, high_backlog=500), V.HONEYED),
@@ -210,7 +290,29 @@ def test_controller():
     assert [x.batch_size for x in V] == [1, 10, 100, 1000, 100000] and [x.eta for x in V] == [0, 0.25, 0.5, 0.75, 1]
     assert V.VOLATILE < V.FROZEN and V.FLUID.is_flowing and V.FROZEN.is_solid and not V.HONEYED.is_solid
     m = FlowMetrics(arrival_rate=100, backlog_size=200, processing_latency_ms=50)
-    assert m.shear_stress == 2.5 and abs(m.measured_viscosity - 0.0205) < 1e-9
+    assert m.shear_rate == 100 and m.shear_stress == 2.05 and abs(m.measured_viscosity - 2.05 / 3.05) < 1e-9
+    assert FlowMetrics().shear_stress == FlowMetrics().measured_viscosity == 0 and FlowMetrics().utilisation is None
+    assert m.snapshot().keys() >= {"arrival_rate", "shear_rate", "shear_stress", "measured_viscosity"}
+
+
+def test_controller_reads_progress():
+    progress = {"inputRowsPerSecond": 500.0, "processedRowsPerSecond": 200.0, "durationMs": {"triggerExecution": 300}, "numInputRows": 100, "sources": [{"metrics": {"maxOffsetsBehindLatest": "700"}}]}
+    c = ViscosityController(V.FLUID, adjust_interval=0, on_change=lambda a, b: 1 / 0)  # a listener's failure is its own
+    c.update_from_progress(progress)
+    assert c.metrics.backlog_size == 700 and c.metrics.utilisation == 2.5 and c.pressure() == 1
+    assert c.adjust() is V.HONEYED and c.history[0]["from"] == "fluid" and c.history[0]["metrics"]["arrival_rate"] == 500
+    assert c.adjust() is V.SLUGGISH  # rows still come faster than they go
+    c.update_from_progress(progress | {"processedRowsPerSecond": 2000.0})
+    assert c.pressure() == 0 and c.adjust() is V.SLUGGISH
+    for _ in range(1200):
+        c.thaw()
+        c.freeze()
+    assert len(c.history) == 1000 and c.adjustments_count > 2000
+
+
+@pytest.mark.parametrize("x, at", [(0, 0), (10, 0), (100, 0.5), (1000, 1), (10**6, 1)])
+def test_places_are_logarithmic(x, at):
+    assert abs(place(x, 10, 1000) - at) < 1e-9
 
 
 def test_adaptive(spark, tmp_path):

@@ -13,10 +13,12 @@ from functools import reduce as fold
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 BATCH = 4096
+HELD = 100_000  # keys in a partition's memory
 
 
 def struct_of(schema: T.StructType | str) -> T.StructType:
@@ -91,28 +93,71 @@ def per_group(df: DataFrame, keys: list[str], f: Callable[[tuple, list], list],
     return df.groupBy(*keys).applyInArrow(apply, out)
 
 
-def fold_groups(df: DataFrame, keys: list[str], f: Callable[[Any, Any], Any], column: str, order: str | None = None) -> DataFrame:
-    """Left fold of a column within each group, in the order of ``order`` where given: (keys, value)."""
+def fold_groups(df: DataFrame, keys: list[str], f: Callable[[Any, Any], Any], column: str, order: str | None = None, associative: bool = False) -> DataFrame:
+    """Left fold of a column within each group: (keys, value).
+
+    In the order of ``order`` where given; a group must then fit one task, as it
+    must if ``f`` is not ``associative``. Associative folds run in partitions before
+    the shuffle, so a hot key arrives as one value a partition.
+    """
     out = T.StructType([*[df.schema[k] for k in keys], T.StructField("value", df.schema[column].dataType)])
+    arrow = to_arrow_schema(out)
 
     def run(key: tuple, records: list) -> list:
         rows = sorted(records, key=lambda r: r[order]) if order else records
         return [(*key, fold(f, [r[column] for r in rows]))]
 
-    return per_group(df, keys, run, out)
+    if order or not associative:
+        return per_group(df, keys, run, out)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Any] = {}
+        for batch in batches:
+            for *key, value in zip(*(c.to_pylist() for c in batch.columns)):
+                key = tuple(key)
+                held[key] = f(held[key], value) if key in held else value
+            if len(held) > HELD:
+                yield _batch([(*k, v) for k, v in held.items()], arrow)
+                held = {}
+        if held:
+            yield _batch([(*k, v) for k, v in held.items()], arrow)
 
+    def merge(key: tuple, records: list) -> list:
+        return [(*key, fold(f, [r["value"] for r in records]))]
 
-def fold_global(df: DataFrame, f: Callable[[Any, Any], Any], column: str) -> DataFrame:
-    """Fold of an associative function over a column: within partitions first, then over their results. Empty gives no row."""
-    out = T.StructType([T.StructField("value", df.schema[column].dataType)])
+    return per_group(df.select(*keys, df[column].alias("value")).mapInArrow(partial, out), keys, merge, out)
+
+
+def fold_global(df: DataFrame, f: Callable[[Any, Any], Any], column: str, fan_in: int = 1024) -> DataFrame:
+    """Fold of an associative function over a column. Empty gives no row.
+
+    Every partition is folded where it lies to one value; values of ``fan_in``
+    neighbouring partitions meet in a task, and then one value of each of these.
+    """
+    out = T.StructType([T.StructField("at", T.LongType()), T.StructField("value", df.schema[column].dataType)])
     arrow = to_arrow_schema(out)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of ``at`` to one value for each ``fan_in`` of them."""
+        group, held = None, None
+        for batch in batches:
+            for at, value in zip(batch.column("at").to_pylist(), batch.column("value").to_pylist()):
+                if at // fan_in != group:
+                    if group is not None:
+                        yield _batch([(group, held)], arrow)
+                    group, held = at // fan_in, value
+                else:
+                    held = f(held, value)
+        if group is not None:
+            yield _batch([(group, held)], arrow)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for batch in batches:
             held = [fold(f, held + batch.column(0).to_pylist())] if batch.num_rows else held
         if held:
-            yield _batch(held, arrow)
+            yield _batch([(TaskContext.get().partitionId(), held[0])], arrow)
 
-    partial = df.select(df[column].alias("value")).mapInArrow(apply, out)
-    return partial.coalesce(1).mapInArrow(apply, out)  # one value a partition
+    values = df.select(df[column].alias("value")).mapInArrow(first, out)
+    met = values.withColumn("group", F.floor(F.col("at") / fan_in)).repartition("group").sortWithinPartitions("at").drop("group").mapInArrow(apply, out)
+    return met.repartition(1).sortWithinPartitions("at").withColumn("at", F.lit(0).cast("long")).mapInArrow(apply, out).select("value")

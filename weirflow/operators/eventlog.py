@@ -1,99 +1,149 @@
 """An append-only event log in segments, addressed by offset.
 
-A log is a folder of Parquet files partitioned by segment, with one column
-``offset`` beside the payload's. Offsets of an append are the log's next ones, in
-the order asked for. One writer appends at a time; a file that was cut off is not
-seen, as Spark commits an append as a whole.
+A log is a folder. ``live`` holds Parquet files by segment, with one column
+``offset`` beside the payload's; ``compacted-*`` what a compaction made of the rows
+below its checkpoint. ``_state`` says what counts: the next offset, the columns, from
+where on live rows hold, the compacted folder, and the last batch of each stream.
+Writing it is the one moment at which an append or a compaction happens: an append's
+files wait in a hidden folder until then and are moved to their segments after it, or
+by whoever opens the log next. A crash before it leaves the log as it was.
+
+Offsets of an append are the log's next ones, in the order asked for, and are never
+given twice. One writer appends at a time.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import PipelineError
+from ..plans.files import Folder, StateFile
 from ..plans.prefix import numbered
 from ..sources.readers import CollectionSource
 
+LIVE = "live"
+
 
 class EventLog:
     def __init__(self, spark: SparkSession, path: str, segment_size: int = 100_000):
         self.spark, self.path, self.segment_size = spark, path.rstrip("/"), segment_size
-
-    def _fs(self) -> tuple:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def exists(self) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path) and bool(self._segments())
+        self.folder = Folder(spark, self.path)
+        self._file = StateFile(self.folder)
+
+    # state
+
+    def _state(self) -> dict:
+        """What counts, after finishing an append that was committed but whose files were not all moved."""
+        state = {"next": 0, "floor": 0, "from": 0, "compacted": None, "schema": None, "staged": None, "batches": {}} | self._file.load()
+        if state["staged"] and self.folder.has(state["staged"]):
+            self._settle(state["staged"])
+        return state
+
+    def _settle(self, staged: str) -> None:
+        for segment in self.folder.names(staged):
+            if segment.startswith("segment="):
+                for name in self.folder.names(f"{staged}/{segment}"):
+                    if name.endswith(".parquet"):
+                        self.folder.move(f"{staged}/{segment}/{name}", f"{LIVE}/{segment}/{name}")
+        self.folder.delete(staged)
 
     def _segments(self) -> list[int]:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n.removeprefix("segment=")) for n in names if n.startswith("segment="))
+        return sorted(int(n.removeprefix("segment=")) for n in self.folder.names(LIVE) if n.startswith("segment="))
 
-    def frame(self) -> DataFrame:
-        if not self.exists():
-            raise PipelineError(f"no event log at {self.path}")
-        return self.spark.read.option("mergeSchema", True).parquet(self.path)
+    def exists(self) -> bool:
+        return self._state()["schema"] is not None
 
     @property
     def offset(self) -> int:
-        """The next offset."""
-        last = self.frame().agg(F.max("offset")).first()[0] if self.exists() else None
-        return max(self._floor(), -1 if last is None else last) if last is None else max(self._floor(), last + 1)
-
-    def _floor(self) -> int:
-        """The next offset as last noted: offsets are never given twice, even if all rows are truncated."""
-        fs, path = self._fs()
-        note = self.spark._jvm.org.apache.hadoop.fs.Path(path, "_next.json")
-        if not fs.exists(note):
-            return 0
-        stream = fs.open(note)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())["next"]
-        finally:
-            stream.close()
-
-    def _note(self, n: int) -> None:
-        fs, path = self._fs()
-        out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(path, "_next.json"), True)
-        out.write(bytearray(json.dumps({"next": n}).encode()))
-        out.close()
+        """The next offset, from the state alone."""
+        return self._state()["next"]
 
     @property
     def segment_count(self) -> int:
-        return len(self._segments())
+        """Segments with rows: those of live ones, and all that a compaction put together as one."""
+        state = self._state()
+        return sum((s + 1) * self.segment_size > state["from"] for s in self._segments()) + (state["compacted"] is not None)
+
+    # appends
 
     def append(self, record: dict) -> int:
         return self.append_batch([record])[0]
 
     def append_batch(self, records: list[dict]) -> list[int]:
-        """Offsets of records held by the driver, in their order."""
+        """Offsets of records held by the driver, in their order; written without a Spark job."""
         if not records:
             return []
-        start = self.offset
-        df = CollectionSource([{"__k": k, **(r if isinstance(r, dict) else {"value": r})} for k, r in enumerate(records)]).batch(self.spark)
-        self._write(df.withColumn("offset", F.col("__k") + start).drop("__k"))
-        self._note(start + len(records))
-        return list(range(start, start + len(records)))
-
-    def append_frame(self, df: DataFrame, order: list[str]) -> tuple[int, int]:
-        """Append a frame in an order, numbered without one task holding it; returns its range of offsets."""
-        start = self.offset
-        self._write(numbered(df, order, "offset", start))
-        end = self.offset
-        self._note(end)
-        return start, end
-
-    def _write(self, df: DataFrame) -> None:
-        rows = df.withColumn("offset", F.col("offset").cast("long")).withColumn("segment", F.floor(F.col("offset") / self.segment_size).cast("long"))
-        rows.write.mode("append").partitionBy("segment").parquet(self.path)
+        rows = [r if isinstance(r, dict) else {"value": r} for r in records]
+        schema = CollectionSource(rows).batch(self.spark).schema
+        state = self._state()
+        start, size = state["next"], self.segment_size
+        columns = {f.name: [r.get(f.name) for r in rows] for f in schema}
+        for f in schema:
+            if isinstance(f.dataType, T.MapType):
+                columns[f.name] = [None if v is None else list(v.items()) for v in columns[f.name]]
+        columns["offset"] = range(start, start + len(rows))
+        table = pa.Table.from_pydict(columns, to_arrow_schema(T.StructType([*schema.fields, T.StructField("offset", T.LongType())])))
+        staged = f"_staged-{uuid.uuid4().hex}"
+        for segment in range(start // size, (start + len(rows) - 1) // size + 1):
+            low, high = max(start, segment * size), min(start + len(rows), (segment + 1) * size)
+            held = pa.BufferOutputStream()
+            pq.write_table(table.slice(low - start, high - low), held)
+            self.folder.write(f"{staged}/segment={segment}/part-{uuid.uuid4().hex}.parquet", held.getvalue().to_pybytes())
+        self._commit(state, staged, len(rows), schema)
+        return list(range(start, start + len(rows)))
+
+    def append_frame(self, df: DataFrame, order: list[str], batch: tuple[str, int] | None = None) -> tuple[int, int]:
+        """Append a frame in an order, numbered without one task holding it; returns its range of offsets.
+
+        ``batch`` names a stream and the number of its batch: one that the log
+        already has, as a restarted query may bring it again, is not appended.
+        """
+        state = self._state()
+        start = state["next"]
+        if batch and state["batches"].get(batch[0], -1) >= batch[1]:
+            return start, start
+        n = df.count()
+        staged = f"_staged-{uuid.uuid4().hex}"
+        if n:
+            rows = numbered(df, order, "offset", start).withColumn("offset", F.col("offset").cast("long"))
+            self._with_segment(rows).write.partitionBy("segment").parquet(f"{self.path}/{staged}")
+        self._commit(state, staged, n, df.schema, batch)
+        return start, start + n
+
+    def _with_segment(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("segment", F.floor(F.col("offset") / self.segment_size).cast("long"))
+
+    def _commit(self, state: dict, staged: str, n: int, schema: T.StructType, batch: tuple[str, int] | None = None) -> None:
+        known = T.StructType.fromJson(state["schema"]) if state["schema"] else T.StructType()
+        fields = [*known.fields, *(T.StructField(f.name, f.dataType) for f in schema if f.name not in known.names and f.name != "offset")]
+        done = state["batches"] | ({batch[0]: batch[1]} if batch else {})
+        self._file.save(state | {"next": state["next"] + n, "schema": T.StructType(fields).jsonValue(), "staged": staged, "batches": done})
+        if self.folder.has(staged):
+            self._settle(staged)
+
+    # reads
+
+    def frame(self) -> DataFrame:
+        """All rows, with offset and segment; the columns come from the state, no file is opened for them."""
+        state = self._state()
+        if state["schema"] is None:
+            raise PipelineError(f"no event log at {self.path}")
+        schema = T.StructType([*T.StructType.fromJson(state["schema"]).fields, T.StructField("offset", T.LongType()), T.StructField("segment", T.LongType())])
+        low = max(state["floor"], state["from"])
+        read = self.spark.read.schema(schema)
+        live = read.parquet(f"{self.path}/{LIVE}") if self._segments() else self.spark.createDataFrame([], schema)
+        if low:
+            live = live.where((F.col("segment") >= low // self.segment_size) & (F.col("offset") >= low))
+        if state["compacted"] is None:
+            return live
+        old = read.parquet(f"{self.path}/{state['compacted']}")
+        return live.unionByName(old.where(F.col("offset") >= state["floor"]) if state["floor"] else old)
 
     def read(self, offset: int = 0, limit: int | None = None) -> DataFrame:
         """Rows from an offset on, in order; whole segments before it are not read."""
@@ -103,26 +153,37 @@ class EventLog:
     def read_segment(self, index: int) -> DataFrame:
         return self.frame().where(F.col("segment") == index).orderBy("offset").drop("segment")
 
+    # upkeep
+
     def truncate(self, before_offset: int) -> int:
-        """Delete whole segments below an offset; returns how many."""
-        fs, path = self._fs()
-        self._note(self.offset)
-        gone = [s for s in self._segments() if (s + 1) * self.segment_size <= before_offset]
+        """Delete whole segments below an offset; returns how many had rows."""
+        state = self._state()
+        bound = before_offset // self.segment_size * self.segment_size
+        floor = max(state["floor"], min(bound, state["next"]))  # offsets still to come are not below it
+        gone = [s for s in self._segments() if (s + 1) * self.segment_size <= bound]
+        old = state["compacted"]
+        had = len([s for s in gone if (s + 1) * self.segment_size > state["from"]])
+        if old is not None:
+            had += self.frame().where((F.col("offset") < min(floor, state["from"]))).select("segment").distinct().count()
+        self._file.save(state | {"floor": floor, "compacted": None if old is not None and floor >= state["from"] else old})
         for s in gone:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"segment={s}"), True)
-        return len(gone)
+            self.folder.delete(f"{LIVE}/segment={s}")
+        if old is not None and floor >= state["from"]:
+            self.folder.delete(old)
+        return had
 
     def compact(self, merge: Callable[[DataFrame], DataFrame], checkpoint_offset: int) -> None:
-        """Replace all rows below an offset by ``merge`` of them, which must keep a column ``offset``; rows from it on stay."""
-        fs, path = self._fs()
-        following = self.offset
-        kept = merge(self.frame().where(F.col("offset") < checkpoint_offset).drop("segment"))
-        both = kept.unionByName(self.frame().where(F.col("offset") >= checkpoint_offset).drop("segment"), allowMissingColumns=True)
-        new = EventLog(self.spark, f"{self.path}.compacted", self.segment_size)
-        new._write(both)
-        fs.delete(path, True)
-        fs.rename(new._fs()[1], path)
-        self._note(following)
+        """Replace all rows below an offset by ``merge`` of them, which must keep a column ``offset``; rows from it on are not touched."""
+        state = self._state()
+        new = f"compacted-{uuid.uuid4().hex}"
+        merged = merge(self.frame().where(F.col("offset") < checkpoint_offset).drop("segment"))
+        self._with_segment(merged.withColumn("offset", F.col("offset").cast("long"))).hint("rebalance").write.parquet(f"{self.path}/{new}")
+        self._file.save(state | {"from": max(checkpoint_offset, state["from"]), "compacted": new})
+        for s in self._segments():  # what no longer counts
+            if (s + 1) * self.segment_size <= checkpoint_offset:
+                self.folder.delete(f"{LIVE}/segment={s}")
+        if state["compacted"]:
+            self.folder.delete(state["compacted"])
 
 
 def latest_by_key(*keys: str) -> Callable[[DataFrame], DataFrame]:

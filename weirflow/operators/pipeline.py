@@ -148,11 +148,11 @@ class Pipeline:
     def avg(self, column: Expr = "value") -> DataFrame:
         return self._agg(aggregate("avg", _col(column)))
 
-    def reduce(self, f: Column | Callable, column: str = "value", order: str | None = None) -> DataFrame:
-        """An aggregate expression, or a fold of a column: within each key in the order of ``order``; without keys ``f`` must be associative."""
+    def reduce(self, f: Column | Callable, column: str = "value", order: str | None = None, associative: bool = False) -> DataFrame:
+        """An aggregate expression, or a fold of a column: within each key in the order of ``order``, or in partitions first if ``f`` is ``associative``; without keys it must be."""
         if isinstance(f, Column):
             return self._agg(f.alias("value"))
-        return fold_groups(self.df, list(self.keys), f, column, order) if self.keys else fold_global(self.df, f, column)
+        return fold_groups(self.df, list(self.keys), f, column, order, associative) if self.keys else fold_global(self.df, f, column)
 
     def aggregate(self, **named: Column) -> DataFrame:
         return self._agg(*[e.alias(n) for n, e in named.items()])
@@ -232,6 +232,8 @@ class WindowedPipeline:
         df, keys = self.source.df, self.source.keys
         if not self.spec.timed:
             return self.source._agg(*columns)
+        if self.spec.kind is WindowKind.SESSION and not keys and not df.isStreaming:
+            return self._sessions().groupBy("window_start", "window_end").agg(*columns)  # ranges of time instead of one task
         out = df.groupBy(*keys, self.spec.column(df)).agg(*columns)
         names = [c for c in out.columns if c not in (*keys, "window")]
         return out.select(*keys, F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *names)
@@ -260,7 +262,11 @@ class WindowedPipeline:
         return self.apply(lambda records: [f(records)], schema)
 
     def apply(self, f: Callable[[list], list], schema: str | T.StructType | None = None) -> DataFrame:
-        """Any number of results a window, from a function of its records; a window must fit one task."""
+        """Any number of results a window, from a function of its records.
+
+        A window, of each key, must fit one task; so must all rows, where windows
+        have no time field. For the first rows of a window see ``top``.
+        """
         if schema is None:
             raise PipelineError("a Python function on windows needs the schema of its results")
         from ..functions.callables import struct_of
@@ -288,12 +294,30 @@ class WindowedPipeline:
 
         return per_group(windowed, by, run, result)
 
+    def top(self, n: int, *order: Column) -> DataFrame:
+        """The first ``n`` rows of each window, and key, in an order: each task passes on ``n`` of its own at most, so no window is held by one."""
+        df, keys = self.source.df, list(self.source.keys)
+        if not self.spec.timed:
+            windowed, bounds = df, []
+        elif self.spec.kind is WindowKind.SESSION:
+            windowed, bounds = self._sessions(), ["window_start", "window_end"]
+        else:
+            bounds = ["window_start", "window_end"]
+            windowed = df.withColumn("window", self.spec.column(df)).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *df.columns)
+        if not (keys or bounds):
+            return windowed.orderBy(*order).limit(n)
+        ranked = windowed.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, *bounds).orderBy(*order)))
+        return ranked.where(F.col("__rank") <= n).drop("__rank")
+
     def _sessions(self) -> DataFrame:
-        """Rows with their session's bounds, joined by key and time range through the sessions' starts."""
+        """Rows with their session's bounds."""
         df, keys = self.source.df, list(self.source.keys)
+        from ..plans.prefix import sessions
         from .windows import _span, event_time
 
         time = event_time(df, self.spec.time_field)
+        if not keys:
+            return sessions(df, time, _span(self.spec.gap))
         w = Window.partitionBy(*keys).orderBy(time)
         marked = df.withColumn("__t", time).withColumn("__new", (F.col("__t") > F.lag("__t").over(w) + F.expr(f"interval {_span(self.spec.gap)}")).cast("int"))
         numbered = marked.withColumn("__s", F.sum(F.coalesce("__new", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -46,16 +47,21 @@ class ServingView:
         self.keys, self.merge, self.value = keys, merge, value
         self._batch: DataFrame | None = None
         self._speed: DataFrame | None = None
+        #: When each layer last delivered, in seconds since 1970; 0 before it has.
+        self.last_batch_time = self.last_speed_time = 0.0
+        self._held: dict | None = None
 
     def _into(self, held: DataFrame | None, new: DataFrame) -> DataFrame:
         new = new.select(*self.keys, self.value)
         return new if held is None else merged(held, new, self.keys, self.merge, self.value).drop("source")
 
     def update_batch(self, df: DataFrame) -> None:
-        self._batch = self._into(self._batch, df)
+        self._batch, self._held = self._into(self._batch, df), None
+        self.last_batch_time = time.time()
 
     def update_speed(self, df: DataFrame) -> None:
-        self._speed = self._into(self._speed, df)
+        self._speed, self._held = self._into(self._speed, df), None
+        self.last_speed_time = time.time()
 
     def frame(self) -> DataFrame | None:
         if self._batch is None or self._speed is None:
@@ -63,8 +69,17 @@ class ServingView:
             return None if one is None else one.withColumn("source", F.lit(source))
         return merged(self._batch, self._speed, self.keys, self.merge, self.value)
 
+    def hold(self, at_most: int = 1_000_000) -> bool:
+        """Keep the view's values on the driver for lookups until the next update, if there are at most so many keys."""
+        view = self.frame()
+        rows = [] if view is None else view.select(*self.keys, self.value).limit(at_most + 1).collect()
+        self._held = {tuple(r[k] for k in self.keys): r[self.value] for r in rows} if len(rows) <= at_most else None
+        return self._held is not None
+
     def query(self, *key: object) -> object | None:
-        """One key's value."""
+        """One key's value: from the driver's copy after ``hold``, else by a filter that reaches the layers."""
+        if self._held is not None:
+            return self._held.get(key)
         view = self.frame()
         if view is None:
             return None
@@ -80,4 +95,4 @@ class ServingView:
         return {(r[self.keys[0]] if len(self.keys) == 1 else tuple(r[k] for k in self.keys)): r[self.value] for r in view.toLocalIterator()}
 
     def clear(self) -> None:
-        self._batch = self._speed = None
+        self._batch = self._speed = self._held = None

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import PipelineError
-from ..operators.delivery import DeliveryMode, delivered
 from ..operators.eventlog import EventLog
 from ..operators.serving import Merge, MergeView, ServingView
 from ..streaming.viscosity import GranularityLevel, GranularityPolicy, Viscosity, ViscosityController, ViscosityPolicy
@@ -94,7 +93,7 @@ class KappaFlow:
         return transform(out) if transform else out
 
     def execute(self, df: DataFrame, checkpoint: str | None = None) -> DataFrame | StreamingQuery:
-        """Log the input, then run the pipeline: on a batch at once, on a stream for each micro-batch's log so far."""
+        """Log the input, then run the pipeline: on a batch at once; a stream's micro-batches are logged, each exactly once over restarts from ``checkpoint``."""
         if not df.isStreaming:
             if self.log is not None:
                 self.log.append_frame(df, self.order or [df.columns[0]])
@@ -104,12 +103,11 @@ class KappaFlow:
             return out
         log, order = self._need_log(), self.order or [df.columns[0]]
 
-        def write(part: DataFrame) -> None:
-            if not part.isEmpty():
-                log.append_frame(part, order)
+        def write(part: DataFrame, batch: int) -> None:
+            # the log keeps the number of the stream's last batch: one that a restarted query brings again is not appended twice
+            log.append_frame(part, order, (checkpoint or "stream", batch))
 
-        seen: set[int] = set()
-        writer = df.writeStream.foreachBatch(delivered(write, DeliveryMode.EXACTLY_ONCE, done=seen.__contains__, mark=seen.add))
+        writer = df.writeStream.foreachBatch(write)
         if checkpoint:
             writer = writer.option("checkpointLocation", checkpoint)
         return writer.trigger(availableNow=True).start()

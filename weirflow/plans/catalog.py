@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import extreme_range, word_list
-from ..operators.delivery import deduplicated, record_id
+from ..operators.delivery import DeliveryMode, deduplicated, record_id
 from ..operators.eventlog import EventLog, latest_by_key
 from ..operators.pipeline import Pipeline
-from ..operators.serving import MergeView, merged
+from ..operators.serving import MergeView, ServingView, merged
 from ..operators.windows import WindowType
-from ..sources.readers import FileSource
+from ..sources.readers import CollectionSource, DatagenSource, FileSource, GeneratorSource
 from ..sources.sinks import FileSink
-from ..streaming.state import KeyedProcessFunction
-from ..streaming.watermarks import WatermarkStrategy, late_split
+from ..streaming.state import KeyedProcessFunction, MemoryStateBackend, StateConfig, drive_keyed
+from ..streaming.viscosity import GranularityLevel, Viscosity, ViscosityController
+from ..streaming.watermarks import WatermarkStrategy, WatermarkTracker, late_split
 from ..types import FieldType, Schema
 from .architectures import AdaptiveFlow, KappaFlow, LambdaFlow, per_chunk
+from .flow import Flow
 from .prefix import numbered
 from .scratch import scratch_dir
 
@@ -187,6 +190,51 @@ def window_apply_topn(spark, d):
     return slim.window(WEEKLY).apply(lambda rs: [{"event_id": r["event_id"], "value": r["value"]} for r in sorted(rs, key=lambda r: (-r["value"], r["event_id"]))[:3]], "event_id long, value double")
 
 
+TOP = f"""
+SELECT window_start, window_end, event_id, value FROM (
+  SELECT {WEEK} AS window_start, {WEEK} + INTERVAL 7 DAY AS window_end, event_id, value,
+    row_number() OVER (PARTITION BY {WEEK} ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3"""
+
+
+@query(TOP)
+def window_top(spark, d):
+    """The same without a Python function: each task passes on three rows of a window at most."""
+    return events(spark, d).map(["event_id", "ts", "value"]).window(WEEKLY).top(3, F.desc("value"), F.col("event_id")).select("window_start", "window_end", "event_id", "value")
+
+
+@query(_sessions("10 MINUTE", "", SQL_CENTS))
+def session_global_sum(spark, d):
+    return events(spark, d).window(WindowType.session("10 minutes", "ts")).aggregate(sum_cents())
+
+
+@query(_sessions("6 HOUR", "", "COUNT(DISTINCT user_id)"))
+def session_global_apply(spark, d):
+    """A Python function on each session of all rows."""
+    slim = events(spark, d).map(["ts", "user_id"])
+    return slim.window(WindowType.session("6 hours", "ts")).apply(lambda rs: [len({r["user_id"] for r in rs})], "long")
+
+
+@query("SELECT COUNT(*) AS value FROM events")
+def untimed_window_count(spark, d):
+    return events(spark, d).window(WindowType.tumbling("7 days")).count()
+
+
+@query(f"SELECT {SQL_CENTS} AS value FROM events")
+def untimed_window_sum(spark, d):
+    return events(spark, d).window(WindowType.sliding("7 days", "1 day")).aggregate(sum_cents())
+
+
+@query("SELECT MIN(n_nationkey) AS value FROM nation UNION ALL SELECT MAX(n_nationkey) FROM nation")
+def untimed_window_apply(spark, d):
+    keys = Pipeline(table(spark, d, "nation")).map("n_nationkey")
+    return keys.window(WindowType.session("1 day")).apply(lambda rs: [f(r["value"] for r in rs) for f in (min, max)], "int")
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 7")
+def untimed_window_top(spark, d):
+    return events(spark, d).map(["event_id", "value"]).window(WindowType.global_window()).top(7, F.desc("value"), F.col("event_id"))
+
+
 # rows
 
 
@@ -294,9 +342,16 @@ def keyed_max(spark, d):
 
 @query(_by_user("CAST(SUM(event_id) AS BIGINT)"))
 def keyed_reduce(spark, d):
-    """A Python fold within each key, in order."""
+    """An associative Python fold within each key: in partitions before the shuffle."""
     slim = events(spark, d).map(["user_id", "event_id"])
-    return slim.key_by("user_id").reduce(lambda a, b: a + b, "event_id", "event_id")
+    return slim.key_by("user_id").reduce(lambda a, b: a + b, "event_id", associative=True)
+
+
+@query("SELECT user_id, string_agg(CAST(event_id AS VARCHAR), '>' ORDER BY event_id) AS value FROM events WHERE user_id % 10 = 3 GROUP BY 1")
+def keyed_reduce_ordered(spark, d):
+    """A fold that is told the order: each key in one task."""
+    slim = events(spark, d).filter("user_id % 10 = 3").map({"user_id": "user_id", "event_id": "event_id", "text": "cast(event_id as string)"})
+    return slim.key_by("user_id").reduce(lambda a, b: f"{a}>{b}", "text", "event_id")
 
 
 @query(f"SELECT {SQL_CENTS} AS value FROM events")
@@ -509,7 +564,7 @@ def log_replay_range(spark, d):
 WITH l AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS o FROM events)
 SELECT user_id, event_id FROM (SELECT user_id, MAX(event_id) AS event_id FROM l WHERE o < 600 GROUP BY 1) UNION ALL SELECT user_id, event_id FROM l WHERE o >= 600""")
 def log_compacted(spark, d):
-    log = EventLog(spark, f"{scratch_dir(spark)}/log", segment_size=250)
+    log = EventLog(spark, f"{scratch_dir(spark)}/log")
     log.append_frame(table(spark, d, "events").select("event_id", "user_id"), ["event_id"])
     log.compact(latest_by_key("user_id"), 600)
     return log.frame().select("user_id", "event_id")
@@ -656,3 +711,319 @@ def stream_dedup(spark, d):
 @query("SELECT event_id, value * 2 AS value FROM events WHERE event_type = 'purchase'")
 def stream_map_filter(spark, d):
     return _finished(spark, _stream(spark, d).filter("event_type = 'purchase'").map({"event_id": "event_id", "value": "value * 2"}).df, "append")
+
+
+@query("SELECT user_id, COUNT(*) AS value FROM events GROUP BY 1")
+def stream_without_watermark(spark, d):
+    timed = _stream(spark, d).watermark(WatermarkStrategy.no_watermarks().on("ts"))
+    return _finished(spark, timed.key_by("user_id").count(), "complete")
+
+
+@query(_weekly("MAX(value)"))
+def stream_monotonous_max(spark, d):
+    timed = _stream(spark, d).assign_timestamps("ts", WatermarkStrategy.monotonous(), "at")
+    out = _finished(spark, timed.window(WindowType.tumbling("7 days", "at")).max("value"), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "value")
+
+
+# sources and sinks that the driver holds
+
+
+@query("SELECT range * 2 AS value FROM range(1000)")
+def source_collection(spark, d):
+    return Pipeline(CollectionSource(list(range(1000))).batch(spark)).map("value * 2").df
+
+
+@query("SELECT range * range AS value FROM range(500)")
+def source_generator(spark, d):
+    return GeneratorSource(lambda: (k * k for k in itertools.count()), max_items=500).batch(spark)
+
+
+@query("SELECT range AS id, 'value_' || range AS name, true AS inside FROM range(1000)")
+def source_datagen(spark, d):
+    made = DatagenSource(fields={"value": FieldType.DOUBLE, "name": FieldType.STRING}, max_records=1000).batch(spark)
+    return made.select("id", "name", F.col("value").between(0, 1000).alias("inside"))
+
+
+@query("SELECT n_nationkey * 3 AS value FROM nation")
+def flow_from_source(spark, d):
+    """A flow with a named source, a pipeline and a sink, executed."""
+    path = f"{scratch_dir(spark)}/nation"
+    flow = Flow("nations", spark=spark)
+    flow.sink(Pipeline(table(spark, d, "nation")).select("n_nationkey"), FileSink(path, "parquet"), "copy")
+    flow.execute()
+    again = Flow("again", spark=spark)
+    again.sink(again.from_source(FileSource(path, "parquet")).map("n_nationkey * 3"), name="tripled")
+    return spark.createDataFrame([(x,) for x in again.execute()["tripled"]], "value int")
+
+
+def _nations(spark: SparkSession, d: str) -> Pipeline:
+    return Pipeline(table(spark, d, "nation")).select("n_nationkey", "n_name")
+
+
+def _rows_of(spark: SparkSession, records: list) -> DataFrame:
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in records], "n_nationkey int, n_name string")
+
+
+NATIONS = "SELECT n_nationkey, n_name FROM nation"
+
+
+@query(NATIONS)
+def sink_collect(spark, d):
+    return _rows_of(spark, _nations(spark, d).collect())
+
+
+@query(NATIONS)
+def sink_callback(spark, d):
+    got: list = []
+    _nations(spark, d).for_each(got.append)
+    return _rows_of(spark, got)
+
+
+@query(NATIONS)
+def sink_insert_into(spark, d):
+    path = f"{scratch_dir(spark)}/inserted"
+    _nations(spark, d).insert_into(FileSink(path, "orc"))
+    return FileSource(path, "orc").batch(spark)
+
+
+@query("SELECT event_id, ts + INTERVAL 1 HOUR AS event_time FROM events")
+def assigned_timestamps(spark, d):
+    return events(spark, d).assign_timestamps("ts + interval 1 hour").select("event_id", "event_time").df
+
+
+@query("""
+SELECT n_nationkey, t, COALESCE(t < MAX(t) OVER (ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 20, false) AS late
+FROM (SELECT n_nationkey, CAST(n_nationkey * 7919 % 101 AS DOUBLE) AS t FROM nation)""")
+def watermark_tracker(spark, d):
+    """Single event times against the watermark that those before them left."""
+    tracker, out = WatermarkTracker(WatermarkStrategy.bounded_out_of_orderness(20), strict=True), []
+    for r in table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect():
+        t = float(r[0] * 7919 % 101)
+        out.append((r[0], t, tracker.is_late(t)))
+        tracker.on_event(t)
+    return spark.createDataFrame(out, "n_nationkey int, t double, late boolean")
+
+
+def _fails_on_sevens(r: dict) -> dict:
+    if r["user_id"] % 7 == 0:
+        raise ValueError("no sevens")
+    return {"event_id": r["event_id"]}
+
+
+@query("SELECT event_id FROM events WHERE user_id % 7 <> 0")
+def at_most_once_map(spark, d):
+    """Records that fail are given up."""
+    slim = events(spark, d).map(["event_id", "user_id"]).with_delivery(DeliveryMode.AT_MOST_ONCE)
+    return slim.map(_fails_on_sevens, "event_id long").df
+
+
+class _FailsAtFirst:
+    def __init__(self):
+        self.tried: set = set()
+
+    def __call__(self, r: dict) -> dict:
+        if r["event_id"] % 50 == 0 and r["event_id"] not in self.tried:
+            self.tried.add(r["event_id"])
+            raise OSError("try again")
+        return {"event_id": r["event_id"]}
+
+
+@query("SELECT event_id FROM events")
+def at_least_once_map(spark, d):
+    """Records that fail are tried again."""
+    slim = events(spark, d).map(["event_id"]).map({"event_id": "event_id", "extra": "1"}).with_delivery(DeliveryMode.AT_LEAST_ONCE)
+    return slim.map(_FailsAtFirst(), "event_id long").df
+
+
+@query("SELECT event_type, COUNT(*) AS n, CAST(MAX(event_id) AS BIGINT) AS last FROM events GROUP BY 1")
+def process_groups_callable(spark, d):
+    slim = events(spark, d).map(["event_type", "event_id"])
+    return slim.key_by("event_type").process_groups(lambda key, rs: [(*key, len(rs), max(r["event_id"] for r in rs))], "event_type string, n long, last long")
+
+
+class _Alarm(KeyedProcessFunction):
+    def process_element(self, value, context):
+        context.timer_service.register(value["t"] + 10.0)
+
+    def on_timer(self, timestamp, context):
+        return (context.current_key, timestamp)
+
+
+@query("SELECT k, t + 10 AS fired FROM (SELECT n_regionkey AS k, CAST(n_nationkey * 100 AS DOUBLE) AS t, MAX(n_nationkey * 100) OVER () AS top FROM nation) WHERE t + 10 <= top")
+def state_timers(spark, d):
+    """Timers of event time fire when the largest time of all keys has passed them."""
+    rows = [{"k": r[0], "t": r[1] * 100.0} for r in table(spark, d, "nation").select("n_regionkey", "n_nationkey").orderBy("n_nationkey").collect()]
+    return spark.createDataFrame(drive_keyed(rows, lambda r: r["k"], _Alarm(), lambda r: r["t"]), "k int, fired double")
+
+
+class _Expiring(KeyedProcessFunction):
+    config = StateConfig(ttl=86_400)
+
+    def process_element(self, value, context):
+        n = context.value_state("n", 0, self.config)
+        n.update(n.value() + 1)
+
+    def open(self, context):
+        context.value_state("n", 0, self.config)
+
+    def on_batch_end(self, context):
+        return (context.current_key, context.value_state("n", 0, self.config).value())
+
+
+@query(_by_user("COUNT(*)"))
+def state_with_ttl(spark, d):
+    """State that expires a day after it was written, on the batch that writes it."""
+    slim = events(spark, d).map(["user_id", "event_id"]).key_by("user_id")
+    return slim.process_keyed(_Expiring, "user_id long, value long", "update", "processingTime")
+
+
+@query("SELECT n_regionkey, COUNT(*) AS n, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1")
+def state_backends(spark, d):
+    """State on the driver: kept by a backend, restored from its checkpoint half way."""
+    backend = MemoryStateBackend()
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()
+    for k, r in enumerate(rows):
+        backend.set("value", r["n_regionkey"], "n", backend.get("value", r["n_regionkey"], "n", 0) + 1)
+        backend.set("list", r["n_regionkey"], "names", [*backend.get("list", r["n_regionkey"], "names", []), r["n_name"]])
+        if k == len(rows) // 2:
+            snapshot, backend = backend.checkpoint(), MemoryStateBackend()
+            backend.restore(snapshot)
+    found = [(r, backend.get("value", r, "n"), ",".join(backend.get("list", r, "names"))) for r in sorted({r["n_regionkey"] for r in rows})]
+    return spark.createDataFrame(found, "n_regionkey int, n long, names string")
+
+
+# more of the log, views and architectures
+
+
+def _log(spark: SparkSession, d: str, **how) -> EventLog:
+    log = EventLog(spark, f"{scratch_dir(spark)}/log", **how)
+    log.append_frame(table(spark, d, "events").select("event_id"), ["event_id"])
+    return log
+
+
+NUMBERED = 'SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS "offset" FROM events'
+
+
+@query('SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS "offset" FROM nation')
+def log_append_batch(spark, d):
+    """Records of the driver, in several appends."""
+    log = EventLog(spark, f"{scratch_dir(spark)}/log", segment_size=10)
+    rows = [r.asDict() for r in _nations(spark, d).df.orderBy("n_nationkey").collect()]
+    log.append(rows[0])
+    log.append_batch(rows[1:7])
+    log.append_batch(rows[7:])
+    return log.frame().select("n_nationkey", "n_name", "offset")
+
+
+@query(f'SELECT * FROM ({NUMBERED}) WHERE "offset" >= 400')
+def log_truncated(spark, d):
+    log = _log(spark, d, segment_size=200)
+    log.truncate(599)
+    return log.frame().select("event_id", "offset")
+
+
+@query(f'SELECT * FROM ({NUMBERED}) WHERE "offset" >= 400 AND "offset" < 600')
+def log_segment(spark, d):
+    return _log(spark, d, segment_size=200).read_segment(2).select("event_id", "offset")
+
+
+@query("SELECT COUNT(*) AS next, (COUNT(*) + 199) // 200 AS segments FROM events")
+def log_counts(spark, d):
+    log = _log(spark, d, segment_size=200)
+    return spark.createDataFrame([(log.offset, log.segment_count)], "next long, segments long")
+
+
+@query(NUMBERED)
+def log_batches_once(spark, d):
+    """A batch of a stream that comes again after a restart is not appended again."""
+    path = f"{scratch_dir(spark)}/log"
+    rows = table(spark, d, "events").select("event_id")
+    half = rows.agg(F.median("event_id")).first()[0]
+    for part, batch in ((rows.where(F.col("event_id") <= half), 0), (rows.where(F.col("event_id") > half), 1), (rows.where(F.col("event_id") > half), 1)):
+        EventLog(spark, path).append_frame(part, ["event_id"], ("stream", batch))
+    return EventLog(spark, path).frame().select("event_id", "offset")
+
+
+def _view(spark: SparkSession, d: str) -> ServingView:
+    view = ServingView(["user_id"], MergeView.combine_sum)
+    batch, speed = _layers(spark, d)
+    view.update_batch(batch)
+    view.update_speed(speed)
+    return view
+
+
+@query(f"WITH {LAYERS} SELECT user_id, CAST(COALESCE(bv, 0) + COALESCE(sv, 0) AS BIGINT) AS value FROM m")
+def serving_query_all(spark, d):
+    return spark.createDataFrame(list(_view(spark, d).query_all().items()), "user_id long, value long")
+
+
+@query(f"WITH {LAYERS} SELECT user_id, CAST(COALESCE(bv, 0) + COALESCE(sv, 0) AS BIGINT) AS value FROM m WHERE user_id IN (1, 2, 3)")
+def serving_lookup(spark, d):
+    """Single keys, from the copy that the driver holds."""
+    view = _view(spark, d)
+    view.hold()
+    return spark.createDataFrame([(k, v) for k in (1, 2, 3) if (v := view.query(k)) is not None], "user_id long, value long")
+
+
+@query("SELECT user_id, CAST(SUM(event_id) AS BIGINT) AS value FROM events GROUP BY 1")
+def lambda_batch_only(spark, d):
+    flow = LambdaFlow(lambda df: Pipeline(df).key_by("user_id").sum("event_id"), None, ["user_id"])
+    return flow.execute_batch_only(table(spark, d, "events")).frame().select("user_id", "value")
+
+
+@query("SELECT n_regionkey, COUNT(*) AS value FROM nation GROUP BY 1")
+def kappa_append_to_log(spark, d):
+    flow = KappaFlow(spark, lambda df: Pipeline(df).key_by("n_regionkey").count(), f"{scratch_dir(spark)}/log")
+    for r in table(spark, d, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect():
+        flow.append_to_log(r.asDict())
+    return flow.replay_to_stream()
+
+
+@query(NUMBERED)
+def kappa_stream_logged(spark, d):
+    """A stream's micro-batches go through the log."""
+    base = scratch_dir(spark)
+    flow = KappaFlow(spark, lambda df: df, f"{base}/log", order=["event_id"])
+    flow.execute(_stream(spark, d).df.select("event_id"), f"{base}/cp").awaitTermination()
+    return flow.replay().select("event_id", "offset")
+
+
+def _by_type(df: DataFrame) -> DataFrame:
+    return Pipeline(df).key_by("event_type").count()
+
+
+@query("SELECT 'adaptive' AS how, event_type, COUNT(*) AS value FROM events GROUP BY 2 UNION ALL SELECT 'kappa', event_type, COUNT(*) FROM events GROUP BY 2 UNION ALL SELECT 'lambda', event_type, COUNT(*) FROM events GROUP BY 2")
+def flow_architectures(spark, d):
+    """One pipeline function in three architectures."""
+    rows, flow = table(spark, d, "events").select("event_id", "event_type"), Flow("three", spark=spark)
+    by_lambda = flow.as_lambda(_by_type, ["event_type"], MergeView.combine_sum).execute(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1")).frame().select("event_type", "value")
+    by_kappa = flow.as_kappa(_by_type, f"{scratch_dir(spark)}/log", ["event_id"]).execute(rows)
+    by_adaptive = flow.as_adaptive(_by_type).execute(rows)
+    parts = [x.select(F.lit(how).alias("how"), "event_type", F.col("value").cast("long").alias("value")) for how, x in (("lambda", by_lambda), ("kappa", by_kappa), ("adaptive", by_adaptive))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT event_id FROM events WHERE value > 50")
+def adaptive_stream(spark, d):
+    """A stream run by the adaptive mode: at its thickest level all there is comes as one batch."""
+    base = scratch_dir(spark)
+    flow = AdaptiveFlow(lambda df: df.where("value > 50").select("event_id"), viscosity=Viscosity.FROZEN)
+    flow.run_stream(_stream(spark, d).df, lambda df, n: df.write.mode("overwrite").parquet(f"{base}/out/{n}"), f"{base}/cp", rounds=60)
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out")
+
+
+@query("SELECT * FROM (VALUES ('volatile', 'micro', 1, 0.01, 0.0, true, false), ('fluid', 'fine', 10, 0.1, 0.25, true, false), ('honeyed', 'medium', 100, 0.5, 0.5, false, false), ('sluggish', 'coarse', 1000, 2.0, 0.75, false, true), ('frozen', 'macro', 100000, 10.0, 1.0, false, true)) AS t(level, granularity, batch_size, batch_timeout, eta, flowing, solid)")
+def adaptive_levels(spark, d):
+    rows = [(v.value, GranularityLevel.of(v).value, v.batch_size, v.batch_timeout, v.eta, v.is_flowing, v.is_solid) for v in Viscosity]
+    return spark.createDataFrame(rows, "level string, granularity string, batch_size int, batch_timeout double, eta double, flowing boolean, solid boolean")
+
+
+@query("SELECT * FROM (VALUES (0, 'fluid'), (1, 'volatile'), (2, 'volatile'), (3, 'fluid'), (4, 'honeyed'), (5, 'sluggish'), (6, 'frozen')) AS t(step, level)")
+def adaptive_controller(spark, d):
+    """Three looks at an idle stream, four at a flooded one."""
+    controller, out = ViscosityController(adjust_interval=0), []
+    for step in range(7):
+        controller.update_metrics(**(dict(arrival_rate=2, queue_depth=1, backlog_size=1) if step < 3 else dict(arrival_rate=5000, queue_depth=9000, backlog_size=90000)))
+        out.append((step, controller.adjust().value))
+    return spark.createDataFrame(out, "step int, level string")

@@ -118,13 +118,14 @@ def from_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 @dataclass
 class KafkaSource(Source):
-    """Values of a topic as text, with key, topic, partition, offset and timestamp. Needs Spark's Kafka package."""
+    """Values of a topic as text, with key, topic, partition, offset and timestamp. Needs Spark's Kafka package, or another of its shape named by ``fmt``."""
 
     topic: str
     bootstrap_servers: str = "localhost:9092"
     group_id: str | None = None
     schema: Schema | T.StructType | str | None = None
     start_from: str = "latest"
+    fmt: str = "kafka"
     kind = SourceKind.KAFKA
 
     def options(self, streaming: bool) -> dict[str, str]:
@@ -139,10 +140,10 @@ class KafkaSource(Source):
         return out.select(F.from_json("value", kind).alias("r"), "key", "offset", "timestamp").select("r.*", "key", "offset", "timestamp")
 
     def batch(self, spark: SparkSession) -> DataFrame:
-        return self._shape(spark.read.format("kafka").options(**self.options(False)).load())
+        return self._shape(spark.read.format(self.fmt).options(**self.options(False)).load())
 
     def stream(self, spark: SparkSession) -> DataFrame:
-        return self._shape(spark.readStream.format("kafka").options(**self.options(True)).load())
+        return self._shape(spark.readStream.format(self.fmt).options(**self.options(True)).load())
 
 
 @dataclass

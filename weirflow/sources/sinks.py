@@ -110,11 +110,12 @@ class FileSink(Sink):
 
 @dataclass
 class KafkaSink(Sink):
-    """Rows as JSON values under a key column. Needs Spark's Kafka package."""
+    """Rows as JSON values under a key column. Needs Spark's Kafka package, or another of its shape named by ``fmt``."""
 
     topic: str
     bootstrap_servers: str = "localhost:9092"
     key: str | None = None
+    fmt: str = "kafka"
     kind = SinkKind.KAFKA
 
     def shape(self, df: DataFrame) -> DataFrame:
@@ -122,10 +123,10 @@ class KafkaSink(Sink):
         return df.select((F.col(self.key).cast("string") if self.key else F.lit(None).cast("string")).alias("key"), value.alias("value"))
 
     def _to(self, writer: Any) -> Any:
-        return writer.format("kafka").option("kafka.bootstrap.servers", self.bootstrap_servers).option("topic", self.topic)
+        return writer.format(self.fmt).option("kafka.bootstrap.servers", self.bootstrap_servers).option("topic", self.topic)
 
     def write(self, df: DataFrame) -> None:
-        self._to(self.shape(df).write).save()
+        self._to(self.shape(df).write).mode("append").save()
 
     def start(self, df: DataFrame, mode: str = "append", checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
         return _started(self._to(self.shape(df).writeStream.outputMode(mode)), checkpoint, trigger)

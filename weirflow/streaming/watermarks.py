@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..errors import WatermarkError
+from ..plans.files import Folder, StateFile
 from ..plans.prefix import running_max
 
 
@@ -89,18 +88,20 @@ class LateRouter:
 
     A micro-batch's rows are late when they lie below the watermark that the
     batches before it left: their largest time less ``delay`` seconds. ``note``
-    names a file that keeps that time over restarts.
+    names a folder, on a file system that a restarted driver reaches, too, which
+    keeps that time over restarts.
     """
 
     def __init__(self, time_field: str, delay: float, on_time: Callable[[DataFrame, int], None], late: Callable[[DataFrame, int], None] | None = None, note: str | None = None):
         self.time_field, self.delay, self.on_time, self.late, self.note = time_field, delay, on_time, late, note
         self.largest: float | None = None
         self.records_late = 0
-        if note and os.path.exists(note):
-            with open(note) as f:
-                self.largest = json.load(f)["largest"]
+        self._state: StateFile | None = None
 
     def __call__(self, part: DataFrame, batch: int) -> None:
+        if self.note and self._state is None:
+            self._state = StateFile(Folder(part.sparkSession, self.note))
+            self.largest = self._state.load().get("largest", self.largest)
         time = F.col(self.time_field).cast("timestamp").cast("double")
         part.persist()
         try:
@@ -114,10 +115,8 @@ class LateRouter:
             part.unpersist()
         if top is not None and (self.largest is None or top > self.largest):
             self.largest = top
-            if self.note:
-                with open(f"{self.note}.new", "w") as f:
-                    json.dump({"largest": top}, f)
-                os.replace(f"{self.note}.new", self.note)
+            if self._state is not None:
+                self._state.save({"largest": top})
 
     def _watermark(self) -> float:
         return float("-inf") if self.largest is None else self.largest - self.delay
