@@ -280,7 +280,7 @@ class WindowedPipeline:
 
         if not self.spec.timed:
             every = df.withColumn("__all", F.lit(0))
-            return per_group(every, ["__all"], lambda _, records: [spread(x) for x in f([{k: v for k, v in r.items() if k != "__all"} for r in records])], out)
+            return per_group(every, ["__all"], lambda _, records: list(f([{k: v for k, v in r.items() if k != "__all"} for r in records])), out)
         if self.spec.kind is WindowKind.SESSION:
             windowed = self._sessions()
         else:
