@@ -377,7 +377,10 @@ def train_weights(train: DataFrame, share: Callable[[int], DataFrame], tasks: in
             words = held_words.value
             index = HashIndex(words.keys)
             before, forks_before = held.value
-            own, own_forks = before.copy(), forks_before.copy()
+            # new arrays: np.add.at is several times slower on the type objects of unpickled ones
+            own, own_forks = np.zeros(shape, np.float32), np.zeros(cells, np.float32)
+            own += before
+            own_forks += forks_before
             squares, fork_squares, seen = np.ones(shape, np.float32), np.ones(cells, np.float32), 0
             for batch in batches:
                 for _, _, t, at in tokens(batch.column(0)):
@@ -487,7 +490,7 @@ def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_texts(
-    docs: DataFrame, held_out, table_size: int = 1 << 18, grouped: int = 1 << 15, anchors: int = 48, groups: int = 8, n_classes: int = 16, depth: int = 9, max_row_bits: int = 13, max_fork_bits: int = 20,
+    docs: DataFrame, held_out, table_size: int = 1 << 18, grouped: int = 1 << 15, anchors: int = 48, groups: int = 8, n_classes: int = 16, depth: int = 9, max_row_bits: int = 14, max_fork_bits: int = 21,
     rounds: int = 2, rate: float = 0.15, fork_rate: float = 0.2, step: int = 8192, task_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Base and model log10 probabilities of each whole text.
