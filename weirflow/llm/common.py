@@ -42,10 +42,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/weirflow/{label}-{uuid.uuid4().hex}"
 
 
+#: Options of intermediate tables: no marker file, as only a write that has ended is read.
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**UNMARKED).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import delete_path, kept, new_path, partitions_for
+from .common import UNMARKED, delete_path, kept, new_path, partitions_for
 
 #: `[\x20\x09-\x0D]`
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -95,7 +95,7 @@ class LineRuns:
 
     def _written(self, df: DataFrame) -> Run:
         run = Run(self.spark, f"line_run_{uuid.uuid4().hex}", new_path(self.spark, "run"))
-        df.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key").option("path", run.path).saveAsTable(run.name)
+        df.write.format("parquet").options(**UNMARKED).bucketBy(self.buckets, "key").sortBy("key").option("path", run.path).saveAsTable(run.name)
         return run
 
     def ingest(self, occurrences: DataFrame) -> Run:

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import new_path, partitions_for, stored
+from .common import UNMARKED, new_path, partitions_for, stored
 
 QUERIES_AT_ONCE = 256
 
@@ -235,7 +235,7 @@ def found_in_blocks(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec
     n_blocks, parts, path = max(1, -(-n // block)), partitions_for(spark), new_path(spark, "approximations")
     dealt = ints.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
     dealt = dealt.repartition(min(parts, n_blocks), "block").sortWithinPartitions("block", "dim").select("block", "dim", "id", "v")
-    dealt.mapInArrow(_write_blocks(2 * block, bits), _FILE).write.parquet(path)
+    dealt.mapInArrow(_write_blocks(2 * block, bits), _FILE).write.options(**UNMARKED).parquet(path)
     schema = T.StructType.fromDDL(_FILE)
     file = spark.read.schema(schema).parquet(path)
     n_chunks = -(-m // chunk)
