@@ -84,3 +84,10 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
+
+
+def with_text(df: DataFrame, carried: list[str], text_col: str) -> tuple[DataFrame, int]:
+    """The columns ``carried``, and the text as a string, and which column that is: one of theirs where it is one already, so that no text is sent twice."""
+    if text_col in carried and df.schema[text_col].dataType.typeName() == "string":
+        return df.select(*carried), carried.index(text_col)
+    return df.select(*carried, F.col(text_col).cast("string").alias("__text")), len(carried)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import with_text
 from .textvec import LOWER, HashIndex, slices, utf8
 
 _PLAIN_LETTER = re.compile("[A-Za-z]")
@@ -239,14 +240,14 @@ def identify_languages(
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     carried = [c for c in (docs.columns if keep is None else keep) if c not in (lang_out, score_out)]
-    base = docs.select(*carried, F.col(text_col).cast("string").alias("__text"))
-    schema = base.limit(0).drop("__text").schema.add(lang_out, "string").add(score_out, "double")
+    base, where = with_text(docs, carried, text_col)
+    schema = docs.select(*carried).schema.add(lang_out, "string").add(score_out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         names = np.array([*m.languages, UNDETERMINED], object)
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column(where)
             letters = np.array([has_letter(t) for t in text.to_pylist()], bool)
             if m.languages and batch.num_rows:
                 bits = m.code_lengths(text)
@@ -262,7 +263,7 @@ def identify_languages(
             else:
                 best, score, letters = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
             best = np.where(letters, best, len(m.languages))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0))], names=[*batch.schema.names[:-1], lang_out, score_out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0))], names=[*carried, lang_out, score_out])
 
     return base.mapInArrow(run, schema)
 

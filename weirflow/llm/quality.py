@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_rows
+from .common import text_rows, with_text
 from .textvec import ngram_hashes, slices, utf8, word_hashes
 
 _REPEAT = np.array([0x1111, 0x2222], np.uint64)
@@ -188,14 +188,16 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     carried = [c for c in (docs.columns if keep is None else keep) if c != score_out]
-    base = docs.select(*carried, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
-    schema = base.limit(0).drop("__text").schema.add(score_out, "double")
+    base, at = with_text(docs, carried, text_col)
+    schema = docs.select(*carried).schema.add(score_out, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for batch in batches:
-            margins = np.array([m.margin(ids) for ids in indicators(batch.column(batch.num_columns - 1), m.bits)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(m.probability(margins), pa.float64())], names=[*batch.schema.names[:-1], score_out])
+        m, n = held.value, len(carried)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2000):
+                batch = whole.slice(i, 2000)
+                margins = np.array([m.margin(ids) for ids in indicators(batch.column(at), m.bits)])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(m.probability(margins), pa.float64())], names=[*carried, score_out])
 
     return base.mapInArrow(run, schema)
 
