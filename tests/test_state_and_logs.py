@@ -167,6 +167,11 @@ def test_log_lookups_need_no_job(spark, tmp_path):
         log.append_batch([{"i": k, "tags": {"a": "b"}, "many": [1, 2]}])
     assert log.offset == 6 and (time.perf_counter() - began) < 10
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("quiet")
+    with pytest.raises(PipelineError):
+        log.append({"i": "text"})
+    with pytest.raises(PipelineError):
+        log.append_frame(spark.range(2).selectExpr("cast(id as string) as i"), ["i"])
+    assert log.offset == 6
     spark.sparkContext.setJobGroup("loud", "jobs")
     assert [r["tags"] for r in log.read(1).collect()] == [{"a": "b"}] * 5
 

@@ -80,15 +80,22 @@ class EventLog:
         if not records:
             return []
         rows = [r if isinstance(r, dict) else {"value": r} for r in records]
-        schema = CollectionSource(rows).batch(self.spark).schema
         state = self._state()
         start, size = state["next"], self.segment_size
-        columns = {f.name: [r.get(f.name) for r in rows] for f in schema}
-        for f in schema:
-            if isinstance(f.dataType, T.MapType):
-                columns[f.name] = [None if v is None else list(v.items()) for v in columns[f.name]]
-        columns["offset"] = range(start, start + len(rows))
-        table = pa.Table.from_pydict(columns, to_arrow_schema(T.StructType([*schema.fields, T.StructField("offset", T.LongType())])))
+        table = None
+        if state["schema"]:
+            known = {f.name: f for f in T.StructType.fromJson(state["schema"])}
+            names = dict.fromkeys(n for r in rows for n in r)
+            if known.keys() >= names.keys():
+                schema = T.StructType([known[n] for n in names])
+                try:
+                    table = self._table(rows, schema, start)
+                except (pa.ArrowInvalid, pa.ArrowTypeError):  # of another type than before
+                    pass
+        if table is None:
+            schema = CollectionSource(rows).batch(self.spark).schema
+            self._check(state, schema)
+            table = self._table(rows, schema, start)
         staged = f"_staged-{uuid.uuid4().hex}"
         for segment in range(start // size, (start + len(rows) - 1) // size + 1):
             low, high = max(start, segment * size), min(start + len(rows), (segment + 1) * size)
@@ -98,6 +105,22 @@ class EventLog:
         self._commit(state, staged, len(rows), schema)
         return list(range(start, start + len(rows)))
 
+    @staticmethod
+    def _check(state: dict, schema: T.StructType) -> None:
+        known = {f.name: f.dataType for f in T.StructType.fromJson(state["schema"])} if state["schema"] else {}
+        for f in schema:
+            if f.name in known and known[f.name] != f.dataType and not isinstance(f.dataType, T.NullType):
+                raise PipelineError(f"column {f.name!r} of the log is {known[f.name].simpleString()}, not {f.dataType.simpleString()}")
+
+    @staticmethod
+    def _table(rows: list[dict], schema: T.StructType, start: int) -> pa.Table:
+        columns = {f.name: [r.get(f.name) for r in rows] for f in schema}
+        for f in schema:
+            if isinstance(f.dataType, T.MapType):
+                columns[f.name] = [None if v is None else list(v.items()) for v in columns[f.name]]
+        columns["offset"] = range(start, start + len(rows))
+        return pa.Table.from_pydict(columns, to_arrow_schema(T.StructType([*schema.fields, T.StructField("offset", T.LongType())])))
+
     def append_frame(self, df: DataFrame, order: list[str], batch: tuple[str, int] | None = None) -> tuple[int, int]:
         """Append a frame in an order, numbered without one task holding it; returns its range of offsets.
 
@@ -108,6 +131,7 @@ class EventLog:
         start = state["next"]
         if batch and state["batches"].get(batch[0], -1) >= batch[1]:
             return start, start
+        self._check(state, df.schema)
         n = df.count()
         staged = f"_staged-{uuid.uuid4().hex}"
         if n:
