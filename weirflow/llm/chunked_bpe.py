@@ -59,7 +59,7 @@ class _Store:
     def _clear(self) -> None:
         self.numbers = _Numbers()
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.length, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
+        self.start, self.length, self.met = (np.zeros(1 << 16, np.int32) for _ in range(3))
 
     def _renew(self) -> None:
         """Forget stretches that one batch alone has held, and as many others as leave at least half of the room."""
@@ -110,10 +110,16 @@ class _Store:
     def _gather(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the numbered stretches, and where those of each text begin; text i ends before stretch ``ends[i]``."""
         lengths = self.length[codes]
-        upto = np.cumsum(lengths)
+        upto = np.cumsum(lengths, dtype=np.int64)
         total = int(upto[-1]) if len(upto) else 0
-        ids = self.pool[np.repeat(self.start[codes] - (upto - lengths), lengths) + np.arange(total)]
-        return ids, np.concatenate([[0], upto])[np.concatenate([[0], ends]).astype(np.int64)]
+        kind = np.int32 if total < 1 << 30 else np.int64  # half the memory, but for enormous texts
+        cuts = np.concatenate([[0], upto])[np.concatenate([[0], ends]).astype(np.int64)]
+        first = self.start[codes].astype(kind)
+        first -= upto.astype(kind)
+        first += lengths
+        places = np.repeat(first, lengths)
+        places += np.arange(total, dtype=kind)
+        return self.pool[places], cuts
 
 
 class ChunkedEncoder(_Store):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -91,3 +93,34 @@ def with_text(df: DataFrame, carried: list[str], text_col: str) -> tuple[DataFra
     if text_col in carried and df.schema[text_col].dataType.typeName() == "string":
         return df.select(*carried), carried.index(text_col)
     return df.select(*carried, F.col(text_col).cast("string").alias("__text")), len(carried)
+
+
+#: Rows and bytes of the batches in which texts go to Python: what JVM and worker hold of them at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def _trim() -> None:
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def frugal(spark: SparkSession | None, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, for ``mapInArrow``, in batches of bounded size, and what it freed given back to the system at a task's end.
+
+    The batch size of ``spark``, if given, is lowered where it is above ``BATCH``;
+    workers live on between tasks and would keep their heaps at the largest size.
+    """
+    for name, most in BATCH.items() if spark is not None else ():
+        now = int(spark.conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+    def limited(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return limited

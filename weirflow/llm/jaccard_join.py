@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import kept, partitions_for, stored, text_rows
+from .common import frugal, kept, partitions_for, stored, text_rows
 from .components import apart, connected_components
 from .textvec import mix, shingle_sets
 
@@ -375,10 +375,10 @@ def ngram_jaccard_join(
     ids = rows.where("doc_id is not null")
     parts = partitions_for(spark)
     met = stored(
-        ids.mapInArrow(_sign(n_words, percent, 4 * parts), _ddl(_SIGNED))
+        ids.mapInArrow(frugal(spark, _sign(n_words, percent, 4 * parts)), _ddl(_SIGNED))
         .repartition(parts, "part")
         .sortWithinPartitions("part")
-        .mapInArrow(_meet, _ddl(_MET)),
+        .mapInArrow(frugal(spark, _meet), _ddl(_MET)),
         "partenum",
     )
     summary = met.where("doc_id is not null").select("doc_id", "n", "fp", "fp2")
@@ -406,7 +406,7 @@ def ngram_jaccard_join(
         .withColumn("coded", F.col("alike") & (F.col("blocks") > 1))
         .select(F.col("rep").alias("doc_id"), "comp", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "copies", "coded", (F.col("rep") == F.col("first")).alias("pivot"))
     )
-    sets = kept(ids.join(todo.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "comp", "blocks", "block", "copies", "coded", "pivot").mapInArrow(_sets(n_words), _GROUPED))
+    sets = kept(ids.join(todo.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "comp", "blocks", "block", "copies", "coded", "pivot").mapInArrow(frugal(spark, _sets(n_words)), _GROUPED))
     # large groups of sets of like sizes travel as differences from their pivot
     pivots = sets.where("pivot and coded").groupBy("comp").agg(F.min("elements").alias("other"))
     large = sets.where("coded").join(apart(pivots, "comp"), "comp").select(*(c.split()[0] for c in _GROUPED.split(", ")), "other").mapInArrow(_differences, _GROUPED)
@@ -417,7 +417,7 @@ def ngram_jaccard_join(
         .repartition(parts, "comp", "i", "j")
         .sortWithinPartitions("comp", "i", "j")
     )
-    solved = kept(paired.mapInArrow(_resolve(percent), "u long, v long, links long"))
+    solved = kept(paired.mapInArrow(frugal(spark, _resolve(percent)), "u long, v long, links long"))
     final = connected_components(solved.select("u", "v"))
     degree = solved.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
     by_class = (

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .chunked_bpe import WordEncoder
-from .common import partitions_for, stored, text_rows
+from .common import frugal, partitions_for, stored, text_rows
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -43,8 +43,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, wor
         encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(Tokenizer.from_file(path), word_end))
         end, size = int(end_id).to_bytes(4, "little"), 4 * capacity
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
+            for at in range(0, whole.num_rows, 2500):
+                batch = whole.slice(at, 2500)
                 doc, piece, start, length, crc = [], [], [], [], []
                 got, cuts = encoder.encode_batch(batch.column(1))
                 raw = got.astype("<u4").tobytes()
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, wor
                     [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"]
                 )
 
-    return text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return text_rows(docs, id_col, text_col).mapInArrow(frugal(None, run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Groups:
@@ -259,7 +259,7 @@ def _pack_level(items: DataFrame, capacity: int, blocks: int, islands: int, epoc
     state = state.select("block", F.col("island").cast("int"), "sizes", F.lit(None).cast("binary").alias("elite"), F.lit(None).cast("binary").alias("migrant"))
     finished: list[DataFrame] = []
     for epoch in range(epochs):
-        elites = stored(state.repartition(min(parts, blocks * islands), "block", "island").mapInArrow(_epoch(capacity, epoch, population, generations), "block long, island int, elite binary, over int"), "elites")
+        elites = stored(state.repartition(min(parts, blocks * islands), "block", "island").mapInArrow(frugal(None, _epoch(capacity, epoch, population, generations)), "block long, island int, elite binary, over int"), "elites")
         settled = elites.groupBy("block").agg(F.min("over").alias("least")).withColumn("open", F.col("least") > 0)
         now = elites.join(settled.select("block", "open"), "block")
         last = epoch + 1 == epochs or settled.where("open").isEmpty()

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import with_text
+from .common import frugal, with_text
 from .textvec import LOWER, HashIndex, slices, utf8
 
 _PLAIN_LETTER = re.compile("[A-Za-z]")
@@ -182,7 +182,7 @@ def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_c
     sample = _sample(labelled, max_rows, id_col, text_col, lang_col)
     if sample is None:
         return build({}, order)
-    got = sample.repartition(SPREAD).mapInArrow(_count(order), "lang string, g int, keys binary, counts binary").toArrow()
+    got = sample.repartition(SPREAD).mapInArrow(frugal(labelled.sparkSession, _count(order)), "lang string, g int, keys binary, counts binary").toArrow()
     parts: dict[tuple[str, int], list] = {}
     for lang, g, keys, counts in zip(*(got.column(c).to_pylist() for c in ("lang", "g", "keys", "counts"))):
         parts.setdefault((lang, g), []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
@@ -265,7 +265,7 @@ def identify_languages(
             best = np.where(letters, best, len(m.languages))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0))], names=[*carried, lang_out, score_out])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(frugal(docs.sparkSession, run), schema)
 
 
 def language_predictions(docs: DataFrame, labelled: DataFrame, **fit) -> DataFrame:

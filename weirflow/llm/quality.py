@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import text_rows, with_text
+from .common import frugal, text_rows, with_text
 from .textvec import ngram_hashes, slices, utf8, word_hashes
 
 _REPEAT = np.array([0x1111, 0x2222], np.uint64)
@@ -173,7 +173,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: in
     sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(  # at most max_rows ids
         F.xxhash64("__id").alias("h"), F.col("__id").cast("string").alias("id"), "good", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    features = sample.mapInArrow(_extract(bits), "h long, id string, good boolean, ids binary")
+    features = sample.mapInArrow(frugal(docs.sparkSession, _extract(bits)), "h long, id string, good boolean, ids binary")
     got = features.orderBy("h", "id", "good", "ids").limit(max_rows).select("good", "ids").toArrow()
     found = sorted(zip(got.column("good").to_pylist(), got.column("ids").to_pylist()))
     return fit_rows([np.frombuffer(r, np.int32) for _, r in found], np.array([g for g, _ in found], bool), bits)
@@ -199,7 +199,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
                 margins = np.array([m.margin(ids) for ids in indicators(batch.column(at), m.bits)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(m.probability(margins), pa.float64())], names=[*carried, score_out])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(frugal(docs.sparkSession, run), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
