@@ -52,8 +52,8 @@ class _Numbers(dict):
 class _Store:
     """Ids of numbered stretches in one array."""
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
+    def __init__(self, tokenizer: Tokenizer, held: int = HELD):
+        self.tokenizer, self.held = tokenizer, held
         self._clear()
 
     def _clear(self) -> None:
@@ -66,7 +66,7 @@ class _Store:
         known = np.fromiter(self.numbers.values(), np.int64, len(self.numbers))
         met, length = self.met[known], self.length[known]
         order = np.argsort(-met, kind="stable")
-        order = order[(np.arange(len(order)) < HELD // 2) & (np.cumsum(length[order]) < POOL // 2) & (met[order] > 1)]
+        order = order[(np.arange(len(order)) < self.held // 2) & (np.cumsum(length[order]) < POOL // 2) & (met[order] > 1)]
         stay = np.zeros(len(known), bool)
         stay[order] = True
         ids, cuts = self._gather(known[stay], np.arange(1, stay.sum() + 1))
@@ -82,7 +82,7 @@ class _Store:
         return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
 
     def _begin(self) -> None:
-        if self.numbers.next > HELD or self.used > POOL:
+        if self.numbers.next > self.held or self.used > POOL:
             self._renew()
         self.learned = self.numbers.next
 
@@ -159,8 +159,8 @@ class WordEncoder(_Store):
     across words, is given to the library whole.
     """
 
-    def __init__(self, tokenizer: Tokenizer, word_end: str):
-        super().__init__(tokenizer)
+    def __init__(self, tokenizer: Tokenizer, word_end: str, held: int = HELD):
+        super().__init__(tokenizer, held)
         vocabulary = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(word_end)]] = True

@@ -99,7 +99,8 @@ def with_text(df: DataFrame, carried: list[str], text_col: str) -> tuple[DataFra
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
-def _trim() -> None:
+def give_back() -> None:
+    """Freed memory to the system."""
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
@@ -121,6 +122,6 @@ def frugal(spark: SparkSession | None, run: Callable[[Iterator], Iterator]) -> C
         try:
             yield from run(batches)
         finally:
-            _trim()
+            give_back()
 
     return limited

@@ -25,22 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .chunked_bpe import WordEncoder
+from .chunked_bpe import HELD, WordEncoder
 from .common import frugal, partitions_for, stored, text_rows
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, word_end: str = "</w>", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, word_end: str = "</w>", id_col: str = "doc_id", text_col: str = "text", held: int = HELD) -> DataFrame:
     """One row for each piece of each document's ids and end mark: doc_id, piece, start, length, ids_crc32.
 
     ``path`` names a tokenizers file that drops white space and marks words' ends;
     the ids are those of its ``encode(text, add_special_tokens=False)``. Documents longer than ``capacity`` are cut into pieces of that length, the
-    last one shorter. A null text is empty and has the end mark alone.
+    last one shorter. A null text is empty and has the end mark alone. A worker
+    keeps the ids of about ``held`` words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(Tokenizer.from_file(path), word_end))
+        encoder = _encoders.get((path, held)) or _encoders.setdefault((path, held), WordEncoder(Tokenizer.from_file(path), word_end, held))
         end, size = int(end_id).to_bytes(4, "little"), 4 * capacity
         for whole in batches:
             for at in range(0, whole.num_rows, 2500):
@@ -312,13 +313,13 @@ def pack(pieces: DataFrame, capacity: int, block: int = 4096, islands: int = 2,
     return result
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, **how) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, held: int = HELD, **how) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of each document.
 
     See ``token_pieces`` for the pieces and ``pack`` for the sequences. Rows that
     repeat an id are packed each; a null id stays null. An empty table gives an
     empty result.
     """
-    pieces = stored(token_pieces(docs, path, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces")
+    pieces = stored(token_pieces(docs, path, capacity, held=held).withColumn("item", F.monotonically_increasing_id()), "pieces")
     placed = pack(pieces.select("item", "length"), capacity, **how)
     return pieces.join(placed, "item").drop("item").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

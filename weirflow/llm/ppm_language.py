@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import frugal, with_text
+from .common import frugal, give_back, with_text
 from .textvec import LOWER, HashIndex, slices, utf8
 
 _PLAIN_LETTER = re.compile("[A-Za-z]")
@@ -190,7 +190,11 @@ def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_c
     for (lang, g), found in sorted(parts.items()):
         keys, inverse = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
         counts.setdefault(lang, []).append((keys, np.bincount(inverse, weights=np.concatenate([c for _, c in found]))))
-    return build(counts, order)
+    del got, parts
+    model = build(counts, order)
+    del counts
+    give_back()
+    return model
 
 
 def code_limits(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import frugal, text_rows, with_text
+from .common import frugal, give_back, text_rows, with_text
 from .textvec import ngram_hashes, slices, utf8, word_hashes
 
 _REPEAT = np.array([0x1111, 0x2222], np.uint64)
@@ -176,7 +176,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bits: int = 18, max_rows: in
     features = sample.mapInArrow(frugal(docs.sparkSession, _extract(bits)), "h long, id string, good boolean, ids binary")
     got = features.orderBy("h", "id", "good", "ids").limit(max_rows).select("good", "ids").toArrow()
     found = sorted(zip(got.column("good").to_pylist(), got.column("ids").to_pylist()))
-    return fit_rows([np.frombuffer(r, np.int32) for _, r in found], np.array([g for g, _ in found], bool), bits)
+    del got
+    model = fit_rows([np.frombuffer(r, np.int32) for _, r in found], np.array([g for g, _ in found], bool), bits)
+    del found
+    give_back()
+    return model
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, score_out: str = "score") -> DataFrame:
