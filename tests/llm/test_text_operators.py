@@ -200,6 +200,27 @@ def test_fingerprints_against_brute_force(spark):
         assert prints[i] == want, i
 
 
+def test_lexicon_larger_than_its_marks_is_whole(spark):
+    rng = random.Random(16)
+    vocabulary = [f"t{i}" for i in range(900)]
+    texts = [made(rng, rng.randint(1, 60), vocabulary) for _ in range(150)] + ODD
+    rows = docs(spark, [("the " + t if t and k % 2 else t) for k, t in enumerate(texts)]).withColumn("doc_id", F.expr("nullif(doc_id, 7)"))
+    of = [set(words(r["text"])) for r in rows.collect()]
+    held = collections.Counter(w for own in of for w in own)
+    band = {w for w, n in held.items() if 2 <= n <= 0.2 * len(of)}
+    hashes = [int(h) for _, _, w, _ in text_words(pa.array([" ".join(held)])) for h in w]
+    plain = rows.select(F.coalesce("text", F.lit("")).alias("text"))
+    lexicon, larger = imatch.Lexicon.fit(plain, 0.2, 2, marks=100), imatch.Lexicon.fit(plain, 0.2, 2)
+    marked = {w for w, x in zip(held, lexicon.holds(np.array(hashes, np.uint64))) if x}
+    rest = {h for r in lexicon.rest.collect() for h in np.frombuffer(r["keys"], np.uint64).tolist()}
+    assert 0 < len(marked) <= 100 < len(band) and marked | {w for w, h in zip(held, hashes) if h in rest} == band and larger.rest is None
+    for marks in (0, 100):
+        got, want = (imatch.edited_fingerprints(rows, marks=m).collect() for m in (marks, None))
+        assert len(got) == len(of) and sorted(got, key=str) == sorted(want, key=str)
+    got, want = (imatch.fingerprint_documents(rows, x).collect() for x in (lexicon, larger))
+    assert len(got) == len(of) and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_fingerprints_tell_edited_texts_from_others(spark):
     got = imatch.edited_fingerprints(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
     assert got.where("near_edited > near_next").count() >= 0.9 * got.count()
