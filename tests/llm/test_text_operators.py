@@ -140,6 +140,29 @@ def test_languages(spark):
     assert ppm_language.language_predictions(docs(spark, ["abc"]).limit(0), rows).count() == 0
 
 
+def test_language_limits_take_all_rows(spark):
+    rng = random.Random(17)
+    kinds = {"aa": "ka lo mi neru tus".split(), "bb": "schtz ung keit ver ein".split()}
+    # 1 of 30 texts is unlike the others; more than 400 of a language in each half
+    texts = [(made(rng, rng.randint(5, 30), kinds[k]) if i % 30 else "".join(chr(rng.randint(97, 122)) for _ in range(60)), k) for k in kinds for i in range(1500)]
+    rows = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(texts)] + [(None, "zzz", "aa"), (9, None, "bb"), (10, "zzz", None)], "doc_id long, text string, lang string")
+    half = {r["doc_id"]: r["h"] for r in rows.selectExpr("doc_id", "pmod(xxhash64(doc_id), 2) as h").collect()}
+    held = [[(t, k) for i, (t, k) in enumerate(texts) if half[i] == h] for h in (0, 1)]
+    counted = {}
+    for k in kinds:
+        grams = [collections.Counter(t.encode()[i : i + g] for t, own in held[0] if own == k for i in range(len(t) - g + 1)) for g in (1, 2, 3, 4)]
+        counted[k] = [(np.array(keys := sorted(int.from_bytes(x) for x in c), np.uint64), np.array([c[x.to_bytes(g + 1)] for x in keys])) for g, c in enumerate(grams)]
+    want = ppm_language.build(counted, 3)
+    model = ppm_language.fit_languages(rows.where("pmod(xxhash64(doc_id), 2) = 0"), max_rows=None)
+    assert model.languages == want.languages
+    assert all((a[0] == b[0]).all() and np.allclose(a[1], b[1]) for x, y in ((model.costs, want.costs), (model.escapes, want.escapes)) for a, b in zip(x, y))
+    bits = want.code_lengths(pa.array([t for t, _ in held[1]])).min(axis=1) / [len(t) for t, _ in held[1]]
+    limits = ppm_language.code_limits(rows)
+    for k in kinds:
+        own = np.array([b for b, (_, lang) in zip(bits, held[1]) if lang == k])
+        assert len(own) > 500 and abs(limits[k] - min(8.0, 2 * np.quantile(np.minimum(own, 4.0), 0.99))) <= 2 / ppm_language.STEPS
+
+
 def test_fingerprints(spark):
     rng = random.Random(5)
     vocabulary = [f"t{i}" for i in range(3000)]

@@ -12,7 +12,8 @@ a text takes one lookup per byte, and one more for each order it has to leave.
 A-Z are read as a-z. Contexts begin at the start of a text.
 
 The tables' size is bounded by the training sample, ``max_rows`` texts of each
-language, whatever the size of the corpus.
+language, whatever the size of the corpus; or, where all texts teach, by the number
+of distinct sequences of ``order + 1`` bytes in them.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import frugal, give_back, with_text
+from .common import frugal, give_back, partitions_for, with_text
 from .textvec import LOWER, HashIndex, slices, utf8
+from .wordcounts import summed
 
 _PLAIN_LETTER = re.compile("[A-Za-z]")
 _NO_LETTERS = re.compile("[\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -35,6 +37,8 @@ UNDETERMINED = "und"
 SLACK_BITS = 256
 #: Tasks over a bounded sample; each sends its own counts to the driver.
 SPREAD = 4
+#: Steps of a bit in which costs a byte are counted.
+STEPS = 4096
 
 
 def grams(data: np.ndarray, part: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,32 +139,67 @@ def build(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]], order: int) ->
     return PpmModel(languages, order, costs, escapes)
 
 
-def _count(order: int):
-    schema = pa.schema([("lang", pa.string()), ("g", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_COUNTS = "lang string, g int, keys binary, counts binary"
+
+
+class _Held:
+    """Counts of grams by language and length, added up as they grow."""
+
+    def __init__(self):
+        self.parts: dict[tuple[str, int], tuple[list[np.ndarray], list[np.ndarray]]] = {}
+
+    def add(self, lang: str, g: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        k, c = self.parts.setdefault((lang, g), ([], []))
+        k.append(keys)
+        c.append(counts.astype(np.int64))
+        if sum(map(len, k)) > max(1 << 18, 2 * len(k[0])):
+            k[:], c[:] = ([x] for x in summed(k, c))
 
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for (lang, g), found in sorted(self.parts.items()):
+            keys, counts = summed(*found)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([g], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], names=["lang", "g", "keys", "counts"])
+
+
+def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs)):
                 data, offsets = utf8(batch.column(1).filter(pa.array(langs == lang)))
-                got: list[tuple[np.ndarray, np.ndarray]] = []
-                for g in range(1, order + 2):
-                    found = [grams(LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], g)[0] for i, j in slices(offsets)]
-                    got.append(np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * (order + 1)), pa.array(range(1, order + 2), pa.int32()), pa.array([k.tobytes() for k, _ in got], pa.binary()), pa.array([c.astype(np.int64).tobytes() for _, c in got], pa.binary())], schema=schema
-                )
+                for i, j in slices(offsets):
+                    raw = LOWER[data[offsets[i] : offsets[j]]]
+                    for g in range(1, order + 2):
+                        held.add(lang, g, *np.unique(grams(raw, offsets[i : j + 1] - offsets[i], g)[0], return_counts=True))
+        yield from held.rows()
 
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of language and length to one row for each."""
+    held, at = _Held(), None
+    for batch in batches:
+        for lang, g, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "g", "keys", "counts"))):
+            if (lang, g) != at:
+                yield from held.rows()
+                held, at = _Held(), (lang, g)
+            held.add(lang, g, np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
+    yield from held.rows()
+
+
+def _rows(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    return labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null and lang is not null")
+
+
 def _sample(labelled: DataFrame, max_rows: int, id_col: str, text_col: str, lang_col: str) -> DataFrame | None:
     """(lang, text) of at most ``max_rows`` rows of each language, by the hash of their ids; None if there are no languages.
 
     The scan keeps its partitions: each task passes on the rows of small hashes, of
     each language about twice the bound over all tasks, and ranking sees only these.
     """
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null and lang is not null")
+    rows = _rows(labelled, id_col, text_col, lang_col)
     held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     chance = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     thinned = None
@@ -173,16 +212,22 @@ def _sample(labelled: DataFrame, max_rows: int, id_col: str, text_col: str, lang
     return rows.where(thinned).withColumn("r", F.row_number().over(first)).where(F.col("r") <= max_rows).select("lang", "text")
 
 
-def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
-    """Frozen statistics of at most ``max_rows`` rows of each language, by the hash of their ids.
+def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int | None = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> PpmModel:
+    """Frozen statistics of at most ``max_rows`` rows of each language, by the hash of their ids; of all rows with None.
 
     Rows with a null language or id are left out; a null text adds nothing; rows
     that repeat an id count each, towards the bound too.
     """
-    sample = _sample(labelled, max_rows, id_col, text_col, lang_col)
-    if sample is None:
-        return build({}, order)
-    got = sample.repartition(SPREAD).mapInArrow(frugal(labelled.sparkSession, _count(order)), "lang string, g int, keys binary, counts binary").toArrow()
+    spark = labelled.sparkSession
+    if max_rows is None:
+        each = _rows(labelled, id_col, text_col, lang_col).select("lang", "text").mapInArrow(frugal(spark, _count(order)), _COUNTS)
+        together = each.repartition(partitions_for(spark), "lang", "g").sortWithinPartitions("lang", "g")
+        got = together.mapInArrow(frugal(spark, _add_up), _COUNTS).toArrow()  # a row for each language and length
+    else:
+        sample = _sample(labelled, max_rows, id_col, text_col, lang_col)
+        if sample is None:
+            return build({}, order)
+        got = sample.repartition(SPREAD).mapInArrow(frugal(spark, _count(order)), _COUNTS).toArrow()
     parts: dict[tuple[str, int], list] = {}
     for lang, g, keys, counts in zip(*(got.column(c).to_pylist() for c in ("lang", "g", "keys", "counts"))):
         parts.setdefault((lang, g), []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64)))
@@ -197,29 +242,46 @@ def fit_languages(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_c
     return model
 
 
-def code_limits(labelled: DataFrame, order: int = 3, max_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+def _quantile(values: np.ndarray, counts: np.ndarray, share: float) -> float:
+    """``numpy.quantile`` of sorted ``values`` that come ``counts`` times each."""
+    upto = np.cumsum(counts)
+    place = share * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, k, side="right")] for k in (np.floor(place), np.ceil(place)))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def code_limits(labelled: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
     """For each language the bits a byte beyond which a text is taken to be in none.
 
-    Half of the ids teach a model, at most ``max_rows`` texts of each language of
-    the other half are coded by it; the limit is twice what 99 of 100 of them take
-    at most, but never above the 8 bits of a byte that nothing is known of, which
-    is the limit too where fewer than 20 texts were coded.
+    All rows of half of the ids teach a model, and all texts of the other half are
+    coded by it; the limit is twice what 99 of 100 of them take at most, to a step
+    of 1/``STEPS`` bit, but never above the 8 bits of a byte that nothing is known
+    of, which is the limit too where fewer than 20 texts were coded. What reaches
+    the driver are numbers of texts by step, up to 4 bits.
     """
     half = F.pmod(F.xxhash64(id_col), F.lit(2))
-    model = fit_languages(labelled.where(half == 0), order, max_rows, id_col, text_col, lang_col)
-    sample = _sample(labelled.where(half == 1), max_rows, id_col, text_col, lang_col)
-    if sample is None or not model.languages:
+    model = fit_languages(labelled.where(half == 0), order, None, id_col, text_col, lang_col)
+    if not model.languages:
         return {}
-    held = labelled.sparkSession.sparkContext.broadcast(model)
+    spark = labelled.sparkSession
+    held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             size = np.diff(utf8(batch.column(1))[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.code_lengths(batch.column(1)).min(axis=1) / np.maximum(size, 1))], names=["lang", "bits"])
-
-    got = sample.where("text <> ''").repartition(SPREAD).mapInArrow(run, "lang string, bits double").toArrow()  # max_rows for each language
-    langs, bits = np.array(got.column(0).to_pylist(), object), np.array(got.column(1).to_pylist(), float)
-    return {x: min(8.0, 2 * float(np.quantile(bits[langs == x], 0.99))) for x in sorted(set(langs)) if (langs == x).sum() >= 20}
+            bits = held.value.code_lengths(batch.column(1)).min(axis=1) / np.maximum(size, 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.ceil(np.minimum(bits, 4.0) * STEPS).astype(np.int32))], names=["lang", "step"])
+
+    coded = _rows(labelled.where(half == 1), id_col, text_col, lang_col).where("text <> ''").select("lang", "text").mapInArrow(frugal(spark, run), "lang string, step int")
+    found: dict[str, list[tuple[int, int]]] = {}
+    for lang, step, n in coded.groupBy("lang", "step").count().toLocalIterator():
+        found.setdefault(lang, []).append((step, n))
+    limits = {}
+    for lang, steps in sorted(found.items()):
+        values, counts = np.array(sorted(steps), np.int64).T
+        if counts.sum() >= 20:
+            limits[lang] = min(8.0, 2 * _quantile(values / STEPS, counts, 0.99))
+    return limits
 
 
 def has_letter(text: str | None) -> bool:
