@@ -329,6 +329,15 @@ def test_packing(spark):
     assert packing.pack_documents(frame.limit(0), path).count() == 0
 
 
+def test_words_are_known_without_their_signs():
+    path = P.path("word_bpe_49k.json")
+    encoder, plain = WordEncoder(Tokenizer.from_file(path), "</w>"), Tokenizer.from_file(path)
+    texts = ["alpha$$$ beta,*** gamma. Alpha### it's' it's. ''. $$$ a_ x1!! é.! b.é. c!" + "?" * 9, "", "$", "a$", "d" + "\u0301..", "-a- --a--", "A\u0301B!!"]
+    ids, cuts = encoder.encode_batch(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {"alpha", "beta", "gamma", "$$$", ",***", "###", "_"} <= set(encoder.numbers) and not {"alpha$$$", "alpha###", "beta,***"} & set(encoder.numbers)
+
+
 def test_genetic_operators():
     rng = np.random.default_rng(8)
     sizes = rng.integers(1, 100, 300).astype(np.int32)

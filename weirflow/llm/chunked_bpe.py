@@ -32,7 +32,7 @@ _WORD = f"[{_LETTERS}]++(?![^{WHITE}{_SIGNS}])"
 _MARKS = f"[{_SIGNS}]++(?![^{WHITE}{_LETTERS}])"
 #: Letters before white space or signs; signs before white space or letters; any other rest of a word; each with the white space before it, and white space that ends a text.
 LED = re.compile(f"[{WHITE}]*+(?:{_WORD}|{_MARKS}|[^{WHITE}]+)|[{WHITE}]+")
-_WORDS_ONLY = re.compile(f"[{_LETTERS}]+")  # and as they are in lower case
+_WORDS_ONLY = re.compile("[" + "".join(c for c in map(chr, range(0x250)) if re.match(f"[{_LETTERS}]", c) and c == c.lower()) + "]+")  # as they are in lower case
 
 
 class _Numbers(dict):
@@ -144,16 +144,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".,;:!?"]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[k for k in range(0x80) if re.match(f"[{_SIGNS}]", chr(k))]] = True
+_RUN = 8  # longer runs of signs are not cut off
 
 
 class WordEncoder(_Store):
     """For tokenizers that drop white space, lower-case, and mark each word's last token with ``word_end``.
 
     A batch's texts are cut at ASCII white space by Arrow; on the words' bytes A-Z
-    become a-z and a single stop after a letter becomes a word of its own, as the
-    library would cut it off, too; then each distinct word is looked up once. Words
+    become a-z and a short run of signs after a last letter becomes a word of its own,
+    as the library would cut it off, too; then each distinct word is looked up once. Words
     with combining marks, which may compose otherwise in lower case, stay as they
     are. A text that holds one of the tokenizer's added tokens, which may reach
     across words, is given to the library whole.
@@ -180,7 +181,7 @@ class WordEncoder(_Store):
 
     def _ids(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths = [], np.zeros(len(stretches), np.int64)
-        plain = [k for k, s in enumerate(stretches) if _WORDS_ONLY.fullmatch(s) and s == s.lower()]
+        plain = [k for k, s in enumerate(stretches) if _WORDS_ONLY.fullmatch(s)]
         together = np.zeros(len(stretches), bool)
         together[plain] = True
         # words of letters go in by the hundred: each ends with its one marked token
@@ -200,7 +201,7 @@ class WordEncoder(_Store):
         return ids, lengths
 
     def _words(self, words: pa.Array, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """Words in lower case with stops cut off, and where each text's end; ``offsets`` are those of the texts in ``words``."""
+        """Words in lower case with last signs cut off, and where each text's end; ``offsets`` are those of the texts in ``words``."""
         _, at, data = words.buffers()
         kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
         at = np.frombuffer(at, kind, count=len(words) + 1, offset=words.offset * kind().itemsize).astype(np.int64)
@@ -212,10 +213,19 @@ class WordEncoder(_Store):
             held = np.add.reduceat(np.append(marked, False), at[:-1], dtype=np.int64) * (np.diff(at) > 0) > 0
             low = np.where(np.repeat(held, np.diff(at)), raw, low)
         size = np.diff(at)
-        last = np.maximum(at[1:] - 1, 0)
-        stop = (size > 1) & _STOP[low[last]] & _LETTER[low[np.maximum(last - 1, 0)]] if len(low) else np.zeros(len(size), bool)
-        # a stop is a word of one byte after the word it ends
-        ends = np.insert(at[1:], np.flatnonzero(stop), last[stop])
+        stop = np.zeros(len(size), bool)
+        begin = np.zeros(len(size), np.int64)  # of the signs that a word ends with
+        some = np.flatnonzero(size > 1)
+        some = some[_SIGN[low[at[1:][some] - 1]]]
+        place = at[1:][some] - 1
+        for _ in range(_RUN):
+            before = low[place - 1]
+            ended = _LETTER[before]
+            stop[some[ended]], begin[some[ended]] = True, place[ended]
+            on = _SIGN[before] & (place - 1 > at[some])
+            some, place = some[on], place[on] - 1
+        # signs are a word after the word they end
+        ends = np.insert(at[1:], np.flatnonzero(stop), begin[stop])
         cut = pa.StringArray.from_buffers(len(ends), pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(low))
         return cut, offsets[1:] + np.concatenate([[0], np.cumsum(stop)])[offsets[1:]]
 
@@ -229,7 +239,7 @@ class WordEncoder(_Store):
         split = pc.ascii_split_whitespace(plain)
         words, ends = self._words(split.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64))
         coded = words.dictionary_encode()
-        held = coded.dictionary.to_pylist()
+        held = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes = np.fromiter(map(self.numbers.__getitem__, held), np.int64, len(held))
         self._learn()
         self.met[codes] += 1
