@@ -1,12 +1,14 @@
 """Verbs, windows and delivery on small fixtures with known results."""
 
+import sys
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weirflow.errors import PipelineError
-from weirflow.functions.callables import fold_global
+from weirflow.functions.callables import Records, fold_global
 from weirflow.operators import DeliveryMode, Pipeline, WindowType
 from weirflow.plans.architectures import AdaptiveFlow, KappaFlow, LambdaFlow
 from weirflow.plans.flow import ArchitectureMode, Flow, RuntimeMode
@@ -354,3 +356,32 @@ def test_global_sessions_over_ranges(spark, seed, gap):
     assert rows == want
     assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
     assert Pipeline(frame.limit(0)).window(WindowType.session(gap, "t")).count().count() == 0
+
+
+def test_records_of_a_group_are_read_from_a_file(spark):
+    batches = [pa.RecordBatch.from_pydict({"w": [0] * n, "i": list(range(at, at + n))}) for at, n in ((0, 5000), (5000, 0), (5000, 1), (5001, 9000))]
+    for kept in (0, 60_000, 1 << 24):
+        held = Records(iter(batches), ["w"], kept)
+        assert len(held) == 14001 and held == [{"i": i} for i in range(14001)] and [r["i"] for r in held] == list(range(14001))
+        assert held[-1] == {"i": 14000} and held[4095:4097] == [{"i": 4095}, {"i": 4096}] and {"i": 5000} in held and held[::7000] == [{"i": 0}, {"i": 7000}, {"i": 14000}]
+        assert [(a["i"], b["i"]) for a, b in zip(held, reversed(held))][:2] == [(0, 14000), (1, 13999)] and bool(held._stored) == (kept < 1 << 24)
+        with pytest.raises(IndexError):
+            held[14001]
+    assert list(Records([pa.RecordBatch.from_pydict({"value": [1, 2]})])) == [1, 2] and not Records([])
+
+
+def test_a_large_group_is_not_in_memory(spark):
+    """A function sees few more objects than a worker has anyway: no record of 400,000 stays."""
+    rows = spark.range(400_000).select(F.lit(1.0).alias("ts"), F.lit("a").alias("k"), "id")
+
+    def seen(records):
+        return [max(sys.getallocatedblocks() for i, r in enumerate(records) if i % 20_000 == 0), sum(r["id"] for r in records), len(records)]
+
+    for got in (
+        Pipeline(rows).window(WindowType.tumbling(5, "ts")).apply(seen, "long"),
+        Pipeline(rows).window(WindowType.session(5, "ts")).apply(seen, "long"),
+        Pipeline(rows).window(WindowType.global_window()).apply(seen, "long"),
+        Pipeline(rows).key_by("k").process_groups(lambda key, rs: seen(rs), "value long"),
+    ):
+        blocks, *found = [r["value"] for r in got.collect()]
+        assert blocks < 900_000 and found == [400_000 * 399_999 // 2, 400_000]

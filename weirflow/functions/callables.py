@@ -7,9 +7,13 @@ what they return.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import time
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import reduce as fold
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -19,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 BATCH = 4096
 HELD = 100_000  # keys in a partition's memory
+KEPT = 1 << 24  # bytes of a group in a task's memory
 
 
 def struct_of(schema: T.StructType | str) -> T.StructType:
@@ -81,14 +86,75 @@ def each_row(df: DataFrame, f: Callable[[Any], list], schema: T.StructType | str
     return df.mapInArrow(apply, out)
 
 
-def per_group(df: DataFrame, keys: list[str], f: Callable[[tuple, list], list], schema: T.StructType | str) -> DataFrame:
-    """``f(key values, records of the group)`` gives the group's results. A group must fit one task."""
+class Records(Sequence):
+    """A group's records as a sequence that may be read any number of times.
+
+    They are kept as Arrow batches, those of a group beyond ``kept`` bytes in a file
+    of the task without a name; records are made while they are read, at most
+    ``BATCH`` at a time. A function that keeps none of them has no part of a group
+    in memory that grows with it; ``list(records)`` makes them all.
+    """
+
+    def __init__(self, batches: Iterable[pa.RecordBatch], without: Iterable[str] = (), kept: int = KEPT):
+        self._ends, self._parts, self._stored, self._last = [], [], None, (-1, [])
+        self._bare, size, n, writer, without = False, 0, 0, None, set(without)
+        for batch in batches:
+            self._bare = batch.schema.names == ["value"]
+            batch = batch.select([c for c in batch.schema.names if c not in without]) if without else batch
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                n, size = n + part.num_rows, size + part.nbytes
+                self._ends.append(n)
+                self._parts.append(part)
+                if writer is None and size > kept:
+                    held = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+                    writer = pa.ipc.new_file(held, part.schema, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+                if writer is not None:
+                    for x in self._parts:
+                        writer.write_batch(x)
+                    self._parts = []
+        if writer is not None:
+            writer.close()
+            self._stored = pa.ipc.open_file(held)
+
+    def _part(self, k: int) -> list:
+        if self._last[0] != k:
+            part = self._stored.get_batch(k) if self._stored else self._parts[k]
+            self._last = (k, part.column(0).to_pylist() if self._bare else part.to_pylist())
+        return self._last[1]
+
+    def __len__(self) -> int:
+        return self._ends[-1] if self._ends else 0
+
+    def __iter__(self) -> Iterator:
+        for k in range(len(self._ends)):
+            yield from self._part(k)
+
+    def __getitem__(self, at: int | slice) -> Any:
+        if isinstance(at, slice):
+            return [self[i] for i in range(*at.indices(len(self)))]
+        i = at + len(self) if at < 0 else at
+        if not 0 <= i < len(self):
+            raise IndexError(at)
+        k = bisect_right(self._ends, i)
+        return self._part(k)[i - (self._ends[k - 1] if k else 0)]
+
+    def __eq__(self, other: Any) -> bool:
+        return isinstance(other, (Records, list)) and len(self) == len(other) and all(a == b for a, b in zip(self, other))
+
+
+def per_group(df: DataFrame, keys: list[str], f: Callable[[tuple, Sequence], Iterable], schema: T.StructType | str, without: Iterable[str] = ()) -> DataFrame:
+    """``f(key values, records of the group)`` gives the group's results; records come as ``Records``, less the columns ``without``.
+
+    A group goes through one task, but not into its memory.
+    """
     out = struct_of(schema)
-    arrow = to_arrow_schema(out)
+    arrow, without = to_arrow_schema(out), tuple(without)
 
-    def apply(key: tuple, table: pa.Table) -> pa.Table:
-        records = [r for b in table.to_batches() for r in _records(b)]
-        return pa.Table.from_batches([_batch(f(tuple(k.as_py() for k in key), records), arrow)], schema=arrow)
+    def apply(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = iter(f(tuple(k.as_py() for k in key), Records(batches, without)))
+        while part := list(islice(made, BATCH)):
+            yield _batch(part, arrow)
 
     return df.groupBy(*keys).applyInArrow(apply, out)
 
@@ -96,16 +162,17 @@ def per_group(df: DataFrame, keys: list[str], f: Callable[[tuple, list], list],
 def fold_groups(df: DataFrame, keys: list[str], f: Callable[[Any, Any], Any], column: str, order: str | None = None, associative: bool = False) -> DataFrame:
     """Left fold of a column within each group: (keys, value).
 
-    In the order of ``order`` where given; a group must then fit one task, as it
-    must if ``f`` is not ``associative``. Associative folds run in partitions before
-    the shuffle, so a hot key arrives as one value a partition.
+    In the order of ``order`` where given; a group must then fit the memory of one
+    task. Without it the group goes through one task if ``f`` is not ``associative``.
+    Associative folds run in partitions before the shuffle, so a hot key arrives as
+    one value a partition.
     """
     out = T.StructType([*[df.schema[k] for k in keys], T.StructField("value", df.schema[column].dataType)])
     arrow = to_arrow_schema(out)
 
-    def run(key: tuple, records: list) -> list:
+    def run(key: tuple, records: Sequence) -> list:
         rows = sorted(records, key=lambda r: r[order]) if order else records
-        return [(*key, fold(f, [r[column] for r in rows]))]
+        return [(*key, fold(f, (r[column] for r in rows)))]
 
     if order or not associative:
         return per_group(df, keys, run, out)
@@ -122,8 +189,8 @@ def fold_groups(df: DataFrame, keys: list[str], f: Callable[[Any, Any], Any], co
         if held:
             yield _batch([(*k, v) for k, v in held.items()], arrow)
 
-    def merge(key: tuple, records: list) -> list:
-        return [(*key, fold(f, [r["value"] for r in records]))]
+    def merge(key: tuple, records: Sequence) -> list:
+        return [(*key, fold(f, (r["value"] for r in records)))]
 
     return per_group(df.select(*keys, df[column].alias("value")).mapInArrow(partial, out), keys, merge, out)
 

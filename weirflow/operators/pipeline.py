@@ -8,7 +8,7 @@ runs in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
@@ -157,8 +157,8 @@ class Pipeline:
     def aggregate(self, **named: Column) -> DataFrame:
         return self._agg(*[e.alias(n) for n, e in named.items()])
 
-    def process_groups(self, f: Callable[[tuple, list], list], schema: T.StructType | str) -> DataFrame:
-        """``f(key values, records)`` for each key."""
+    def process_groups(self, f: Callable[[tuple, Sequence], Iterable], schema: T.StructType | str) -> DataFrame:
+        """``f(key values, records)`` for each key; records as in a window's ``apply``."""
         return per_group(self.df, list(self.keys), f, schema)
 
     def process_keyed(self, function: Any, schema: T.StructType | str, mode: str = "update", time_mode: str = "none") -> DataFrame:
@@ -255,17 +255,19 @@ class WindowedPipeline:
     def avg(self, column: Expr = "value") -> DataFrame:
         return self._agg(aggregate("avg", _col(column)))
 
-    def aggregate(self, f: Column | Callable[[list], Any], schema: str | T.StructType | None = None) -> DataFrame:
+    def aggregate(self, f: Column | Callable[[Sequence], Any], schema: str | T.StructType | None = None) -> DataFrame:
         """One value a window: an aggregate expression, or a function of the window's records."""
         if isinstance(f, Column):
             return self._agg(f.alias("value"))
         return self.apply(lambda records: [f(records)], schema)
 
-    def apply(self, f: Callable[[list], list], schema: str | T.StructType | None = None) -> DataFrame:
+    def apply(self, f: Callable[[Sequence], Iterable], schema: str | T.StructType | None = None) -> DataFrame:
         """Any number of results a window, from a function of its records.
 
-        A window, of each key, must fit one task; so must all rows, where windows
-        have no time field. For the first rows of a window see ``top``.
+        A window, of each key, goes through one task; so do all rows, where windows
+        have no time field. Its records are a sequence that is read from Arrow
+        batches, large windows' from a file, so memory holds what the function
+        keeps of them. For the first rows of a window see ``top``.
         """
         if schema is None:
             raise PipelineError("a Python function on windows needs the schema of its results")
@@ -280,7 +282,7 @@ class WindowedPipeline:
 
         if not self.spec.timed:
             every = df.withColumn("__all", F.lit(0))
-            return per_group(every, ["__all"], lambda _, records: list(f([{k: v for k, v in r.items() if k != "__all"} for r in records])), out)
+            return per_group(every, ["__all"], lambda _, records: f(records), out, ["__all"])
         if self.spec.kind is WindowKind.SESSION:
             windowed = self._sessions()
         else:
@@ -288,11 +290,10 @@ class WindowedPipeline:
         by = [*keys, "window_start", "window_end"]
         result = T.StructType([*[windowed.schema[k] for k in by], *out.fields])
 
-        def run(key: tuple, records: list) -> list:
-            plain = [{k: v for k, v in r.items() if k not in ("window_start", "window_end")} for r in records]
-            return [(*key, *spread(x)) for x in f(plain)]
+        def run(key: tuple, records: Sequence) -> Iterable:
+            return ((*key, *spread(x)) for x in f(records))
 
-        return per_group(windowed, by, run, result)
+        return per_group(windowed, by, run, result, ["window_start", "window_end"])
 
     def top(self, n: int, *order: Column) -> DataFrame:
         """The first ``n`` rows of each window, and key, in an order: each task passes on ``n`` of its own at most, so no window is held by one."""
