@@ -6,6 +6,7 @@ import math
 
 import pytest
 
+from weirflow.operators.pipeline import WindowedPipeline
 from weirflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +48,22 @@ def test_query_against_sql(spark, db, name):
 
 def test_every_query_has_its_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
+
+
+def test_topn_keeps_few_records(spark, monkeypatch):
+    """The function of window_apply_topn on a window's records holds about as many as it returns."""
+    held, alive, most = [], [0], [0]
+    monkeypatch.setattr(WindowedPipeline, "apply", lambda self, f, schema: held.append(f))
+    catalog.window_apply_topn(spark, SF)
+
+    class Row(dict):
+        def __init__(self, *a, **b):
+            super().__init__(*a, **b)
+            alive[0] += 1
+            most[0] = max(most[0], alive[0])
+
+        def __del__(self):
+            alive[0] -= 1
+
+    got = held[0](Row(event_id=i * 7 % 1000, value=float(i * 7 % 1000 % 100)) for i in range(1000))
+    assert got == [{"event_id": i, "value": 99.0} for i in (99, 199, 299)] and most[0] < 20

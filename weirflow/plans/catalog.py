@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 from collections.abc import Callable
 
@@ -187,7 +188,7 @@ SELECT window_start, window_end, event_id, value FROM (
 def window_apply_topn(spark, d):
     """A Python function on each window's records, of which the three largest come back."""
     slim = events(spark, d).map(["event_id", "ts", "value"])
-    return slim.window(WEEKLY).apply(lambda rs: [{"event_id": r["event_id"], "value": r["value"]} for r in sorted(rs, key=lambda r: (-r["value"], r["event_id"]))[:3]], "event_id long, value double")
+    return slim.window(WEEKLY).apply(lambda rs: [{"event_id": r["event_id"], "value": r["value"]} for r in heapq.nsmallest(3, rs, key=lambda r: (-r["value"], r["event_id"]))], "event_id long, value double")
 
 
 TOP = f"""
