@@ -1,5 +1,6 @@
 """Keyed state, timers, the event log, serving views, architectures, adaptive control."""
 
+import random
 import time
 
 import pytest
@@ -330,3 +331,58 @@ def test_adaptive(spark, tmp_path):
     flow.set_viscosity(V.FROZEN)
     levels = flow.run_stream(spark.readStream.schema("v long").parquet(str(tmp_path / "in")), lambda df, n: got.append(df.count()), str(tmp_path / "cp"), seconds=20, rounds=3)
     assert levels[0] is V.FROZEN and sum(got) == 7
+
+
+def _files(tmp_path):
+    return sorted((tmp_path / "log" / "live").rglob("*.parquet"))
+
+
+def test_small_segments_share_folders(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path / "log"), segment_size=2)
+    log.append_frame(spark.range(3000).toDF("i"), ["i"])
+    assert log.append_batch([{"i": i} for i in range(3000, 4001)]) == list(range(3000, 4001))
+    assert len(_files(tmp_path)) <= 9 and log.segment_count == 2001  # a file each of 2001 segments before
+    assert [(r["i"], r["offset"], r["segment"]) for r in log.frame().orderBy("offset").collect()] == [(i, i, i // 2) for i in range(4001)]
+    assert log.truncate(1001) == 500 and log.segment_count == 1501 and log.frame().count() == 3001 and log.read(0, 1).first()["offset"] == 1000
+    assert log.truncate(9000) == 1501 and log.segment_count == 0 and log.frame().count() == 0 and not _files(tmp_path)
+    assert log.append({"i": 7}) == 4001 and log.segment_count == 1 and [r["offset"] for r in log.read().collect()] == [4001]
+    # a log whose segments have a folder each, as written before
+    old = EventLog(spark, str(tmp_path / "old"), segment_size=2)
+    old.span = 1
+    old.append_batch([{"i": i} for i in range(7)])
+    new = EventLog(spark, str(tmp_path / "old"), segment_size=2)
+    assert new.append({"i": 7}) == 7 and [r["i"] for r in new.read(3).collect()] == [3, 4, 5, 6, 7] and [r["i"] for r in new.read_segment(3).collect()] == [6, 7]
+    assert new.truncate(5) == 2 and [r["i"] for r in new.read().collect()] == [4, 5, 6, 7] and new.segment_count == 2
+
+
+@pytest.mark.parametrize("span", [1, 3, 1000])
+def test_log_against_a_model(spark, tmp_path, span):
+    size, turn = 4, random.Random(span)
+    log, live, old, n, start, floor = EventLog(spark, str(tmp_path / "log"), segment_size=size), {}, {}, 0, 0, 0
+    log.span = span
+    for step in range(16):
+        do = turn.choice(["rows", "rows", "frame", "truncate", "compact"]) if step else "rows"
+        at = turn.randrange(n + 1)
+        if do in ("rows", "frame"):
+            new = list(range(n, n + turn.randrange(1, 14)))
+            got = log.append_batch([{"i": i} for i in new]) if do == "rows" else list(range(*log.append_frame(spark.createDataFrame([(i,) for i in new], "i long"), ["i"])))
+            assert got == new
+            live |= dict.fromkeys(new)
+            n += len(new)
+        elif do == "truncate":
+            floor = max(floor, at // size * size)
+            kept, under = {i for i in old if i >= floor}, {i // size for i in old if i < min(floor, start)}
+            gone = {i // size for i in live if (i // size + 1) * size <= at // size * size}
+            assert log.truncate(at) == len(gone) + len(under)
+            live, old = {i: None for i in live if i >= floor}, dict.fromkeys(kept)
+            if floor >= start:
+                old, start = {}, start if not old else start
+        else:
+            at = max(at, start)
+            log.compact(lambda df: df.where("offset % 3 = 0"), at)
+            merged = {i: None for i in [*live, *old] if i < at and i % 3 == 0}
+            start = at
+            live, old = {i: None for i in live if i >= start}, merged
+        assert [(r["i"], r["offset"]) for r in log.read().collect()] == [(i, i) for i in sorted([*live, *old])], (step, do, at)
+        assert log.offset == n and [r["i"] for r in log.read_segment(at // size).collect()] == [i for i in sorted([*live, *old]) if i // size == at // size]
+        assert log.segment_count == len({i // size for i in live}) + (log._state()["compacted"] is not None)

@@ -1,8 +1,10 @@
 """An append-only event log in segments, addressed by offset.
 
 A log is a folder. ``live`` holds Parquet files by segment, with one column
-``offset`` beside the payload's; ``compacted-*`` what a compaction made of the rows
-below its checkpoint. ``_state`` says what counts: the next offset, the columns, from
+``offset`` beside the payload's; segments of less than a million rows share a folder,
+named by its first, so that files grow in number with the rows and not with the
+segments. A row's segment comes from its offset. ``compacted-*`` holds what a
+compaction made of the rows below its checkpoint. ``_state`` says what counts: the next offset, the columns, from
 where on live rows hold, the compacted folder, and the last batch of each stream.
 Writing it is the one moment at which an append or a compaction happens: an append's
 files wait in a hidden folder until then and are moved to their segments after it, or
@@ -28,11 +30,13 @@ from ..plans.prefix import numbered
 from ..sources.readers import CollectionSource
 
 LIVE = "live"
+FOLDER_ROWS = 1_000_000  # that a folder's segments have together, if one has fewer
 
 
 class EventLog:
     def __init__(self, spark: SparkSession, path: str, segment_size: int = 100_000):
         self.spark, self.path, self.segment_size = spark, path.rstrip("/"), segment_size
+        self.span = max(1, FOLDER_ROWS // segment_size)  # segments a folder
         self.folder = Folder(spark, self.path)
         self._file = StateFile(self.folder)
 
@@ -53,9 +57,20 @@ class EventLog:
                         self.folder.move(f"{staged}/{segment}/{name}", f"{LIVE}/{segment}/{name}")
         self.folder.delete(staged)
 
-    def _segments(self) -> list[int]:
+    def _folders(self) -> list[int]:
+        """The first segment of each folder."""
         return sorted(int(n.removeprefix("segment=")) for n in self.folder.names(LIVE) if n.startswith("segment="))
 
+    def _drop(self, state: dict, below: int) -> None:
+        """Delete the folders all of whose rows are below an offset."""
+        for first in self._folders():
+            if min((first // self.span + 1) * self.span * self.segment_size, state["next"]) <= below:
+                self.folder.delete(f"{LIVE}/segment={first}")
+
+    def _between(self, low: int, high: int) -> int:
+        """How many segments have rows from one offset up to another; live offsets have no gaps."""
+        return (high - 1) // self.segment_size - low // self.segment_size + 1 if high > low else 0
+
     def exists(self) -> bool:
         return self._state()["schema"] is not None
 
@@ -68,7 +83,7 @@ class EventLog:
     def segment_count(self) -> int:
         """Segments with rows: those of live ones, and all that a compaction put together as one."""
         state = self._state()
-        return sum((s + 1) * self.segment_size > state["from"] for s in self._segments()) + (state["compacted"] is not None)
+        return self._between(max(state["floor"], state["from"]), state["next"]) + (state["compacted"] is not None)
 
     # appends
 
@@ -81,7 +96,7 @@ class EventLog:
             return []
         rows = [r if isinstance(r, dict) else {"value": r} for r in records]
         state = self._state()
-        start, size = state["next"], self.segment_size
+        start, size = state["next"], self.span * self.segment_size
         table = None
         if state["schema"]:
             known = {f.name: f for f in T.StructType.fromJson(state["schema"])}
@@ -97,11 +112,11 @@ class EventLog:
             self._check(state, schema)
             table = self._table(rows, schema, start)
         staged = f"_staged-{uuid.uuid4().hex}"
-        for segment in range(start // size, (start + len(rows) - 1) // size + 1):
-            low, high = max(start, segment * size), min(start + len(rows), (segment + 1) * size)
+        for at in range(start // size, (start + len(rows) - 1) // size + 1):
+            low, high = max(start, at * size), min(start + len(rows), (at + 1) * size)
             held = pa.BufferOutputStream()
             pq.write_table(table.slice(low - start, high - low), held)
-            self.folder.write(f"{staged}/segment={segment}/part-{uuid.uuid4().hex}.parquet", held.getvalue().to_pybytes())
+            self.folder.write(f"{staged}/segment={at * self.span}/part-{uuid.uuid4().hex}.parquet", held.getvalue().to_pybytes())
         self._commit(state, staged, len(rows), schema)
         return list(range(start, start + len(rows)))
 
@@ -136,7 +151,8 @@ class EventLog:
         staged = f"_staged-{uuid.uuid4().hex}"
         if n:
             rows = numbered(df, order, "offset", start).withColumn("offset", F.col("offset").cast("long"))
-            self._with_segment(rows).write.partitionBy("segment").parquet(f"{self.path}/{staged}")
+            first = F.floor(F.col("offset") / (self.span * self.segment_size)) * self.span
+            rows.withColumn("segment", first.cast("long")).sortWithinPartitions("segment", "offset").write.partitionBy("segment").parquet(f"{self.path}/{staged}")
         self._commit(state, staged, n, df.schema, batch)
         return start, start + n
 
@@ -155,44 +171,54 @@ class EventLog:
 
     def frame(self) -> DataFrame:
         """All rows, with offset and segment; the columns come from the state, no file is opened for them."""
+        return self._rows()
+
+    def _rows(self, low: int = 0, high: int | None = None) -> DataFrame:
+        """Rows with offsets from ``low`` up to ``high``; folders without any are not read, nor pages of files."""
         state = self._state()
         if state["schema"] is None:
             raise PipelineError(f"no event log at {self.path}")
-        schema = T.StructType([*T.StructType.fromJson(state["schema"]).fields, T.StructField("offset", T.LongType()), T.StructField("segment", T.LongType())])
-        low = max(state["floor"], state["from"])
-        read = self.spark.read.schema(schema)
-        live = read.parquet(f"{self.path}/{LIVE}") if self._segments() else self.spark.createDataFrame([], schema)
-        if low:
-            live = live.where((F.col("segment") >= low // self.segment_size) & (F.col("offset") >= low))
-        if state["compacted"] is None:
-            return live
-        old = read.parquet(f"{self.path}/{state['compacted']}")
-        return live.unionByName(old.where(F.col("offset") >= state["floor"]) if state["floor"] else old)
+        schema = T.StructType([*T.StructType.fromJson(state["schema"]).fields, T.StructField("offset", T.LongType())])
+        read = self.spark.read
+        parts = []
+        if self._folders():
+            start = max(low, state["floor"], state["from"])
+            live = read.schema(T.StructType([*schema.fields, T.StructField("segment", T.LongType())])).parquet(f"{self.path}/{LIVE}")
+            if start > 0:
+                live = live.where((F.col("segment") >= start // self.segment_size // self.span * self.span) & (F.col("offset") >= start))
+            if high is not None:
+                live = live.where((F.col("segment") <= (high - 1) // self.segment_size) & (F.col("offset") < high))
+            parts.append(live.drop("segment"))
+        if state["compacted"] is not None:
+            old, start = read.schema(schema).parquet(f"{self.path}/{state['compacted']}"), max(low, state["floor"])
+            old = old.where(F.col("offset") >= start) if start > 0 else old
+            parts.append(old.where(F.col("offset") < high) if high is not None else old)
+        rows = parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0] if parts else self.spark.createDataFrame([], schema)
+        return self._with_segment(rows)
 
     def read(self, offset: int = 0, limit: int | None = None) -> DataFrame:
         """Rows from an offset on, in order; whole segments before it are not read."""
-        rows = self.frame().where((F.col("segment") >= offset // self.segment_size) & (F.col("offset") >= offset)).orderBy("offset")
+        rows = self._rows(offset).orderBy("offset")
         return (rows.limit(limit) if limit is not None else rows).drop("segment")
 
     def read_segment(self, index: int) -> DataFrame:
-        return self.frame().where(F.col("segment") == index).orderBy("offset").drop("segment")
+        return self._rows(index * self.segment_size, (index + 1) * self.segment_size).orderBy("offset").drop("segment")
 
     # upkeep
 
     def truncate(self, before_offset: int) -> int:
-        """Delete whole segments below an offset; returns how many had rows."""
+        """Give up whole segments below an offset; returns how many had rows. Folders are deleted once none of their rows holds."""
         state = self._state()
-        bound = before_offset // self.segment_size * self.segment_size
-        floor = max(state["floor"], min(bound, state["next"]))  # offsets still to come are not below it
-        gone = [s for s in self._segments() if (s + 1) * self.segment_size <= bound]
+        bound = min(before_offset // self.segment_size * self.segment_size, state["next"])  # offsets still to come are not below it
+        floor = max(state["floor"], bound)
+        had = self._between(max(state["floor"], state["from"]), bound)
         old = state["compacted"]
-        had = len([s for s in gone if (s + 1) * self.segment_size > state["from"]])
         if old is not None:
-            had += self.frame().where((F.col("offset") < min(floor, state["from"]))).select("segment").distinct().count()
-        self._file.save(state | {"floor": floor, "compacted": None if old is not None and floor >= state["from"] else old})
-        for s in gone:
-            self.folder.delete(f"{LIVE}/segment={s}")
-        if old is not None and floor >= state["from"]:
+            had += self._rows(high=min(floor, state["from"])).select("segment").distinct().count()
+        gone = old is not None and floor >= state["from"]
+        self._file.save(state | {"floor": floor, "compacted": None if gone else old})
+        self._drop(state, floor)
+        if gone:
             self.folder.delete(old)
         return had
 
@@ -201,11 +227,9 @@ class EventLog:
         state = self._state()
         new = f"compacted-{uuid.uuid4().hex}"
         merged = merge(self.frame().where(F.col("offset") < checkpoint_offset).drop("segment"))
-        self._with_segment(merged.withColumn("offset", F.col("offset").cast("long"))).hint("rebalance").write.parquet(f"{self.path}/{new}")
+        merged.withColumn("offset", F.col("offset").cast("long")).hint("rebalance").write.parquet(f"{self.path}/{new}")
         self._file.save(state | {"from": max(checkpoint_offset, state["from"]), "compacted": new})
-        for s in self._segments():  # what no longer counts
-            if (s + 1) * self.segment_size <= checkpoint_offset:
-                self.folder.delete(f"{LIVE}/segment={s}")
+        self._drop(state, checkpoint_offset)  # what no longer counts
         if state["compacted"]:
             self.folder.delete(state["compacted"])
 
