@@ -386,3 +386,19 @@ def test_log_against_a_model(spark, tmp_path, span):
         assert [(r["i"], r["offset"]) for r in log.read().collect()] == [(i, i) for i in sorted([*live, *old])], (step, do, at)
         assert log.offset == n and [r["i"] for r in log.read_segment(at // size).collect()] == [i for i in sorted([*live, *old]) if i // size == at // size]
         assert log.segment_count == len({i // size for i in live}) + (log._state()["compacted"] is not None)
+
+
+def test_a_segment_is_read_from_its_folder(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path / "log"), segment_size=2)
+    log.span = 50
+    log.append_frame(spark.range(1000).toDF("i"), ["i"])
+    folders = sorted((tmp_path / "log" / "live").iterdir())
+    assert len(folders) == 10  # of 500 segments
+    for folder in folders:
+        if folder.name != "segment=100":
+            for file in folder.glob("*.parquet"):  # opening one of these fails
+                file.write_bytes(b"none")
+                (folder / f".{file.name}.crc").unlink(missing_ok=True)
+    assert [[r["i"] for r in log.read_segment(k).collect()] for k in (100, 120, 149)] == [[200, 201], [240, 241], [298, 299]]
+    with pytest.raises(Exception):
+        log.read_segment(99).collect()
