@@ -402,3 +402,11 @@ def test_a_segment_is_read_from_its_folder(spark, tmp_path):
     assert [[r["i"] for r in log.read_segment(k).collect()] for k in (100, 120, 149)] == [[200, 201], [240, 241], [298, 299]]
     with pytest.raises(Exception):
         log.read_segment(99).collect()
+
+
+def test_segments_are_counted_from_the_state(spark, tmp_path):
+    log = EventLog(spark, str(tmp_path / "log"), segment_size=2)
+    log.append_frame(spark.range(41).toDF("i"), ["i"])
+    names = log.folder.names
+    log.folder.names = lambda name="": names(name) if name != "live" else 1 / 0  # no folder is listed for it
+    assert (log.offset, log.segment_count) == (41, 21)
