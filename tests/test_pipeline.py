@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.errors import PipelineError
-from weirflow.functions.callables import Records, fold_global
+from weirflow.functions.callables import Records, fold_global, guarded
 from weirflow.operators import DeliveryMode, Pipeline, WindowType
 from weirflow.plans.architectures import AdaptiveFlow, KappaFlow, LambdaFlow
 from weirflow.plans.flow import ArchitectureMode, Flow, RuntimeMode
@@ -385,3 +385,30 @@ def test_a_large_group_is_not_in_memory(spark):
     ):
         blocks, *found = [r["value"] for r in got.collect()]
         assert blocks < 900_000 and found == [400_000 * 399_999 // 2, 400_000]
+
+
+def test_failing_records_wait_together(spark):
+    class FailsTwice:
+        def __init__(self):
+            self.tried = {}
+
+        def __call__(self, x):
+            self.tried[x] = self.tried.get(x, 0) + 1
+            if x % 2 and self.tried[x] < 3:
+                raise OSError(x)
+            return [x, -x] if x % 3 else []
+
+    f, began = FailsTwice(), time.perf_counter()
+    assert guarded(f, "retry", 2)(list(range(2000))) == [[x, -x] if x % 3 else [] for x in range(2000)]
+    assert time.perf_counter() - began < 5 and set(f.tried.values()) == {1, 3}
+    with pytest.raises(OSError):
+        guarded(FailsTwice(), "retry", 1)([2, 3, 4])
+    f = FailsTwice()
+    assert guarded(f, "skip", 3)([1, 2, 4]) == [[], [2, -2], [4, -4]] and f.tried == {1: 1, 2: 1, 4: 1}
+    f = FailsTwice()
+    with pytest.raises(OSError):
+        guarded(f, "raise", 3)([2, 1, 4])
+    assert f.tried == {2: 1, 1: 1}
+    began = time.perf_counter()
+    made = Pipeline(spark.range(4000).toDF("value").coalesce(1)).flat_map(FailsTwice(), "long")
+    assert made.collect() == [y for x in range(4000) if x % 3 for y in (x, -x)] and time.perf_counter() - began < 20

@@ -53,20 +53,30 @@ def _batch(records: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([row(r) for r in records], schema=schema)
 
 
-def guarded(f: Callable[[Any], list], on_error: str, retries: int) -> Callable[[Any], list]:
-    """``f`` with a failing record raised, skipped, or tried again up to ``retries`` times and then raised."""
+def guarded(f: Callable[[Any], list], on_error: str, retries: int) -> Callable[[list], list[list]]:
+    """``f`` on each of many records, with a failing one raised, skipped, or tried again up to ``retries`` times and then raised.
 
-    def run(record: Any) -> list:
+    Records that fail are tried again together, after one pause, so the time spent
+    waiting does not grow with their number.
+    """
+
+    def run(records: list) -> list[list]:
+        made: list[list] = [[] for _ in records]
+        left: Iterable[int] = range(len(records))
         for attempt in range(retries + 1):
-            try:
-                return f(record)
-            except Exception:
-                if on_error == "skip":
-                    return []
-                if on_error == "raise" or attempt == retries:
-                    raise
-                time.sleep(0.01 * (attempt + 1))
-        return []
+            failed = []
+            for k in left:
+                try:
+                    made[k] = f(records[k])
+                except Exception:
+                    if on_error == "raise" or on_error == "retry" and attempt == retries:
+                        raise
+                    failed.append(k)
+            if not failed or on_error == "skip":
+                break
+            left = failed
+            time.sleep(0.01 * (attempt + 1))
+        return made
 
     return run
 
@@ -79,7 +89,7 @@ def each_row(df: DataFrame, f: Callable[[Any], list], schema: T.StructType | str
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                made = [x for r in _records(batch.slice(at, BATCH)) for x in run(r)]
+                made = [x for results in run(_records(batch.slice(at, BATCH))) for x in results]
                 if made:
                     yield _batch(made, arrow)
 
